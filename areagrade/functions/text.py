@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 def cleaned(text: Column) -> Column:
     """Trimmed text, NULL when nothing is left."""
-    trimmed = F.trim(text)
-    return F.when(trimmed != "", trimmed)
+    return F.nullif(F.trim(text), F.lit(""))
 
 
 def is_filled(text: Column) -> Column:

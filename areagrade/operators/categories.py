@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from areagrade.functions.text import cleaned
 
 TOTAL = "total"
-_TOTAL_SLOT = "_total"
 
 
 def category_frequency(
@@ -21,9 +20,7 @@ def category_frequency(
     ``kinds`` maps a kind to its slot columns. The scan is read once for all of
     them. ``weight`` names a column that says how many records a row stands for.
     """
-    counted = F.col(weight) if weight else F.lit(1)
-    melted = _melt(df, [*keys, *([weight] if weight else [])], kinds)
-    return melted.groupBy(*keys, "kind", "category").agg(F.sum(counted).alias("n"))
+    return _count_entries(df, keys, list(kinds.items()), {}, weight)
 
 
 def category_profile(
@@ -36,24 +33,12 @@ def category_profile(
     """Category frequencies and keyed sums in one pass over the scan.
 
     As :func:`category_frequency`, with one more row per key of kind ``total``
-    and no category: its ``n`` is the number of records, and it alone carries
-    the ``sums``. The shuffle is keyed by (keys, kind, category) after partial
+    and no category, whose ``n`` is the number of records. Every row also has
+    the ``sums`` over the records it counts; the key's own are in its total
+    row. The shuffle is keyed by (keys, kind, category) after partial
     aggregation, so one key with most of the rows spreads over its categories.
     """
-    sums = dict(sums or {})
-    prepared = df.select(
-        *keys,
-        *([weight] if weight else []),
-        *(value.alias(name) for name, value in sums.items()),
-        *dict.fromkeys(slot for slots in kinds.values() for slot in slots),
-    )
-    carried = [*keys, *([weight] if weight else []), *sums]
-    melted = _melt(prepared, carried, kinds, with_total=True)
-    counted = F.col(weight) if weight else F.lit(1)
-    on_total = F.col("kind") == TOTAL
-    return melted.groupBy(*keys, "kind", "category").agg(
-        F.sum(counted).alias("n"), *(F.sum(F.when(on_total, F.col(name))).alias(name) for name in sums)
-    )
+    return _count_entries(df, keys, [(TOTAL, None), *kinds.items()], sums or {}, weight)
 
 
 def category_totals(freq: DataFrame, by: Sequence[str] = ("category",)) -> DataFrame:
@@ -91,23 +76,40 @@ def two_level_totals(freq: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _melt(
-    df: DataFrame, carried: Sequence[str], kinds: Mapping[str, Sequence[str]], with_total: bool = False
+def _count_entries(
+    df: DataFrame,
+    keys: Sequence[str],
+    kinds: Sequence[tuple[str, Sequence[str] | None]],
+    sums: Mapping[str, Column],
+    weight: str | None,
 ) -> DataFrame:
-    """One row per filled slot: (carried, kind, category); optionally one total row per record."""
-    slot_kind = [(slot, kind) for kind, slots in kinds.items() for slot in slots]
-    named = [cleaned(F.col(slot)).alias(f"_slot_{i}") for i, (slot, _) in enumerate(slot_kind)]
-    names = [f"_slot_{i}" for i in range(len(named))]
-    if with_total:
-        named.append(F.lit(None).cast("string").alias(_TOTAL_SLOT))
-        names.append(_TOTAL_SLOT)
-    long = df.select(*carried, *named).unpivot(list(carried), names, "_slot", "category")
-    kind = F.when(F.col("_slot") == _TOTAL_SLOT, TOTAL) if with_total else None
-    for name in kinds:
-        members = [f"_slot_{i}" for i, (_, owner) in enumerate(slot_kind) if owner == name]
-        condition = F.col("_slot").isin(members)
-        kind = F.when(condition, name) if kind is None else kind.when(condition, name)
-    kept = F.col("category").isNotNull()
-    if with_total:
-        kept = kept | (F.col("_slot") == _TOTAL_SLOT)
-    return long.filter(kept).select(*carried, kind.alias("kind"), "category")
+    """Explode each record into (kind, category) entries and aggregate them.
+
+    A kind without slots gives one entry per record. Kinds are numbered while
+    they are grouped on and named on the few rows that remain.
+    """
+    slots = list(dict.fromkeys(slot for _, columns in kinds for slot in columns or ()))
+    carried = [*keys, *([weight] if weight else []), *sums]
+    # Computed here, below the explode, so once per record and not once per entry.
+    records = df.select(
+        *keys,
+        *([weight] if weight else []),
+        *(value.alias(name) for name, value in sums.items()),
+        *(cleaned(F.col(slot)).alias(f"_slot_{i}") for i, slot in enumerate(slots)),
+    )
+    entries = []
+    for code, (_, columns) in enumerate(kinds):
+        values = [F.lit("")] if columns is None else [F.col(f"_slot_{slots.index(slot)}") for slot in columns]
+        entries += [F.struct(F.lit(code).alias("code"), value.alias("category")) for value in values]
+    long = records.select(*carried, F.explode(F.array(*entries)).alias("_entry")).filter(
+        F.col("_entry.category").isNotNull()
+    )
+    counted = F.sum(weight) if weight else F.count(F.lit(1))
+    kind = F.lit(None).cast("string")
+    for code, (name, _) in enumerate(kinds):
+        kind = F.when(F.col("_code") == code, name).otherwise(kind)
+    return (
+        long.groupBy(*keys, F.col("_entry.code").alias("_code"), F.col("_entry.category").alias("category"))
+        .agg(counted.alias("n"), *(F.sum(name).alias(name) for name in sums))
+        .select(*keys, kind.alias("kind"), F.nullif("category", F.lit("")).alias("category"), "n", *sums)
+    )
