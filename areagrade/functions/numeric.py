@@ -13,12 +13,12 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from areagrade.functions.text import is_filled
+from areagrade.functions.text import is_filled, whole_number
 
 
 def wide_sum(cells: Iterable[Column]) -> Column:
     """Sum of text cells across a row; blank and non-numeric cells count 0."""
-    return reduce(add, (F.coalesce(F.trim(cell).try_cast("bigint"), F.lit(0).cast("bigint")) for cell in cells))
+    return reduce(add, (F.coalesce(whole_number(cell), F.lit(0).cast("bigint")) for cell in cells))
 
 
 def filled_count(cells: Iterable[Column]) -> Column:

@@ -37,9 +37,19 @@ def area_key(text: Column, width: int = 5) -> Column:
     return F.when(key.rlike("^[0-9]+$") & (F.length(key) < width), F.lpad(key, width, "0")).otherwise(key)
 
 
+def whole_number(text: Column) -> Column:
+    """Text to BIGINT, NULL when it is not a whole number.
+
+    The pattern comes first because a failing cast raises and catches an
+    exception, which costs far more than the row is worth.
+    """
+    trimmed = F.trim(text)
+    return F.when(trimmed.rlike("^[+-]?[0-9]{1,19}$"), trimmed.try_cast("bigint"))
+
+
 def numeric_key(text: Column) -> Column:
     """The key as a plain number in text form, leading zeros dropped; NULL if not a number."""
-    return F.trim(text).try_cast("bigint").cast("string")
+    return whole_number(text).cast("string")
 
 
 def capitalised(text: Column) -> Column:

@@ -22,14 +22,14 @@ def keyed_sums(
     return df.groupBy(*keys).agg(*aggregates)
 
 
-def with_shares(df: DataFrame, total: str, parts: Sequence[str], labels: bool = True) -> DataFrame:
-    """Add ``<part>_pct`` (0 when the total is 0) and ``<part>_label`` for every part."""
-    shares = {f"{part}_pct": percent(F.col(part), F.col(total)) for part in parts}
-    if labels:
-        shares |= {
-            f"{part}_label": count_label(F.col(part), percent(F.col(part), F.col(total))) for part in parts
-        }
-    return df.withColumns(shares)
+def share_columns(total: str, parts: Sequence[str]) -> dict[str, Column]:
+    """``<part>_pct``: each part's share of the total in percent, 0 when the total is 0."""
+    return {f"{part}_pct": percent(F.col(part), F.col(total)) for part in parts}
+
+
+def share_labels(total: str, parts: Sequence[str]) -> dict[str, Column]:
+    """``<part>_label``: each part with its share, as ``20: 9.0%``."""
+    return {f"{part}_label": count_label(F.col(part), percent(F.col(part), F.col(total))) for part in parts}
 
 
 def modal_value(freq: DataFrame, keys: Sequence[str], value: str, n: str = "n") -> DataFrame:

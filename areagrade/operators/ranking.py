@@ -64,46 +64,48 @@ def tiered_slots(
     count: str = "records",
     ignored: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per key from a category profile: the count, the sums and fixed slots.
+    """One row per key from a category profile: the count, the sums and the top of each kind.
 
-    For every kind in ``tiers``: ``<kind>_<i>`` (category) and ``<kind>_<i>_n``
-    for each slot i, NULL beyond the key's tier. All kinds share one ranking.
+    Every kind in ``tiers`` becomes an array of (rank, category, n) in rank
+    order, cut to the key's tier. All kinds share one ranking, and only ranked
+    rows, a handful per key, are gathered into the arrays.
     """
     if ignored:
         profile = profile.filter((F.col("kind") == TOTAL) | ~F.col("category").isin(*ignored))
     limit = max(rank_limit(each) for each in tiers.values())
     ranked = ranked_categories(profile, [*keys, "kind"], limit)
     is_total = F.col("kind") == TOTAL
-    aggregates = [F.max(F.when(is_total, F.col("n"))).alias(count)]
-    aggregates += [F.max(F.when(is_total, F.col(name))).alias(name) for name in sums]
-    slots = []
-    for kind, kind_tiers in tiers.items():
-        of_kind = F.col("kind") == kind
-        aggregates.append(F.sum(of_kind.cast("int")).alias(f"_{kind}_found"))
-        size = tier_size(F.col(f"_{kind}_found"), kind_tiers)
-        for i in range(1, max(keep for _, keep in kind_tiers) + 1):
-            at = of_kind & (F.col("rank") == i)
-            for suffix, value in (("", "category"), ("_n", "n")):
-                name = f"{kind}_{i}{suffix}"
-                aggregates.append(F.max(F.when(at, F.col(value))).alias(f"_{name}"))
-                slots.append(F.when(size >= i, F.col(f"_{name}")).alias(name))
-    return ranked.groupBy(*keys).agg(*aggregates).select(*keys, count, *sums, *slots)
-
-
-def label_slots(df: DataFrame, kinds: Mapping[str, int], total: Mapping[str, str], empty: str | None = "") -> DataFrame:
-    """Replace each slot pair by one label ``category: n: share%``.
+    entry = F.struct("rank", "category", "n")
+    gathered = ranked.groupBy(*keys).agg(
+        F.max(F.when(is_total, F.col("n"))).alias(count),
+        *(F.max(F.when(is_total, F.col(name))).alias(name) for name in sums),
+        *(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry))).alias(kind) for kind in tiers),
+    )
+    cut = [
+        F.slice(F.col(kind), F.lit(1), tier_size(F.size(kind), kind_tiers)).alias(kind)
+        for kind, kind_tiers in tiers.items()
+    ]
+    return gathered.select(*keys, count, *sums, *cut)
+
+
+def spread_slots(df: DataFrame, kinds: Mapping[str, int], total: Mapping[str, str], empty: str = "") -> DataFrame:
+    """Replace each array of a kind by its fixed slots ``<kind>_<i>``, labelled ``category: n: share%``.
 
     ``kinds`` gives the number of slots, ``total`` the denominator column of
     each kind. Unused slots take ``empty``.
     """
-    labels, used = {}, []
-    for kind, size in kinds.items():
-        for i in range(1, size + 1):
-            slot, n = f"{kind}_{i}", f"{kind}_{i}_n"
-            label = category_label(F.col(slot), F.col(n), percent(F.col(n), F.col(total[kind])))
-            labels[slot] = F.coalesce(label, F.lit(empty)) if empty is not None else label
-            used.append(n)
-    return df.withColumns(labels).drop(*used)
+
+    def labels(kind: str) -> Column:
+        base = F.col(total[kind])
+        return F.transform(kind, lambda slot: category_label(slot["category"], slot["n"], percent(slot["n"], base)))
+
+    labelled = df.withColumns({kind: labels(kind) for kind in kinds})
+    slots = [
+        F.coalesce(F.get(kind, F.lit(i)), F.lit(empty)).alias(f"{kind}_{i + 1}")
+        for kind, size in kinds.items()
+        for i in range(size)
+    ]
+    return labelled.select(*(name for name in df.columns if name not in kinds), *slots)
 
 
 def top_k(df: DataFrame, metric: str, k: int = 10, tie: str = "area") -> DataFrame:

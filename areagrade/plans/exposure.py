@@ -25,14 +25,14 @@ _AREAS = {"from_street": "from_area", "to_street": "to_area", "roadway": "roadwa
 def segment_volume(
     counts: DataFrame, hours: Sequence[str] = HOUR_COLUMNS, order_by: Sequence[str] = ("record_id",)
 ) -> DataFrame:
-    """Hourly counts per record to one row per segment: streets, volume, samples."""
-    records = counts.select(
-        "segment_id",
-        *order_by,
-        *(ordinal_street(F.col(name), STREET_ALIASES).alias(name) for name in STREETS),
-        wide_sum(F.col(name) for name in hours).alias("volume"),
-    )
-    return first_record_rollup(records, "segment_id", order_by, STREETS, "volume")
+    """Hourly counts per record to one row per segment: streets, volume, samples.
+
+    Street names are normalised on the segments, which are fewer than the records.
+    """
+    volume = wide_sum(F.col(name) for name in hours).alias("volume")
+    records = counts.select("segment_id", *order_by, *STREETS, volume)
+    segments = first_record_rollup(records, "segment_id", order_by, STREETS, "volume")
+    return segments.withColumns({name: ordinal_street(F.col(name), STREET_ALIASES) for name in STREETS})
 
 
 def area_volume(segments: DataFrame, gazetteer: DataFrame) -> DataFrame:

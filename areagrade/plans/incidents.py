@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areagrade.functions.numeric import filled_count
-from areagrade.functions.temporal import in_window, parse_timestamp
+from areagrade.functions.temporal import in_window, with_parsed_time
 from areagrade.functions.text import area_key, is_filled
 from areagrade.operators.categories import category_profile, profile_totals
-from areagrade.operators.measures import with_shares
-from areagrade.operators.ranking import label_slots, tiered_slots
+from areagrade.operators.measures import share_labels
+from areagrade.operators.ranking import spread_slots, tiered_slots
 from areagrade.schemas import (
     CASUALTY_COLUMNS,
     FACTOR_COLUMNS,
@@ -40,8 +40,9 @@ def prepare_incidents(
     formats: Sequence[str] = INCIDENT_TIME_FORMATS,
 ) -> DataFrame:
     """Records of the closed window with a readable time and an area, pruned to what is counted."""
-    moment = parse_timestamp([F.col("date"), F.col("time")], formats)
-    return records.filter(is_filled(F.col("area")) & in_window(moment, start, end)).select(
+    located = records.filter(is_filled(F.col("area")))
+    timed = with_parsed_time(located, [F.col("date"), F.col("time")], formats)
+    return timed.filter(in_window(F.col("moment"), start, end)).select(
         area_key(F.col("area")).alias("area"), *CASUALTY_COLUMNS, *FACTOR_COLUMNS, *VEHICLE_COLUMNS
     )
 
@@ -74,17 +75,18 @@ def incident_stats(profile: DataFrame, share_of: str = "vehicles") -> DataFrame:
         count="incidents",
         ignored=IGNORED_CATEGORIES,
     )
+    spread = spread_slots(slots, {"factor": 5, "vehicle": 5}, {"factor": share_of, "vehicle": "vehicles"})
+    labels = {}
     for total, parts in CASUALTY_PARTS.items():
-        slots = with_shares(slots, total, parts)
-    labelled = label_slots(slots, {"factor": 5, "vehicle": 5}, {"factor": share_of, "vehicle": "vehicles"})
-    labels = [f"{part}_label" for pair in zip(*CASUALTY_PARTS.values()) for part in pair]
-    return labelled.select(
+        labels |= share_labels(total, parts)
+    order = [f"{part}_label" for pair in zip(*CASUALTY_PARTS.values()) for part in pair]
+    return spread.select(
         "area",
         "incidents",
         "vehicles",
         "injured",
         "killed",
-        *labels,
+        *(labels[name].alias(name) for name in order),
         *(f"factor_{i}" for i in range(1, 6)),
         *(f"vehicle_{i}" for i in range(1, 6)),
     )

@@ -11,14 +11,7 @@ from areagrade.plans.exposure import annual_exposure, area_volume, segment_volum
 from areagrade.plans.incidents import incident_profile, incident_stats, incident_totals, prepare_incidents
 from areagrade.plans.requests import prepare_requests, request_profile, request_stats, request_totals
 from areagrade.plans.scorecard import rated_scorecard, report_names, reports, scorecard
-from areagrade.schemas import (
-    AREA_VOLUME,
-    GAZETTEER,
-    INCIDENT_HEADER_MARK,
-    INCIDENTS,
-    REQUEST_POSITIONS,
-    SEGMENT_COUNTS,
-)
+from areagrade.schemas import AREA_VOLUME, GAZETTEER, INCIDENTS, REQUEST_POSITIONS, SEGMENT_COUNTS
 from areagrade.session import build_session, materialise
 from areagrade.sources.delimited import read_delimited, read_positions, read_rejects
 from areagrade.sources.sinks import write_report
@@ -64,7 +57,7 @@ def run(
     for name, df in reports(card).items():
         _write(df, output, name, fmt="json")
     _write(renamed(rated, report_names()), output, "rated_scorecard")
-    rejects = read_rejects(spark, incidents_path, INCIDENTS, INCIDENT_HEADER_MARK)
+    rejects = read_rejects(spark, incidents_path, INCIDENTS)
     write_report(rejects, f"{output.rstrip('/')}/incident_rejects", "text")
     return rated
 

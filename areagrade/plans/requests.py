@@ -8,10 +8,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areagrade.functions.temporal import in_window, parse_timestamp
+from areagrade.functions.temporal import in_window, with_parsed_time
 from areagrade.functions.text import area_key, is_filled, keyword_match
 from areagrade.operators.categories import category_profile, profile_totals
-from areagrade.operators.ranking import label_slots, tiered_slots
+from areagrade.operators.ranking import spread_slots, tiered_slots
 from areagrade.schemas import (
     REQUEST_EXCLUDE,
     REQUEST_INCLUDE,
@@ -35,14 +35,11 @@ def prepare_requests(
     exclude: str | None = REQUEST_EXCLUDE,
 ) -> DataFrame:
     """Requests of the closed window on the wanted subject, with an area and a city."""
-    moment = parse_timestamp([F.col("created_at")], formats)
     wanted = (
-        is_filled(F.col("area"))
-        & is_filled(F.col("city"))
-        & keyword_match(F.col("category"), include, exclude)
-        & in_window(moment, start, end)
+        is_filled(F.col("area")) & is_filled(F.col("city")) & keyword_match(F.col("category"), include, exclude)
     )
-    return records.filter(wanted).select(
+    timed = with_parsed_time(records.filter(wanted), [F.col("created_at")], formats)
+    return timed.filter(in_window(F.col("moment"), start, end)).select(
         area_key(F.col("area")).alias("area"), F.upper("category").alias("category"), "descriptor", "city"
     )
 
@@ -64,11 +61,11 @@ def request_stats(profile: DataFrame) -> DataFrame:
         {"complaint": TIERS_THREE, "descriptor": TIERS_FIVE, "city": TIER_ONE},
         count="requests",
     )
-    slots = slots.withColumnRenamed("city_1", "city").drop("city_1_n")
-    labelled = label_slots(
+    slots = slots.withColumn("city", F.get("city", F.lit(0))["category"])
+    spread = spread_slots(
         slots, {"complaint": 3, "descriptor": 5}, {"complaint": "requests", "descriptor": "requests"}
     )
-    return labelled.select(
+    return spread.select(
         "area",
         "requests",
         *(f"complaint_{i}" for i in range(1, 4)),

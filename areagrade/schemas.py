@@ -26,7 +26,6 @@ REQUEST_INCLUDE = "Street"
 REQUEST_EXCLUDE = "Noise"
 IGNORED_CATEGORIES = ("UNKNOWN", "Unspecified")
 DUPLICATE_AREA_MARK = "NY"
-INCIDENT_HEADER_MARK = "ZIP CODE"
 STREET_ALIASES = {"AVE OF THE AMER": "AVE OF THE AMERICAS"}
 
 # distinct categories at least -> categories kept

@@ -20,17 +20,15 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType, header: b
 
     A row is left out when its number of fields differs from the schema's or a
     number does not parse. :func:`read_rejects` returns exactly those rows.
+    Rows are judged whole: a CSV scan would parse, and so judge, only the
+    columns that the rest of the query happens to use.
     """
-    checked = spark.read.csv(path, schema=_with_raw(schema), header=header, **CHECKED_OPTIONS)
-    return checked.filter(F.col(RAW).isNull()).drop(RAW)
+    return parse_lines(_read_lines(spark, path, header), "value", schema)[0]
 
 
-def read_rejects(spark: SparkSession, path: str, schema: StructType, header_mark: str | None = None) -> DataFrame:
+def read_rejects(spark: SparkSession, path: str, schema: StructType, header: bool = True) -> DataFrame:
     """The rows :func:`read_delimited` leaves out, as raw text in ``record``."""
-    lines = spark.read.text(path).withColumnRenamed("value", "record")
-    if header_mark is not None:
-        lines = drop_header_lines(lines, "record", header_mark)
-    return parse_lines(lines, "record", schema)[1]
+    return parse_lines(_read_lines(spark, path, header), "value", schema)[1].withColumnRenamed("value", "record")
 
 
 def read_positions(
@@ -50,13 +48,14 @@ def parse_lines(lines: DataFrame, line: str, schema: StructType) -> tuple[DataFr
 
     Other columns of the frame are carried along in both results.
     """
+    names = schema.fieldNames()
+    others = [name for name in lines.columns if name != line]
     ddl = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in _with_raw(schema))
+    # inline() runs the parser once; a filter over plain fields would run it again.
     fields = F.from_csv(F.col(line), ddl, CHECKED_OPTIONS)
-    others = [name for name in lines.columns if name != line]
-    parsed = lines.withColumn("_fields", fields)
-    fits = F.col(f"_fields.{RAW}").isNull()
-    records = parsed.filter(fits).select(*others, *(F.col(f"_fields.{name}") for name in schema.fieldNames()))
-    rejects = parsed.filter(~fits).select(*others, line)
+    parsed = lines.select(*others, F.col(line).alias("_line"), F.inline(F.array(fields)).alias(*names, RAW))
+    records = parsed.filter(F.col(RAW).isNull()).select(*others, *names)
+    rejects = parsed.filter(F.col(RAW).isNotNull()).select(*others, F.col("_line").alias(line))
     return records, rejects
 
 
@@ -117,5 +116,12 @@ def persisted(df: DataFrame) -> Iterator[DataFrame]:
         kept.unpersist()
 
 
+def _read_lines(spark: SparkSession, path: str, header: bool) -> DataFrame:
+    """Non-blank lines; with ``header``, without any line equal to the first one."""
+    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    first = lines.head() if header else None
+    return lines.filter(F.col("value") != first["value"]) if first is not None else lines
+
+
 def _with_raw(schema: StructType) -> StructType:
     return StructType(list(schema.fields)).add(RAW, StringType())

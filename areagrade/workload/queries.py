@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, Str
 
 from areagrade.functions.labels import category_label
 from areagrade.functions.numeric import filled_count, percent, wide_sum
-from areagrade.functions.temporal import in_window, parse_timestamp
+from areagrade.functions.temporal import in_window, with_parsed_time
 from areagrade.functions.text import (
     area_key,
     capitalised,
@@ -39,9 +39,10 @@ from areagrade.operators.measures import (
     keyed_sums,
     modal_value,
     ratio_over_period,
-    with_shares,
+    share_columns,
+    share_labels,
 )
-from areagrade.operators.ranking import bottom_k, label_slots, tiered_slots, tiered_top, top_k
+from areagrade.operators.ranking import bottom_k, spread_slots, tiered_slots, tiered_top, top_k
 from areagrade.operators.scorecard import join_areas, metric_summary, renamed, sigma_bounds, with_rates, with_rating
 from areagrade.plans import exposure as exposure_plan
 from areagrade.plans.incidents import CASUALTY_PARTS, incident_profile, incident_stats, incident_totals
@@ -86,10 +87,11 @@ def slot_occupancy(spark: SparkSession, sf: str) -> DataFrame:
 
 def casualty_shares(spark: SparkSession, sf: str) -> DataFrame:
     records = b.incidents(spark, sf, with_factors=False, with_vehicles=False)
-    shares = keyed_sums(records, ["area"], {name: F.col(name) for name in CASUALTY_COLUMNS})
+    sums = keyed_sums(records, ["area"], {name: F.col(name) for name in CASUALTY_COLUMNS})
+    shares = {}
     for total, parts in CASUALTY_PARTS.items():
-        shares = with_shares(shares, f"persons_{total}", parts)
-    return shares
+        shares |= share_columns(f"persons_{total}", parts) | share_labels(f"persons_{total}", parts)
+    return sums.withColumns(shares)
 
 
 def type_frequency(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,7 +118,7 @@ def _top_with_shares(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     records = b.incidents(spark, sf, with_factors=kind == "factor")
     profile = category_profile(records, ["area"], kinds, sums)
     slots = tiered_slots(profile, ["area"], {kind: TIERS_FIVE}, sums=["vehicles"])
-    return label_slots(slots, {kind: 5}, {kind: "vehicles"}).drop("records")
+    return spread_slots(slots, {kind: 5}, {kind: "vehicles"}).drop("records")
 
 
 def top_types_tiered(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,7 +140,7 @@ def top_types_long(spark: SparkSession, sf: str) -> DataFrame:
 def _tier_case(spark: SparkSession, sf: str, records: DataFrame, column: str) -> DataFrame:
     profile = category_profile(records, ["area"], {"status": [column]})
     slots = tiered_slots(profile, ["area"], {"status": TIERS_FIVE})
-    return label_slots(slots, {"status": 5}, {"status": "records"})
+    return spread_slots(slots, {"status": 5}, {"status": "records"})
 
 
 def tier_one_only(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,8 +292,8 @@ def parse_or_drop(spark: SparkSession, sf: str) -> DataFrame:
     date = F.date_format("l_shipdate", "MM/dd/yyyy")
     hour = F.col("l_quantity").cast("int").cast("string")
     time = F.concat(hour, F.lit(":"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"))
-    moment = parse_timestamp([date, time], ["MM/dd/yyyy H:mm"])
-    return lines.select("l_orderkey", "l_linenumber", moment.alias("moment")).filter(F.col("moment").isNotNull())
+    timed = with_parsed_time(lines, [date, time], ["MM/dd/yyyy H:mm"])
+    return timed.select("l_orderkey", "l_linenumber", "moment")
 
 
 def keyword_filter(spark: SparkSession, sf: str) -> DataFrame:
