@@ -6,19 +6,31 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areagrade.functions.numeric import whole_div
 
 
+def _share(measure: str, weight: Column, parts: Column | int, exact: bool) -> Column:
+    """``weight`` of ``parts`` equal parts: each part truncated, or exactly as a double."""
+    if exact:
+        return F.col(measure) * weight / parts
+    return weight * whole_div(F.col(measure), parts)
+
+
 def split_area_cells(
-    df: DataFrame, area: str = "area", measures: Sequence[str] = ("volume", "samples"), drop_mark: str | None = None
+    df: DataFrame,
+    area: str = "area",
+    measures: Sequence[str] = ("volume", "samples"),
+    drop_mark: str | None = None,
+    exact: bool = False,
 ) -> DataFrame:
     """Rows whose area cell names several areas (``a;b``, ``a: b``) become one row per area.
 
-    Each takes an equal share of the measures, truncated. Rows whose cell
-    contains ``drop_mark`` repeat another row and are dropped. Row-local.
+    Each takes an equal share of the measures, truncated unless ``exact``. Rows
+    whose cell contains ``drop_mark`` repeat another row and are dropped.
+    Row-local.
     """
     if drop_mark is not None:
         df = df.filter(~F.col(area).contains(drop_mark))
@@ -26,18 +38,19 @@ def split_area_cells(
     parts = df.withColumn("_areas", F.split(trimmed, r"\s*[;:][;:\s]*"))
     named = F.size("_areas")
     shares = {
-        name: F.when(named == 1, F.col(name)).otherwise(whole_div(F.col(name), named)) for name in measures
+        name: F.when(named == 1, F.col(name)).otherwise(_share(name, F.lit(1), named, exact)) for name in measures
     }
     return parts.withColumns(shares).withColumn(area, F.explode("_areas")).drop("_areas")
 
 
 def apportion_by_position(
-    df: DataFrame, areas: Sequence[str], measures: Sequence[str], output: str = "area"
+    df: DataFrame, areas: Sequence[str], measures: Sequence[str], output: str = "area", exact: bool = False
 ) -> DataFrame:
     """Spread measures over the areas named in several columns of a row.
 
     Every column carries one n-th. An area named w times gets w times the
-    truncated n-th, an area named in all columns gets the measure whole.
+    truncated n-th (w n-ths as a double if ``exact``), an area named in all
+    columns gets the measure whole.
     Row-local: no shuffle and no row ids; other columns are carried along.
     """
     n = len(areas)
@@ -54,7 +67,7 @@ def apportion_by_position(
         *others,
         F.col("_share.area").alias(output),
         *(
-            F.when(weight == n, F.col(name).cast("bigint")).otherwise(weight * whole_div(F.col(name), n)).alias(name)
+            F.when(weight == n, F.col(name)).otherwise(_share(name, weight, n, exact)).alias(name)
             for name in measures
         ),
     )

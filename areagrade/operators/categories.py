@@ -41,26 +41,32 @@ def category_profile(
     return _count_entries(df, keys, [(TOTAL, None), *kinds.items()], sums or {}, weight)
 
 
-def category_totals(freq: DataFrame, by: Sequence[str] = ("category",)) -> DataFrame:
-    """Totals over all keys, most frequent first, ties by category."""
-    totals = freq.groupBy(*by).agg(F.sum("n").alias("n"))
-    return totals.orderBy(F.desc("n"), *by)
+def category_totals(
+    df: DataFrame, kinds: Mapping[str, Sequence[str]], weight: str | None = None
+) -> DataFrame:
+    """(kind, category, n) over all records, most frequent first, ties by name."""
+    return category_frequency(df, [], kinds, weight).orderBy(F.desc("n"), "kind", "category")
 
 
 def profile_totals(profile: DataFrame, count: str, sums: Sequence[str]) -> DataFrame:
     """One list of all totals, (kind, category, n): metrics and categories together.
 
-    The record count and the sums become rows of kind ``metric``.
+    The record count and the sums become rows of kind ``metric``. The profile
+    is read once: its grand total row is exploded into the metrics, instead of
+    being filtered out of one copy and unioned to another.
     """
     rolled = profile.groupBy("kind", "category").agg(
         F.sum("n").alias("n"), *(F.sum(name).alias(name) for name in sums)
     )
-    metrics = rolled.filter(F.col("kind") == TOTAL).select(F.col("n").alias(count), *sums)
-    metric_rows = metrics.unpivot([], [count, *sums], "category", "n").select(
-        F.lit("metric").alias("kind"), "category", "n"
-    )
-    categories = rolled.filter(F.col("kind") != TOTAL).select("kind", "category", "n")
-    return categories.unionByName(metric_rows).orderBy(F.desc("n"), "kind", "category")
+
+    def row(kind: Column, category: Column, n: Column) -> Column:
+        return F.struct(kind.alias("kind"), category.alias("category"), n.alias("n"))
+
+    metrics = [(count, F.col("n")), *((name, F.col(name)) for name in sums)]
+    metric_rows = F.array(*(row(F.lit("metric"), F.lit(name), value) for name, value in metrics))
+    own_row = F.array(row(F.col("kind"), F.col("category"), F.col("n")))
+    rows = F.when(F.col("kind") == TOTAL, metric_rows).otherwise(own_row)
+    return rolled.select(F.inline(rows)).orderBy(F.desc("n"), "kind", "category")
 
 
 def two_level_totals(freq: DataFrame, key: str) -> DataFrame:

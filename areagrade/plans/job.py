@@ -12,7 +12,7 @@ from areagrade.plans.incidents import incident_profile, incident_stats, incident
 from areagrade.plans.requests import prepare_requests, request_profile, request_stats, request_totals
 from areagrade.plans.scorecard import rated_scorecard, report_names, reports, scorecard
 from areagrade.schemas import AREA_VOLUME, GAZETTEER, INCIDENTS, REQUEST_POSITIONS, SEGMENT_COUNTS
-from areagrade.session import build_session, materialise
+from areagrade.session import build_session, materialise, size_shuffles
 from areagrade.sources.delimited import read_delimited, read_positions, read_rejects
 from areagrade.sources.sinks import write_report
 
@@ -23,6 +23,7 @@ def write_area_volume(spark: SparkSession, counts_path: str, gazetteer_path: str
     """Hourly segment counts and a street gazetteer to the (area, volume, samples) file."""
     counts = read_delimited(spark, counts_path, SEGMENT_COUNTS)
     gazetteer = read_delimited(spark, gazetteer_path, GAZETTEER)
+    size_shuffles(counts)
     write_report(area_volume(segment_volume(counts), gazetteer), output)
 
 
@@ -33,6 +34,7 @@ def run(
     incidents = prepare_incidents(read_delimited(spark, incidents_path, INCIDENTS))
     requests = prepare_requests(read_positions(spark, requests_path, REQUEST_POSITIONS))
     exposure = annual_exposure(read_delimited(spark, volume_path, AREA_VOLUME))
+    size_shuffles(incidents, requests)
     by_incident, by_request = incident_profile(incidents), request_profile(requests)
     if output is None:
         card = scorecard(exposure, incident_stats(by_incident), request_stats(by_request))

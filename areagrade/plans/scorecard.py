@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame
 
 from areagrade.operators.ranking import bottom_k, top_k
 from areagrade.operators.scorecard import join_areas, metric_summary, renamed, with_rates, with_rating
-from areagrade.schemas import RATE_COLUMNS, RATING_NAME, SCORECARD_NAMES, SUMMARY_NAMES
+from areagrade.schemas import RATE_COLUMNS, RATING_NAME, SCORECARD, SCORECARD_NAMES, SUMMARY_NAMES
 
 
 def scorecard(exposure: DataFrame, incidents: DataFrame, requests: DataFrame, scale: int = 1000) -> DataFrame:
-    """Areas known to all three sources with their rates: 27 columns."""
-    joined = with_rates(join_areas(exposure, incidents, requests), scale)
-    return joined.select(*SCORECARD_NAMES)
+    """Areas known to all three sources with their rates: the 27 declared columns."""
+    return with_rates(join_areas(exposure, incidents, requests), scale).to(SCORECARD)
 
 
 def rated_scorecard(card: DataFrame, k: int = 1) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 # --- fixed values -----------------------------------------------------------
 
@@ -102,3 +102,15 @@ GAZETTEER = StructType(_strings("street", "area"))
 AREA_VOLUME = StructType(
     [StructField("area", StringType()), StructField("volume", LongType()), StructField("samples", LongType())]
 )
+
+# --- outputs ----------------------------------------------------------------
+
+_COUNTS = ("incidents", "vehicles", "requests")
+SCORECARD = StructType(
+    [
+        StructField(
+            name, LongType() if name in _COUNTS else DoubleType() if name in RATE_COLUMNS else StringType()
+        )
+        for name in SCORECARD_NAMES
+    ]
+)

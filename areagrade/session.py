@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -33,6 +34,23 @@ def build_session(app_name: str = "areagrade", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def size_shuffles(*inputs: DataFrame, partition_bytes: int = 128 << 20, most: int = 50_000) -> int:
+    """Set ``spark.sql.shuffle.partitions`` so that shuffling the inputs gives partitions of moderate size.
+
+    Takes the larger of the current setting and the inputs' size by Spark's own
+    statistics; AQE merges what turns out too small, but splits only skew.
+    """
+    conf = inputs[0].sparkSession.conf
+    total = sum(_estimated_bytes(df) for df in inputs)
+    wanted = max(int(conf.get("spark.sql.shuffle.partitions")), min(most, math.ceil(total / partition_bytes)))
+    conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return wanted
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, from ``spark.checkpoint.dir``.
 

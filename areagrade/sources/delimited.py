@@ -46,14 +46,17 @@ def read_positions(
 def parse_lines(lines: DataFrame, line: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """Parse text lines that are already in a frame into (records, rejects).
 
-    Other columns of the frame are carried along in both results.
+    Other columns of the frame are carried along in both results. NULL lines
+    are neither.
     """
     names = schema.fieldNames()
     others = [name for name in lines.columns if name != line]
     ddl = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in _with_raw(schema))
     # inline() runs the parser once; a filter over plain fields would run it again.
     fields = F.from_csv(F.col(line), ddl, CHECKED_OPTIONS)
-    parsed = lines.select(*others, F.col(line).alias("_line"), F.inline(F.array(fields)).alias(*names, RAW))
+    parsed = lines.filter(F.col(line).isNotNull()).select(
+        *others, F.col(line).alias("_line"), F.inline(F.array(fields)).alias(*names, RAW)
+    )
     records = parsed.filter(F.col(RAW).isNull()).select(*others, *names)
     rejects = parsed.filter(F.col(RAW).isNotNull()).select(*others, F.col("_line").alias(line))
     return records, rejects

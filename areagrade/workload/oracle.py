@@ -262,6 +262,15 @@ spread as (
 )""",
 ]
 
+THREE_WAYS = """
+rec as (
+  select row_number() over () as id, l_orderkey, c_nationkey as a, s_nationkey as b, cast(l_quantity as int) as c,
+         cast(floor(l_quantity * 10) as bigint) as volume, cast(l_linenumber as bigint) as samples
+  from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
+  join supplier on l_suppkey = s_suppkey
+),
+long as (select id, l_orderkey, unnest([a, b, c]) as area, volume, samples from rec)"""
+
 CELLS = """
 case when p_type = 'PROMO' then replace(p_name, ' ', ',')
      when p_type = 'LARGE' then replace(p_name, ' ', ',') || ',extra'
@@ -385,17 +394,13 @@ ORACLE: dict[str, str] = {
         case when p_size = 1 then 'AVE OF THE AMERICAS' else 'WEST ' || {ORDINAL.format('p_size')} || ' ST' end as west,
         'E ' || {ORDINAL.format('(p_size + 90)')} || ' ST & ' || {ORDINAL.format('p_size')} || ' AVE' as east
       from part""",
-    "three_way_apportion": """
-      with rec as (
-        select row_number() over () as id, l_orderkey, c_nationkey as a, s_nationkey as b, cast(l_quantity as int) as c,
-               cast(floor(l_quantity * 10) as bigint) as volume, cast(l_linenumber as bigint) as samples
-        from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
-        join supplier on l_suppkey = s_suppkey),
-      long as (select id, l_orderkey, unnest([a, b, c]) as area, volume, samples from rec)
+    "three_way_apportion": f"""{_with(THREE_WAYS)}
       select max(l_orderkey) as l_orderkey, area,
              case when count(*) = 3 then max(volume) else count(*) * (max(volume) // 3) end as volume,
              case when count(*) = 3 then max(samples) else count(*) * (max(samples) // 3) end as samples
       from long group by id, area""",
+    "three_way_apportion_exact": f"""{_with(THREE_WAYS)}
+      select max(l_orderkey) as l_orderkey, area, max(volume) * count(*) / 3 as volume from long group by id, area""",
     "location_lookup": f"""{_with(SEGMENTS, GAZ)} select segment_id, 'NATION ' || k1 || ' ST' as roadway,
         'NATION ' || k2 || ' ST' as from_street, 'NATION ' || k3 || ' ST' as to_street,
         w.area as roadway_area, f.area as from_area, t.area as to_area

@@ -104,7 +104,7 @@ def factor_frequency(spark: SparkSession, sf: str) -> DataFrame:
 
 def all_category_totals(spark: SparkSession, sf: str) -> DataFrame:
     kinds = {"factor": b.FACTORS, "vehicle": b.VEHICLES}
-    return category_totals(category_frequency(b.incidents(spark, sf), [], kinds), ["kind", "category"])
+    return category_totals(b.incidents(spark, sf), kinds)
 
 
 def category_totals_two_level(spark: SparkSession, sf: str) -> DataFrame:
@@ -234,11 +234,12 @@ def street_ordinals(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def three_way_apportion(spark: SparkSession, sf: str) -> DataFrame:
+def _named_three_ways(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines with the nation of the customer, the nation of the supplier and a number as areas."""
     customer = read_table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     orders = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     supplier = read_table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    records = (
+    return (
         read_table(spark, sf, "lineitem")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
@@ -252,7 +253,15 @@ def three_way_apportion(spark: SparkSession, sf: str) -> DataFrame:
             F.col("l_linenumber").cast("bigint").alias("samples"),
         )
     )
-    return apportion_by_position(records, ("a", "b", "c"), ("volume", "samples"))
+
+
+def three_way_apportion(spark: SparkSession, sf: str) -> DataFrame:
+    return apportion_by_position(_named_three_ways(spark, sf), ("a", "b", "c"), ("volume", "samples"))
+
+
+def three_way_apportion_exact(spark: SparkSession, sf: str) -> DataFrame:
+    records = _named_three_ways(spark, sf).drop("samples")
+    return apportion_by_position(records, ("a", "b", "c"), ("volume",), exact=True)
 
 
 def location_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -478,6 +487,7 @@ QUERIES: dict[str, Query] = {
     "wide_numeric_sum": wide_numeric_sum,
     "street_ordinals": street_ordinals,
     "three_way_apportion": three_way_apportion,
+    "three_way_apportion_exact": three_way_apportion_exact,
     "location_lookup": location_lookup,
     "area_volume": area_volume,
     "street_exposure": street_exposure,

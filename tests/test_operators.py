@@ -71,7 +71,8 @@ def test_category_profile_has_one_total_row_per_key(records):
 
 def test_totals(records):
     freq = category_frequency(records, ["area"], {"v": ["a", "b"]})
-    assert [tuple(r) for r in category_totals(freq).collect()] == [("VAN", 3), ("BUS", 2)]
+    listed = category_totals(records, {"v": ["a", "b"]})
+    assert [tuple(r) for r in listed.collect()] == [("v", "VAN", 3), ("v", "BUS", 2)]
     assert set(tuples(two_level_totals(freq, "area"))) == {
         (None, "BUS", 2),
         (None, "VAN", 3),
@@ -226,6 +227,15 @@ def test_apportion_never_exceeds_the_input(spark):
     assert joined.filter("v2 > v or v - v2 > 2 or s2 > s").count() == 0
 
 
+def test_exact_shares_add_up(frame):
+    df = frame("p string, q string, r string, v bigint", ("a", "a", "b", 100), ("a", "b", "c", 100), ("c", "c", "c", 100))
+    got = tuples(apportion_by_position(df, ("p", "q", "r"), ("v",), exact=True))
+    assert [area for area, _ in got] == ["a", "a", "b", "b", "c", "c"]
+    assert sum(v for _, v in got) == pytest.approx(300) and ("a", pytest.approx(200 / 3)) in got
+    cells = frame("area string, volume bigint, samples bigint", ("x;y", 5, 3))
+    assert tuples(split_area_cells(cells, exact=True)) == [("x", 2.5, 1.5), ("y", 2.5, 1.5)]
+
+
 def test_apportion_two_ways(frame):
     df = frame("p string, q string, v bigint", ("a", "b", 7), ("a", "a", 7))
     assert tuples(apportion_by_position(df, ("p", "q"), ("v",))) == [("a", 3), ("a", 7), ("b", 3)]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from areagrade.schemas import INCIDENTS
-from areagrade.session import materialise, scratch_path, shared_folder
+from areagrade.session import materialise, scratch_path, shared_folder, size_shuffles
 from areagrade.sources.delimited import (
     drop_header_lines,
     merge_surplus_cells,
@@ -182,3 +182,15 @@ def test_materialise_uses_the_configured_folder(spark):
     df = materialise(spark.range(5).selectExpr("id % 2 as k").groupBy("k").count())
     assert tuples(df) == [(0, 3), (1, 2)]
     assert "ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shuffles_grow_with_the_input(spark, tmp_path):
+    spark.range(200_000).write.parquet(str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffles(df) == int(before)
+        assert size_shuffles(df, partition_bytes=1 << 16) > int(before)
+        assert size_shuffles(df, partition_bytes=1, most=300) == 300
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
