@@ -22,6 +22,27 @@ def keyed_sums(
     return df.groupBy(*keys).agg(*aggregates)
 
 
+def rolled_up_sums(
+    df: DataFrame,
+    foreign_key: str,
+    dimension: DataFrame,
+    keys: Sequence[str],
+    sums: Mapping[str, Column],
+    count: str | None = None,
+) -> DataFrame:
+    """Sums per attribute of a dimension, summed by the foreign key before the join.
+
+    ``dimension`` has the foreign key's name for its own unique key. The first
+    sum's shuffle also serves the join, records cross the network once, and a
+    foreign key with most of the records is one row per map task.
+    """
+    by_foreign_key = keyed_sums(df, [foreign_key], sums, count)
+    names = [*([count] if count else []), *sums]
+    return keyed_sums(
+        by_foreign_key.join(dimension, foreign_key, "inner"), keys, {name: F.col(name) for name in names}
+    )
+
+
 def share_columns(total: str, parts: Sequence[str]) -> dict[str, Column]:
     """``<part>_pct``: each part's share of the total in percent, 0 when the total is 0."""
     return {f"{part}_pct": percent(F.col(part), F.col(total)) for part in parts}

@@ -32,8 +32,11 @@ def customers(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "customer").select("c_custkey", _area("c_nationkey"), "c_mktsegment")
 
 
-def incidents(spark: SparkSession, sf: str, with_factors: bool = True, with_vehicles: bool = True) -> DataFrame:
-    """Incident records; the tables behind unused category columns are not read."""
+def incident_lines(
+    spark: SparkSession, sf: str, with_factors: bool = True, with_vehicles: bool = True
+) -> DataFrame:
+    """Incident records with the supplier in place of the area; the tables behind
+    unused category columns are not read."""
     lines = read_table(spark, sf, "lineitem")
     injured = F.col("l_returnflag") == "R"
     killed = injured & (F.col("l_discount") >= 0.09)
@@ -46,22 +49,25 @@ def incidents(spark: SparkSession, sf: str, with_factors: bool = True, with_vehi
     for name in ("pedestrians", "cyclists", "motorists"):
         columns[f"{name}_injured"] = injured & (group == name)
         columns[f"{name}_killed"] = killed & (group == name)
-    selected = [F.col("area"), *(value.cast("int").alias(name) for name, value in columns.items())]
-
-    joined = lines.join(suppliers(spark, sf), F.col("l_suppkey") == F.col("s_suppkey"))
+    selected = [F.col("l_suppkey").alias("s_suppkey"), *(value.cast("int").alias(name) for name, value in columns.items())]
     if with_vehicles:
         parts = read_table(spark, sf, "part").select("p_partkey", "p_type", "p_brand")
-        joined = joined.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         selected += [F.col("p_type").alias("vehicle_1"), F.col("p_brand").alias("vehicle_2")]
     if with_factors:
         orders = read_table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
-        joined = joined.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         selected += [
             F.col("o_orderpriority").alias("factor_1"),
             F.col("l_returnflag").alias("factor_2"),
             F.nullif(F.col("l_linestatus"), F.lit("O")).alias("factor_3"),
         ]
-    return joined.select(*selected)
+    return lines.select(*selected)
+
+
+def incidents(spark: SparkSession, sf: str, with_factors: bool = True, with_vehicles: bool = True) -> DataFrame:
+    """Incident records with their area."""
+    return incident_lines(spark, sf, with_factors, with_vehicles).join(suppliers(spark, sf), "s_suppkey").drop("s_suppkey")
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,7 +75,7 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     join, so a user with most of the events is a handful of rows in the shuffle."""
     events = read_table(spark, sf, "events")
     counted = keyed_sums(events, ["user_id", "event_type", "props"], {}, count="weight")
-    return counted.join(customers(spark, sf), F.col("user_id") == F.col("c_custkey")).select(
+    return _located_requests(spark, sf, counted).select(
         "area",
         F.col("event_type").alias("category"),
         F.col("props").alias("descriptor"),
@@ -78,6 +84,16 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def request_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """As :func:`requests` where neither category nor descriptor matters: one row per user."""
+    counted = keyed_sums(read_table(spark, sf, "events"), ["user_id"], {}, count="weight")
+    return _located_requests(spark, sf, counted).select("area", F.col("c_mktsegment").alias("city"), "weight")
+
+
+def _located_requests(spark: SparkSession, sf: str, counted: DataFrame) -> DataFrame:
+    return counted.join(customers(spark, sf), F.col("user_id") == F.col("c_custkey"))
+
+
 def volumes(spark: SparkSession, sf: str) -> DataFrame:
     """Order value and number of orders, summed per customer before the join with its area."""
     orders = read_table(spark, sf, "orders")

@@ -39,6 +39,7 @@ from areagrade.operators.measures import (
     keyed_sums,
     modal_value,
     ratio_over_period,
+    rolled_up_sums,
     share_columns,
     share_labels,
 )
@@ -73,21 +74,25 @@ Query = Callable[[SparkSession, str], DataFrame]
 # --- statistics per area ------------------------------------------------------
 
 
+def _sums_by_area(spark: SparkSession, sf: str, lines: DataFrame, sums, count: str | None = None) -> DataFrame:
+    return rolled_up_sums(lines, "s_suppkey", b.suppliers(spark, sf), ["area"], sums, count)
+
+
 def incident_measures(spark: SparkSession, sf: str) -> DataFrame:
     sums = {"vehicles": filled_count(F.col(name) for name in b.VEHICLES)}
     sums |= {name: F.col(name) for name in CASUALTY_COLUMNS}
-    return keyed_sums(b.incidents(spark, sf, with_factors=False), ["area"], sums, count="incidents")
+    return _sums_by_area(spark, sf, b.incident_lines(spark, sf, with_factors=False), sums, "incidents")
 
 
 def slot_occupancy(spark: SparkSession, sf: str) -> DataFrame:
-    records = b.incidents(spark, sf)
-    sums = {"factors": filled_count(F.col(n) for n in b.FACTORS), "vehicles": filled_count(F.col(n) for n in b.VEHICLES)}
-    return keyed_sums(records, ["area"], sums)
+    slots = {"factors": b.FACTORS, "vehicles": b.VEHICLES}
+    sums = {name: filled_count(F.col(slot) for slot in columns) for name, columns in slots.items()}
+    return _sums_by_area(spark, sf, b.incident_lines(spark, sf), sums)
 
 
 def casualty_shares(spark: SparkSession, sf: str) -> DataFrame:
-    records = b.incidents(spark, sf, with_factors=False, with_vehicles=False)
-    sums = keyed_sums(records, ["area"], {name: F.col(name) for name in CASUALTY_COLUMNS})
+    lines = b.incident_lines(spark, sf, with_factors=False, with_vehicles=False)
+    sums = _sums_by_area(spark, sf, lines, {name: F.col(name) for name in CASUALTY_COLUMNS})
     shares = {}
     for total, parts in CASUALTY_PARTS.items():
         shares |= share_columns(f"persons_{total}", parts) | share_labels(f"persons_{total}", parts)
@@ -156,7 +161,7 @@ def tier_three(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def modal_city(spark: SparkSession, sf: str) -> DataFrame:
-    freq = category_frequency(b.requests(spark, sf), ["area"], {"city": ["city"]}, weight="weight")
+    freq = category_frequency(b.request_counts(spark, sf), ["area"], {"city": ["city"]}, weight="weight")
     return modal_value(freq.select("area", F.col("category").alias("city"), "n"), ["area"], "city")
 
 
@@ -239,10 +244,11 @@ def _named_three_ways(spark: SparkSession, sf: str) -> DataFrame:
     customer = read_table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     orders = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     supplier = read_table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    # Orders meet their customers first, so that the lines are shuffled for two joins and not three.
+    placed = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
     return (
         read_table(spark, sf, "lineitem")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
             "l_orderkey",
@@ -422,7 +428,7 @@ def rates(spark: SparkSession, sf: str) -> DataFrame:
         F.col("persons_injured").alias("injured"),
         F.col("persons_killed").alias("killed"),
     )
-    asked = keyed_sums(b.requests(spark, sf), ["area"], {"requests": F.col("weight")})
+    asked = keyed_sums(b.request_counts(spark, sf), ["area"], {"requests": F.col("weight")})
     return with_rates(join_areas(annual_exposure(spark, sf), measures, asked), b.RATE_SCALE)
 
 

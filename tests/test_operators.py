@@ -19,6 +19,7 @@ from areagrade.operators.measures import (
     keyed_sums,
     modal_value,
     ratio_over_period,
+    rolled_up_sums,
     share_columns,
     share_labels,
 )
@@ -181,6 +182,15 @@ def test_keyed_sums_and_shares(frame):
     assert tuples(shares) == [("x", 25.0, "1: 25.0%"), ("y", 0.0, "0: 0.0%")]
 
 
+def test_rolled_up_sums_equal_sums_after_the_join(frame):
+    df = frame("fk int, v int", (1, 5), (1, 6), (2, 7), (3, 100), (None, 9))
+    dimension = frame("fk int, area string", (1, "x"), (2, "x"), (4, "y"))
+    rolled = rolled_up_sums(df, "fk", dimension, ["area"], {"v": F.col("v"), "w": F.col("v") * 2}, count="n")
+    assert tuples(rolled) == [("x", 3, 18, 36)]
+    joined = keyed_sums(df.join(dimension, "fk"), ["area"], {"v": F.col("v"), "w": F.col("v") * 2}, count="n")
+    assert tuples(rolled) == tuples(joined)
+
+
 CELLS = {
     ("11220;11204", 39295, 7): [("11220", 19647, 3), ("11204", 19647, 3)],
     ("11218; 11232", 19466, 6): [("11218", 9733, 3), ("11232", 9733, 3)],
