@@ -10,13 +10,32 @@ from areagrade.operators.scorecard import renamed
 from areagrade.plans.exposure import annual_exposure, area_volume, segment_volume
 from areagrade.plans.incidents import incident_profile, incident_stats, incident_totals, prepare_incidents
 from areagrade.plans.requests import prepare_requests, request_profile, request_stats, request_totals
-from areagrade.plans.scorecard import rated_scorecard, report_names, reports, scorecard
-from areagrade.schemas import AREA_VOLUME, GAZETTEER, INCIDENTS, REQUEST_POSITIONS, SEGMENT_COUNTS
+from areagrade.plans.scorecard import rated_scorecard, reports, scorecard
+from areagrade.schemas import (
+    AREA_VOLUME,
+    EXPOSURE_NAMES,
+    GAZETTEER,
+    INCIDENT_NAMES,
+    INCIDENTS,
+    RATED_NAMES,
+    REQUEST_NAMES,
+    REQUEST_POSITIONS,
+    SEGMENT_COUNTS,
+    TOTAL_NAMES,
+    VOLUME_NAMES,
+)
 from areagrade.session import build_session, materialise, size_shuffles
 from areagrade.sources.delimited import read_delimited, read_positions, read_rejects
 from areagrade.sources.sinks import write_report
 
 REPORT_ROWS = 10_000  # reports up to this size are written as one file
+STATISTIC_NAMES = {
+    "incident_stats": INCIDENT_NAMES,
+    "incident_totals": TOTAL_NAMES,
+    "request_stats": REQUEST_NAMES,
+    "request_totals": TOTAL_NAMES,
+    "exposure": EXPOSURE_NAMES,
+}
 
 
 def write_area_volume(spark: SparkSession, counts_path: str, gazetteer_path: str, output: str) -> None:
@@ -24,7 +43,7 @@ def write_area_volume(spark: SparkSession, counts_path: str, gazetteer_path: str
     counts = read_delimited(spark, counts_path, SEGMENT_COUNTS)
     gazetteer = read_delimited(spark, gazetteer_path, GAZETTEER)
     size_shuffles(counts)
-    write_report(area_volume(segment_volume(counts), gazetteer), output)
+    write_report(renamed(area_volume(segment_volume(counts), gazetteer), VOLUME_NAMES), output)
 
 
 def run(
@@ -55,10 +74,10 @@ def run(
     )
     rated = rated_scorecard(card)
     for name, df in statistics.items():
-        _write(df, output, name)
+        _write(renamed(df, STATISTIC_NAMES[name]), output, name)
     for name, df in reports(card).items():
         _write(df, output, name, fmt="json")
-    _write(renamed(rated, report_names()), output, "rated_scorecard")
+    _write(renamed(rated, RATED_NAMES), output, "rated_scorecard")
     rejects = read_rejects(spark, incidents_path, INCIDENTS)
     write_report(rejects, f"{output.rstrip('/')}/incident_rejects", "text")
     return rated

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from areagrade.operators.ranking import bottom_k, top_k
 from areagrade.operators.scorecard import join_areas, metric_summary, renamed, with_rates, with_rating
-from areagrade.schemas import RATE_COLUMNS, RATING_NAME, SCORECARD, SCORECARD_NAMES, SUMMARY_NAMES
+from areagrade.schemas import RATE_COLUMNS, RATED_NAMES, SCORECARD, SCORECARD_NAMES, SUMMARY_NAMES
 
 
 def scorecard(exposure: DataFrame, incidents: DataFrame, requests: DataFrame, scale: int = 1000) -> DataFrame:
@@ -19,7 +19,7 @@ def rated_scorecard(card: DataFrame, k: int = 1) -> DataFrame:
 
     The card feeds both the bounds and the rows: pass it materialised.
     """
-    return with_rating(card, k).select(*report_names())
+    return with_rating(card, k).select(*RATED_NAMES)
 
 
 def reports(card: DataFrame, k: int = 10) -> dict[str, DataFrame]:
@@ -27,14 +27,8 @@ def reports(card: DataFrame, k: int = 10) -> dict[str, DataFrame]:
 
     Nine reports read ``card``: pass it materialised.
     """
-    named = {"summary": renamed(metric_summary(card), {"statistic": "summary"} | SUMMARY_NAMES)}
+    named = {"summary": renamed(metric_summary(card), SUMMARY_NAMES)}
     for metric in RATE_COLUMNS:
         named[f"top_{metric}"] = renamed(top_k(card, metric, k), SCORECARD_NAMES)
         named[f"bottom_{metric}"] = renamed(bottom_k(card, metric, k), SCORECARD_NAMES)
     return named
-
-
-def report_names() -> dict[str, str]:
-    """Report name of every column of the rated scorecard, in order."""
-    names = list(SCORECARD_NAMES.items())
-    return dict(names[:2] + [("rating", RATING_NAME)] + names[2:])

@@ -35,7 +35,36 @@ TIER_ONE = ((1, 1),)
 
 RATE_COLUMNS = ("incident_rate", "injury_rate", "death_rate", "vehicles_per_incident")
 
-# report name of every scorecard column, in report order
+# Report headers: our column -> its name in the written report, in report order.
+
+INCIDENT_NAMES = {
+    "area": "Zip_code",
+    "incidents": "Total_accidents",
+    "vehicles": "Total_vehicles_in_accidents",
+    "injured": "Total_persons_injured",
+    "killed": "Total_persons_killed",
+    "pedestrians_injured_label": "Total_pedestrians_injured",
+    "pedestrians_killed_label": "Total_pedestrians_killed",
+    "cyclists_injured_label": "Total_cyclists_injured",
+    "cyclists_killed_label": "Total_cyclists_killed",
+    "motorists_injured_label": "Total_motorists_injured",
+    "motorists_killed_label": "Total_motorists_killed",
+    **{f"factor_{i}": f"Top_factor_{i}" for i in range(1, 6)},
+    **{f"vehicle_{i}": f"Top_vehicle_type_{i}" for i in range(1, 6)},
+}
+
+REQUEST_NAMES = {
+    "area": "Zip_code",
+    "requests": "Total_complaints",
+    **{f"complaint_{i}": f"Top_complaint_{i}" for i in range(1, 4)},
+    **{f"descriptor_{i}": f"Top_complaint_description_{i}" for i in range(1, 6)},
+    "city": "City",
+}
+
+TOTAL_NAMES = {"category": "Category", "n": "Count", "kind": "Kind"}
+VOLUME_NAMES = {"area": "Zip_code", "volume": "Sample_traffic_volume", "samples": "Number_of_samples"}
+EXPOSURE_NAMES = {"area": "Zip_code", "exposure": "Vehicle_count_2012_2013"}
+
 SCORECARD_NAMES = {
     "city": "City",
     "area": "Zip_Code",
@@ -51,10 +80,28 @@ SCORECARD_NAMES = {
     **{f"descriptor_{i}": f"Top_Complaint_Description_{i}" for i in range(1, 6)},
     "requests": "Total Street Complaints",
 }
-RATING_NAME = "Safety_classifier"
+
+RATED_NAMES = {
+    "city": "City",
+    "area": "Zip_Code",
+    "rating": "Safety_classifier",
+    "incident_rate": "Accidents_per_1000_veh",
+    "injury_rate": "Injuries_per_1000_accidents",
+    "death_rate": "Deaths_per_1000_accidents",
+    "vehicles_per_incident": "Vehicles_involved_per_accident",
+    "incidents": "Total_num_accidents",
+    "vehicles": "Total_num_of_accident_veh",
+    **{f"factor_{i}": f"Top_factor_{i}" for i in range(1, 6)},
+    **{f"vehicle_{i}": f"Top_vehicle_type_{i}" for i in range(1, 6)},
+    **{f"complaint_{i}": f"Top_street_complaint_{i}" for i in range(1, 4)},
+    **{f"descriptor_{i}": f"Top_complaint_desc_{i}" for i in range(1, 6)},
+    "requests": "Num_street_complaints",
+}
+
 RATINGS = ("Safe", "Ok", "Hazardous")
 
 SUMMARY_NAMES = {
+    "statistic": "summary",
     "incident_rate": "Accidents per 1000 vehicles",
     "injury_rate": "Injuries per 1000 accidents",
     "death_rate": "Deaths per 1000 accidents",

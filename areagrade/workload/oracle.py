@@ -6,7 +6,7 @@ pre-aggregation, totals by subquery, ranks by window.
 
 from __future__ import annotations
 
-from areagrade.schemas import RATE_COLUMNS, SCORECARD_NAMES, SUMMARY_NAMES
+from areagrade.schemas import RATE_COLUMNS, RATED_NAMES, SCORECARD_NAMES, SUMMARY_NAMES
 
 AREA = "lpad(cast({} as varchar), 5, '0')"
 
@@ -324,7 +324,9 @@ def _tier_case(rows: str) -> str:
 ORACLE: dict[str, str] = {
     "flagship_scorecard": f"{_with(*CARD)} select city, area, {RATING} as rating, {', '.join(REST)} from card, cut",
     "scorecard_report": f"""{_with(*CARD)} select city as "City", area as "Zip_Code", {RATING} as "Safety_classifier",
-      {", ".join(f'{name} as "{SCORECARD_NAMES[name]}"' for name in REST)} from card, cut""",
+      {", ".join(f'{name} as "{RATED_NAMES[name]}"' for name in REST)} from card, cut""",
+    "named_scorecard": f"""{_with(*CARD)} select
+      {", ".join(f'{name} as "{report_name}"' for name, report_name in SCORECARD_NAMES.items())} from card""",
     "incident_stats": f"{_with(*INCIDENT_STATS)} select * from inc_stats",
     "incident_totals": f"""{_with(INC, INC_SUMS, TYPES, FACTORS)}
       select 'vehicle' as kind, category, cast(sum(n) as bigint) as n from types group by category

@@ -48,10 +48,12 @@ from areagrade.operators.scorecard import join_areas, metric_summary, renamed, s
 from areagrade.plans import exposure as exposure_plan
 from areagrade.plans.incidents import CASUALTY_PARTS, incident_profile, incident_stats, incident_totals
 from areagrade.plans.requests import request_profile, request_stats, request_totals
-from areagrade.plans.scorecard import rated_scorecard, report_names, scorecard
+from areagrade.plans.scorecard import rated_scorecard, scorecard
 from areagrade.schemas import (
     CASUALTY_COLUMNS,
     RATE_COLUMNS,
+    RATED_NAMES,
+    SCORECARD_NAMES,
     STREET_ALIASES,
     SUMMARY_NAMES,
     TIERS_FIVE,
@@ -437,7 +439,7 @@ def summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def summary_report(spark: SparkSession, sf: str) -> DataFrame:
-    return renamed(summary(spark, sf), {"statistic": "summary"} | SUMMARY_NAMES)
+    return renamed(summary(spark, sf), SUMMARY_NAMES)
 
 
 def bounds(spark: SparkSession, sf: str) -> DataFrame:
@@ -459,7 +461,12 @@ def flagship_scorecard(spark: SparkSession, sf: str) -> DataFrame:
 
 def scorecard_report(spark: SparkSession, sf: str) -> DataFrame:
     """The rated scorecard under its report names."""
-    return renamed(flagship_scorecard(spark, sf), report_names())
+    return renamed(flagship_scorecard(spark, sf), RATED_NAMES)
+
+
+def named_scorecard(spark: SparkSession, sf: str) -> DataFrame:
+    """The unrated scorecard: 27 columns of declared types under their report names."""
+    return renamed(_card(spark, sf), SCORECARD_NAMES)
 
 
 def _extreme(metric: str, pick: Callable[..., DataFrame]) -> Query:
@@ -469,6 +476,7 @@ def _extreme(metric: str, pick: Callable[..., DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "flagship_scorecard": flagship_scorecard,
     "scorecard_report": scorecard_report,
+    "named_scorecard": named_scorecard,
     "incident_stats": incident_stats_by_area,
     "incident_totals": incident_totals_list,
     "request_stats": request_stats_by_area,

@@ -254,7 +254,9 @@ def test_whole_run(spark, incident_file, request_file, volume_file, tmp_path):
     }
     (report,) = (tmp_path / "out" / "rated_scorecard").glob("part-*.csv")
     header = report.read_text().splitlines()[0].split(",")
-    assert header[:4] == ["City", "Zip_Code", "Safety_classifier", "Accidents_Per_1000_Vehicles"] and len(header) == 28
+    assert header[:4] == ["City", "Zip_Code", "Safety_classifier", "Accidents_per_1000_veh"] and len(header) == 28
+    (stats,) = (tmp_path / "out" / "incident_stats").glob("part-*.csv")
+    assert stats.read_text().startswith("Zip_code,Total_accidents,Total_vehicles_in_accidents,")
     (top,) = (tmp_path / "out" / "top_death_rate").glob("part-*.json")
     assert json.loads(top.read_text())["Deaths_Per_1000_Accidents"] == 333.33
     rejects = spark.read.text(f"{output}/incident_rejects")
