@@ -61,6 +61,7 @@ from areagrade.schemas import (
 )
 from areagrade.session import materialise, scratch_path
 from areagrade.sources.delimited import (
+    drop_header_lines,
     merge_surplus_cells,
     parse_lines,
     read_delimited,
@@ -364,15 +365,19 @@ def case_kind(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _delimited(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Customers written as delimited lines and parsed back. Names hold a comma and
-    quotes; names of customers in debt are left unquoted and so break their line."""
+    """Customers written as delimited lines, one header line per nation among them, and
+    parsed back. Names hold a comma and quotes; names of customers in debt are left
+    unquoted and so break their line."""
     customer = read_table(spark, sf, "customer")
     name = F.concat(F.col("c_name"), F.lit(', "'), F.col("c_mktsegment"), F.lit('"'))
     quoted = F.concat(F.lit('"'), F.regexp_replace(name, '"', '""'), F.lit('"'))
     cell = F.when(F.col("c_acctbal") < 0, name).otherwise(quoted)
     balance = F.col("c_acctbal").cast("decimal(18,2)").cast("string")
     line = F.concat_ws(",", F.col("c_custkey").cast("string"), cell, F.col("c_nationkey").cast("string"), balance)
-    return parse_lines(customer.select(line.alias("line")), "line", DELIMITED)
+    header = F.lit(",".join(DELIMITED.fieldNames()))
+    headers = read_table(spark, sf, "nation").select(header.alias("line"))
+    lines = customer.select(line.alias("line")).unionByName(headers)
+    return parse_lines(drop_header_lines(lines, "line", "custkey"), "line", DELIMITED)
 
 
 DELIMITED = StructType(
