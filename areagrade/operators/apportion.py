@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areagrade.functions.numeric import whole_div
+from areagrade.functions.text import is_filled
 
 
 def _share(measure: str, weight: Column, parts: Column | int, exact: bool) -> Column:
@@ -74,8 +75,12 @@ def apportion_by_position(
 
 
 def one_area_per_street(gazetteer: DataFrame) -> DataFrame:
-    """A street listed with several areas keeps the smallest, so that lookups cannot multiply rows."""
-    return gazetteer.groupBy("street").agg(F.min("area").alias("area"))
+    """A street listed with several areas keeps the smallest, so that lookups cannot multiply rows.
+
+    Entries without a street or an area resolve nothing and are dropped.
+    """
+    entries = gazetteer.filter(is_filled(F.col("street")) & is_filled(F.col("area")))
+    return entries.groupBy("street").agg(F.min("area").alias("area"))
 
 
 def resolve_areas(df: DataFrame, gazetteer: DataFrame, streets: Mapping[str, str]) -> DataFrame:

@@ -28,11 +28,14 @@ def segment_volume(
     """Hourly counts per record to one row per segment: streets, volume, samples.
 
     Street names are normalised on the segments, which are fewer than the records.
+    A missing name becomes empty: as join keys that cannot be NULL, the names
+    are not computed a second time for a NULL check.
     """
     volume = wide_sum(F.col(name) for name in hours).alias("volume")
     records = counts.select("segment_id", *order_by, *STREETS, volume)
     segments = first_record_rollup(records, "segment_id", order_by, STREETS, "volume")
-    return segments.withColumns({name: ordinal_street(F.col(name), STREET_ALIASES) for name in STREETS})
+    named = {name: F.coalesce(ordinal_street(F.col(name), STREET_ALIASES), F.lit("")) for name in STREETS}
+    return segments.withColumns(named)
 
 
 def area_volume(segments: DataFrame, gazetteer: DataFrame) -> DataFrame:

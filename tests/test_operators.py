@@ -253,8 +253,8 @@ def test_apportion_two_ways(frame):
 
 @pytest.mark.parametrize("threshold", ["10485760", "-1"])
 def test_lookup_drops_misses_whatever_the_join(spark, frame, threshold):
-    gazetteer = frame("street string, area string", ("A", "1"), ("B", "2"), ("B", "0"))
-    df = frame("id int, f string, t string", (1, "A", "B"), (2, "A", "?"), (3, None, "A"), (4, "B", "B"))
+    gazetteer = frame("street string, area string", ("A", "1"), ("B", "2"), ("B", "0"), ("", "9"), ("?", None))
+    df = frame("id int, f string, t string", (1, "A", "B"), (2, "A", "?"), (3, None, "A"), (4, "B", "B"), (5, "", "A"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
         found = resolve_areas(df, one_area_per_street(gazetteer), {"f": "fa", "t": "ta"})

@@ -135,6 +135,7 @@ def test_segments_to_areas(frame):
         segment(2, "s1", ("OTHER", "OTHER", "OTHER"), ["70", "x"]),
         segment(3, "s2", ("1 AVE", "E 2 ST", "E 3 ST"), ["7"]),
         segment(4, "s3", ("NOWHERE", "E 2 ST", "E 3 ST"), ["9"]),
+        segment(5, "s4", (None, "E 2 ST", "E 3 ST"), ["9"]),
     )
     segments = segment_volume(counts)
     assert tuples(segments)[0] == ("s1", "AVE OF THE AMERICAS", "WEST 14th ST", "WEST 15th ST", 100, 2)

@@ -24,6 +24,24 @@ def sql():
     return connection
 
 
+@pytest.fixture(scope="module")
+def built(spark):
+    """Name -> (frame, plan before it runs), each built once."""
+    known = {}
+
+    def build(name):
+        if name not in known:
+            df = QUERIES[name](spark, str(FOLDER))
+            known[name] = df, _plan(df)
+        return known[name]
+
+    return build
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def _plain(value):
     return None if isinstance(value, float) and math.isnan(value) else value
 
@@ -39,8 +57,8 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - WITHOUT_SQL))
-def test_matches_sql(spark, sql, name):
-    df = contract.queries()[name](spark, str(FOLDER))
+def test_matches_sql(built, sql, name):
+    df, _ = built(name)
     relation = sql.sql(contract.oracle_sql()[name])
     assert sorted(df.columns) == sorted(relation.columns)
     expected = _sorted_rows(list(relation.columns), relation.fetchall())
@@ -54,42 +72,38 @@ def test_entry_is_the_rated_scorecard(spark):
     assert df.count() > 0
 
 
-def _plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_plans_stay_in_the_engine(spark, name):
-    plan = _plan(QUERIES[name](spark, str(FOLDER)))
+def test_plans_stay_in_the_engine(built, name):
+    plan = built(name)[1]
     for node in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin", "MapInPandas"):
         assert node not in plan
 
 
 @pytest.mark.parametrize("name", ["incident_stats", "request_stats", "top_types_tiered", "top_types_long", "tier_three"])
-def test_ranking_is_cut_before_its_shuffle(spark, name):
-    plan = _plan(QUERIES[name](spark, str(FOLDER)))
+def test_ranking_is_cut_before_its_shuffle(built, name):
+    plan = built(name)[1]
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
 
 
 @pytest.mark.parametrize("name", [name for name in QUERIES if name.startswith(("top_k_", "bottom_k_"))])
-def test_lists_use_heaps(spark, name):
-    assert "TakeOrderedAndProject" in _plan(QUERIES[name](spark, str(FOLDER)))
+def test_lists_use_heaps(built, name):
+    assert "TakeOrderedAndProject" in built(name)[1]
 
 
-def test_scans_are_pruned_and_filtered(spark):
-    plan = _plan(QUERIES["date_window"](spark, str(FOLDER)))
+def test_scans_are_pruned_and_filtered(built):
+    plan = built("date_window")[1]
     assert "GreaterThanOrEqual(o_orderdate" in plan and "o_totalprice" not in plan
-    assert "l_extendedprice" not in _plan(QUERIES["incident_stats"](spark, str(FOLDER)))
+    assert "l_extendedprice" not in built("incident_stats")[1]
 
 
-def test_apportioning_moves_no_rows(spark):
+def test_apportioning_moves_no_rows(built):
     for name in ("split_cells", "street_ordinals", "wide_numeric_sum"):
-        assert "Exchange" not in _plan(QUERIES[name](spark, str(FOLDER)))
+        assert "Exchange" not in built(name)[1]
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_large_tables_are_scanned_once(spark, name):
-    plan = _plan(QUERIES[name](spark, str(FOLDER)))
+def test_large_tables_are_scanned_once(built, name):
+    plan = built(name)[1]
     for table in ("lineitem", "orders", "events", "part", "supplier"):
         # the scorecard takes factors from orders and, as another source, the exposure
         most = 2 if (name, table) == ("named_scorecard", "orders") else 1
