@@ -35,7 +35,7 @@ def category_profile(
     As :func:`category_frequency`, with one more row per key of kind ``total``
     and no category, whose ``n`` is the number of records. Every row also has
     the ``sums`` over the records it counts; the key's own are in its total
-    row. The shuffle is keyed by (keys, kind, category) after partial
+    row; with a ``weight`` they must already be weighted. The shuffle is keyed by (keys, kind, category) after partial
     aggregation, so one key with most of the rows spreads over its categories.
     """
     return _count_entries(df, keys, [(TOTAL, None), *kinds.items()], sums or {}, weight)

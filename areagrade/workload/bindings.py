@@ -49,7 +49,8 @@ def incident_lines(
     for name in ("pedestrians", "cyclists", "motorists"):
         columns[f"{name}_injured"] = injured & (group == name)
         columns[f"{name}_killed"] = killed & (group == name)
-    selected = [F.col("l_suppkey").alias("s_suppkey"), *(value.cast("int").alias(name) for name, value in columns.items())]
+    selected = [F.col("l_suppkey").alias("s_suppkey")]
+    selected += [value.cast("int").alias(name) for name, value in columns.items()]
     if with_vehicles:
         parts = read_table(spark, sf, "part").select("p_partkey", "p_type", "p_brand")
         lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
@@ -67,7 +68,8 @@ def incident_lines(
 
 def incidents(spark: SparkSession, sf: str, with_factors: bool = True, with_vehicles: bool = True) -> DataFrame:
     """Incident records with their area."""
-    return incident_lines(spark, sf, with_factors, with_vehicles).join(suppliers(spark, sf), "s_suppkey").drop("s_suppkey")
+    lines = incident_lines(spark, sf, with_factors, with_vehicles)
+    return lines.join(suppliers(spark, sf), "s_suppkey").drop("s_suppkey")
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:

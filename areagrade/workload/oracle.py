@@ -137,7 +137,8 @@ REQUEST_STATS = [
     REQ,
     "req_sums as (select area, count(*) as requests from req group by area)",
     "complaints as (select area, category, count(*) as n from req where trim(category) <> '' group by all)",
-    "descriptors as (select area, descriptor as category, count(*) as n from req where trim(descriptor) <> '' group by all)",
+    "descriptors as (select area, descriptor as category, count(*) as n from req"
+    " where trim(descriptor) <> '' group by all)",
     _slots("top_complaints", "complaints", "req_sums", "requests", "complaint", 3),
     _slots("top_descriptors", "descriptors", "req_sums", "requests", "descriptor", 5),
     """

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from areagrade.functions.labels import category_label
-from areagrade.functions.numeric import filled_count, percent, wide_sum
+from areagrade.functions.numeric import filled_count, wide_sum
 from areagrade.functions.temporal import in_window, with_parsed_time
 from areagrade.functions.text import (
     area_key,
@@ -138,11 +137,8 @@ def top_factors_tiered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def top_types_long(spark: SparkSession, sf: str) -> DataFrame:
-    """The same ranking kept long, brands only, one type ignored."""
-    freq = category_frequency(
-        b.incidents(spark, sf, with_factors=False), ["area"], {"vehicle": ["vehicle_1", "vehicle_2"]}
-    )
-    return tiered_top(freq, ["area"], TIERS_FIVE, ignored=["PROMO"])
+    """The same ranking kept long, with one type ignored."""
+    return tiered_top(type_frequency(spark, sf), ["area"], TIERS_FIVE, ignored=["PROMO"])
 
 
 def _tier_case(spark: SparkSession, sf: str, records: DataFrame, column: str) -> DataFrame:

@@ -238,7 +238,8 @@ def test_apportion_never_exceeds_the_input(spark):
 
 
 def test_exact_shares_add_up(frame):
-    df = frame("p string, q string, r string, v bigint", ("a", "a", "b", 100), ("a", "b", "c", 100), ("c", "c", "c", 100))
+    rows = [("a", "a", "b", 100), ("a", "b", "c", 100), ("c", "c", "c", 100)]
+    df = frame("p string, q string, r string, v bigint", *rows)
     got = tuples(apportion_by_position(df, ("p", "q", "r"), ("v",), exact=True))
     assert [area for area, _ in got] == ["a", "a", "b", "b", "c", "c"]
     assert sum(v for _, v in got) == pytest.approx(300) and ("a", pytest.approx(200 / 3)) in got

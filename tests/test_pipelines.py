@@ -71,7 +71,9 @@ def test_incident_totals(incident_rows):
     assert totals[("factor", "Fog")] == 2
 
 
-def request(created="07/04/2012 01:02:03 PM", category="Street Condition", descriptor="Pothole", area="11201", city="NY"):
+def request(
+    created="07/04/2012 01:02:03 PM", category="Street Condition", descriptor="Pothole", area="11201", city="NY"
+):
     cells = [str(i) for i in range(20)]
     for name, value in (("created_at", created), ("category", category), ("descriptor", descriptor), ("area", area)):
         cells[REQUEST_POSITIONS[name]] = value
@@ -170,7 +172,8 @@ def test_exposure_does_not_depend_on_splits(spark, frame):
 
 @pytest.mark.parametrize("partitions", [1, 2, 7])
 def test_statistics_do_not_depend_on_splits(spark, partitions):
-    vehicles = [F.element_at(F.array(*map(F.lit, ["VAN", "BUS", "TAXI", ""])), ((F.col("id") * k) % 4 + 1).cast("int")) for k in (1, 3, 5)]
+    types = F.array(*map(F.lit, ["VAN", "BUS", "TAXI", ""]))
+    vehicles = [F.element_at(types, ((F.col("id") * k) % 4 + 1).cast("int")) for k in (1, 3, 5)]
     df = spark.range(400).select(
         (F.col("id") % 6).cast("string").alias("area"),
         *((F.col("id") % (i + 2)).cast("int").alias(name) for i, name in enumerate(CASUALTY_COLUMNS)),
