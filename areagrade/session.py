@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +14,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -34,35 +33,15 @@ def build_session(app_name: str = "areagrade", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def size_shuffles(*inputs: DataFrame, partition_bytes: int = 128 << 20, most: int = 50_000) -> int:
-    """Set ``spark.sql.shuffle.partitions`` so that shuffling the inputs gives partitions of moderate size.
-
-    Takes the larger of the current setting and the inputs' size by Spark's own
-    statistics; AQE merges what turns out too small, but splits only skew.
-    """
-    conf = inputs[0].sparkSession.conf
-    total = sum(_estimated_bytes(df) for df in inputs)
-    wanted = max(int(conf.get("spark.sql.shuffle.partitions")), min(most, math.ceil(total / partition_bytes)))
-    conf.set("spark.sql.shuffle.partitions", str(wanted))
-    return wanted
-
-
-def _estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, from ``spark.checkpoint.dir``.
 
-    Only a local master, whose executors share the driver's disk, gets a
-    temporary folder of its own when nothing is configured.
+    Where nothing is configured it lies in the warehouse, which a cluster's executors share too.
     """
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="areagrade-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
