@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from areagrade.llm.bpe import op8_bpe
+from areagrade.llm.leaks import op4_decontamination
 from areagrade.llm.licences import op10_licence_scan, op10_sql
 from areagrade.llm.lines import OP1_SQL, op1_line_dedup
 from areagrade.llm.near import op3_jaccard_join
@@ -11,6 +12,7 @@ from areagrade.llm.shards import op7_kd_shards
 LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_decontamination": op4_decontamination,
     "op7_kd_shards": op7_kd_shards,
     "op8_bpe": op8_bpe,
     "op10_licence_scan": op10_licence_scan,

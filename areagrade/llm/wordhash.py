@@ -1,6 +1,6 @@
 """Word and word n-gram hashes of a whole batch of texts at once, in numpy.
 
-Words are runs of bytes other than ASCII white space, A-Z lower-cased. A batch is
+Words are runs of bytes other than ASCII white space (or other separators), A-Z lower-cased. A batch is
 handled in slices of a few hundred kilobytes, so memory does not depend on the batch;
 only a single text that is longer makes a larger slice.
 """
@@ -15,8 +15,10 @@ SLICE_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+# Everything in ASCII but letters and digits, so that punctuation does not belong to words.
+NO_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -43,9 +45,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Words:
     """Words of consecutive texts: hash, text number, first and past-last byte of each."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, first: int):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, first: int, separators: np.ndarray = SPACE):
         n = len(data)
-        space = _SPACE[data]
+        space = separators[data]
         begins = np.zeros(n + 1, dtype=bool)
         begins[bounds] = True
         inside = ~space
@@ -110,11 +112,11 @@ def buffers(texts) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def word_slices(texts) -> Iterator[Words]:
+def word_slices(texts, separators: np.ndarray = SPACE) -> Iterator[Words]:
     """The texts of an Arrow array in order, in slices of whole texts."""
     data, bounds = buffers(texts)
     low, n = 0, len(bounds) - 1
     while low < n:
         high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + SLICE_BYTES, "right")) - 1)
-        yield Words(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], low)
+        yield Words(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], low, separators)
         low = high
