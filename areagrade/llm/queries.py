@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from areagrade.llm.bpe import op8_bpe
+from areagrade.llm.hnsw import op9_hnsw
 from areagrade.llm.leaks import op4_decontamination
 from areagrade.llm.licences import op10_licence_scan, op10_sql
 from areagrade.llm.lines import OP1_SQL, op1_line_dedup
@@ -15,6 +16,7 @@ LLM_QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op7_kd_shards": op7_kd_shards,
     "op8_bpe": op8_bpe,
+    "op9_hnsw": op9_hnsw,
     "op10_licence_scan": op10_licence_scan,
 }
 LLM_ORACLE = {
