@@ -9,11 +9,13 @@ from areagrade.llm.licences import op10_licence_scan, op10_sql
 from areagrade.llm.lines import OP1_SQL, op1_line_dedup
 from areagrade.llm.near import op3_jaccard_join
 from areagrade.llm.shards import op7_kd_shards
+from areagrade.llm.toxicity import op6_toxicity
 
 LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_decontamination": op4_decontamination,
+    "op6_toxicity": op6_toxicity,
     "op7_kd_shards": op7_kd_shards,
     "op8_bpe": op8_bpe,
     "op9_hnsw": op9_hnsw,
