@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from areagrade.llm.bpe import op8_bpe
 from areagrade.llm.hnsw import op9_hnsw
+from areagrade.llm.hosts import op2_sql, op2_url_filter
 from areagrade.llm.leaks import op4_decontamination
 from areagrade.llm.licences import op10_licence_scan, op10_sql
 from areagrade.llm.lines import OP1_SQL, op1_line_dedup
@@ -13,6 +14,7 @@ from areagrade.llm.toxicity import op6_toxicity
 
 LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_url_filter": op2_url_filter,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_decontamination": op4_decontamination,
     "op6_toxicity": op6_toxicity,
@@ -23,5 +25,6 @@ LLM_QUERIES = {
 }
 LLM_ORACLE = {
     "op1_line_dedup": OP1_SQL,
+    "op2_url_filter": op2_sql(),
     "op10_licence_scan": op10_sql(),
 }
