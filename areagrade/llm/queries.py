@@ -9,6 +9,7 @@ from areagrade.llm.leaks import op4_decontamination
 from areagrade.llm.licences import op10_licence_scan, op10_sql
 from areagrade.llm.lines import OP1_SQL, op1_line_dedup
 from areagrade.llm.near import op3_jaccard_join
+from areagrade.llm.ppm import op5_ppm
 from areagrade.llm.shards import op7_kd_shards
 from areagrade.llm.toxicity import op6_toxicity
 
@@ -17,6 +18,7 @@ LLM_QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_decontamination": op4_decontamination,
+    "op5_ppm": op5_ppm,
     "op6_toxicity": op6_toxicity,
     "op7_kd_shards": op7_kd_shards,
     "op8_bpe": op8_bpe,
