@@ -240,20 +240,25 @@ def _places(known: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(known[place] == values, place, -1)
 
 
-def fit_logistic(rows: np.ndarray, labels: np.ndarray, lasso: float = 5e-3, ridge: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and intercept; both classes weigh the same.
-
-    A first fit with an absolute penalty finds the features that are needed, so that words which
-    only come along (in copies of a text, say) weigh nothing; a second fit weighs the others.
+def fit_logistic(
+    rows: np.ndarray, labels: np.ndarray, prior: float, lasso: float = 5e-3, ridge: float = 1e-6, steps: int = 400
+) -> tuple[np.ndarray, float]:
+    """Weights and intercept; ``prior`` is the share of label 1 where the model is to be used.
+
+    A first fit with an absolute penalty, in which both classes weigh the same, finds the
+    features that are needed, so that words which only come along (in copies of a text, say)
+    weigh nothing. A second fit weighs these, with the classes as frequent as ``prior`` says;
+    without any feature its score is ``prior``.
     """
-    share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
+    one = labels == 1
     weight, bias = np.zeros(rows.shape[1]), 0.0
     kept = np.ones(rows.shape[1], dtype=bool)
-    rate = 4.0 / (1 + np.einsum("nm,n->", rows, share) / 4)
-    for penalty in (lasso, 0.0):
+    for penalty, part in ((lasso, 0.5), (0.0, prior)):
+        share = np.where(one, part / max(1, one.sum()), (1 - part) / max(1, (~one).sum()))
+        rate = 4.0 / (1 + np.einsum("nm,n->", rows[:, kept], share) / 4)
         ahead, ahead_bias, speed = weight, bias, 1.0
         for _ in range(steps):
-            error = (1 / (1 + np.exp(-(rows @ ahead + ahead_bias))) - labels) * share
+            error = (1 / (1 + np.exp(-np.clip(rows @ ahead + ahead_bias, -50, 50))) - labels) * share
             new = ahead - rate * (rows.T @ error + (0.0 if penalty else ridge) * ahead)
             new = np.where(kept, np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0.0), 0.0)
             new_bias = ahead_bias - rate * error.sum()
@@ -277,9 +282,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     """Learn from ``labels`` (doc_id, label 0 or 1; others are ignored, a label given twice counts twice).
 
     The letter model counts all texts of ``docs``. The classifier is fitted on at most
-    ``sample_rows`` labelled rows of each class, the ones of the least hashes of their ids, both
-    classes weighing the same, and keeps the ``features`` words and beginnings that tell the
-    classes apart best, all beyond LEAST_Z standard errors. Only these and
+    ``sample_rows`` labelled rows of each class, the ones of the least hashes of their ids, and
+    keeps the ``features`` words and beginnings that tell the classes apart best, all beyond
+    LEAST_Z standard errors. Only these and
     the sample's rows of them come to the driver, a bounded amount. Without labels of both
     classes the score is the same for all texts.
     """
@@ -337,7 +342,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         for _ in range(row["n"]):
             grid[len(y), row["at"]] = 1
             y.append(row["y"])
-    weights, bias = fit_logistic(grid, np.array(y))
+    weights, bias = fit_logistic(grid, np.array(y), sizes[1] / sum(sizes.values()))
     return Model(counts, known, weights, bias)
 
 
