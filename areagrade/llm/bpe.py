@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from areagrade.llm.workers import importable
 
@@ -220,7 +220,7 @@ def decode_ids(rows: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
             texts = [None if x is None else v.decode(np.frombuffer(x, "<u4")) for x in _values(batch, ids)]
             yield _with_column(batch, "decoded", pa.array(texts, pa.string()))
 
-    return rows.mapInArrow(run, rows.select("*", F.lit("").alias("decoded")).schema)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("decoded", StringType())]))
 
 
 def default_vocabulary() -> str:

@@ -13,7 +13,7 @@ from areagrade.llm.licence_texts import KNOWN
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Spellings that mean the same, as (pattern, common form); applied to lower-case text.
 SPELLINGS = (
-    (r"\blicen[cs](e|es|ed|ing|ee|ees|or|ors|er|ers)\b", r"licens\1"),
+    (r"\b(sub|re|un)?licen[cs](e|es|ed|ing|ee|ees|or|ors|er|ers)\b", r"\1licens\2"),
     (r"\b(sub|re) licens", r"\1licens"),
     (r"\bnon (infring|commercial|exclusive)", r"non\1"),
     (r"\b(organi|recogni|authori|initiali|utili)s(e|es|ed|ing|ation|ations)\b", r"\1z\2"),

@@ -69,7 +69,7 @@ class LineRuns:
             found = rows if found is None else found.unionByName(rows)
         if found is None:
             return self.spark.createDataFrame([], "h1 long, h2 long")
-        return found.checkpoint()
+        return found.distinct().checkpoint()  # a key may settle from runs of two levels
 
     def close(self) -> None:
         for run in [run for level in self.levels for run in level] + self.settled:
