@@ -145,7 +145,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", html: str
         F.coalesce("trust", zero).alias("trust"),
         F.coalesce("distrust", zero).alias("distrust"),
     )
-    return placed.join(by_place, ["_host", "_path"]).select(
+    return placed.select(*kept, "_host", "_path").join(by_place, ["_host", "_path"]).select(
         *kept, F.col("_host").alias("host"), F.col("_path").alias("path"), "rule", "verdict", "trust", "distrust"
     )
 

@@ -132,7 +132,7 @@ class Restorer:
                 out += run
             run = []
             out.append(self.word(word))
-        return " ".join(out)
+        return " ".join(out[:-1])
 
     def word(self, word: str) -> str:
         core = _EDGE.sub("", word)
