@@ -23,6 +23,7 @@ RULES = (
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s<>]+)"""
 DAMPING = 0.85
 STEPS = 20
+STEPS_KEPT = 5  # steps from one checkpoint to the next
 THRESHOLD = 1.0
 
 
@@ -76,14 +77,15 @@ def host_links(pages: DataFrame, host: str, html: str) -> DataFrame:
     return rows.where("source <> '' and target <> '' and source <> target").groupBy("source", "target").agg(F.count("*").alias("pages"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS, tolerance: float = 1e-9) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
     """(host, trust, distrust) of all hosts that a seed reaches.
 
-    ``seeds`` has (host, trust, distrust), the weights the two walks start with. A walk follows
-    a link in proportion to its pages, backward for distrust; what has no link to follow starts
-    anew from the seeds. So each walk's sum stays that of its seeds. Ends after ``steps`` or when
-    no more than ``tolerance`` of the mass moves. The links are a table bucketed by the end a
-    walk leaves, so a step shuffles ranks, not links.
+    ``seeds`` has (host, trust, distrust), the weights the two walks start with. In each step a
+    walk goes on with probability ``damping``, along a link in proportion to its pages, backward
+    for distrust; it ends where there is no link. After ``steps`` no more than damping ** steps
+    of the seeds' weight is still to be placed. The links are a table bucketed by the end that a
+    walk leaves, so a step shuffles ranks, not links; a checkpoint after every few steps keeps
+    lineage short.
     """
     spark = links.sparkSession
     both = links.selectExpr("'trust' as walk", "source as host", "target as next", "pages").unionByName(
@@ -94,25 +96,20 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, step
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = both.join(out, ["walk", "host"]).select("walk", "host", "next", (F.col("pages") / F.col("all")).alias("share"))
     shares.repartition(buckets, "walk", "host").write.bucketBy(buckets, "walk", "host").saveAsTable(table)
-    start = seeds.selectExpr("host", "stack(2, 'trust', cast(trust as double), 'distrust', cast(distrust as double)) as (walk, seed)").where("seed > 0").checkpoint()
-    mass = {row["walk"]: row["s"] for row in start.groupBy("walk").agg(F.sum("seed").alias("s")).collect()}
-    ranks = start.select("walk", "host", F.col("seed").alias("rank"))
+    walks = "stack(2, 'trust', cast(trust as double), 'distrust', cast(distrust as double)) as (walk, rank)"
+    start = seeds.selectExpr("host", walks).where("rank > 0").select("walk", "host", "rank").checkpoint()
+    again = start.withColumn("rank", F.col("rank") * (1 - damping))
+    ranks = start
     try:
-        for _ in range(steps):
-            moved = ranks.join(spark.table(table), ["walk", "host"]).groupBy("walk", F.col("next").alias("host"))
-            moved = moved.agg(F.sum(F.col("rank") * F.col("share")).alias("in")).checkpoint()
-            carried = {row["walk"]: row["s"] for row in moved.groupBy("walk").agg(F.sum("in").alias("s")).collect()}
-            again = F.lit(0.0)
-            for walk, total in mass.items():
-                again = F.when(F.col("walk") == walk, F.lit(1 - damping * carried.get(walk, 0.0) / total)).otherwise(again)
-            zero = F.lit(0.0)
-            rank = damping * F.coalesce("in", zero) + again * F.coalesce("seed", zero)
-            new = start.join(moved, ["walk", "host"], "full").select("walk", "host", rank.alias("rank"))
-            new = new.join(ranks.withColumnRenamed("rank", "old"), ["walk", "host"], "full").checkpoint()
-            change = new.agg(F.sum(F.abs(F.coalesce("rank", zero) - F.coalesce("old", zero)))).first()[0] or 0.0
-            ranks = new.select("walk", "host", F.coalesce("rank", zero).alias("rank"))
-            if change <= tolerance * sum(mass.values()):
-                break
+        if spark.table(table).isEmpty():
+            ranks, steps = again, 0
+        for step in range(1, steps + 1):
+            moved = ranks.join(spark.table(table), ["walk", "host"]).select(
+                "walk", F.col("next").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank")
+            )
+            ranks = moved.unionByName(again).groupBy("walk", "host").agg(F.sum("rank").alias("rank"))
+            if step % STEPS_KEPT == 0 or step == steps:
+                ranks = ranks.checkpoint()
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table} PURGE")
     of = lambda walk: F.coalesce(F.sum(F.when(F.col("walk") == walk, F.col("rank"))), F.lit(0.0)).alias(walk)
@@ -174,13 +171,11 @@ def op2_sql(rules=RULES, steps: int = STEPS) -> str:
     ]
     for walk, a, b in (("trust", "source", "target"), ("distrust", "target", "source")):
         ctes.append(f"{walk}_e AS MATERIALIZED (SELECT {a} AS a, {b} AS b, n / sum(n) OVER (PARTITION BY {a}) AS share FROM e)")
-        ctes.append(f"{walk}_s AS MATERIALIZED (SELECT host, {walk} AS seed FROM seeds WHERE {walk} > 0)")
-        ctes.append(f"{walk}_0 AS MATERIALIZED (SELECT host, seed AS rank FROM {walk}_s)")
+        ctes.append(f"{walk}_0 AS MATERIALIZED (SELECT host, {walk} AS rank FROM seeds WHERE {walk} > 0)")
         for i in range(steps):
-            ctes.append(f"{walk}_m{i} AS MATERIALIZED (SELECT b AS host, sum(rank * share) AS mass FROM {walk}_{i} JOIN {walk}_e ON host = a GROUP BY b)")
-            ctes.append(
-                f"{walk}_{i + 1} AS MATERIALIZED (SELECT host, {DAMPING} * coalesce(mass, 0) + coalesce(seed, 0) * (1 - {DAMPING} * coalesce((SELECT sum(mass) FROM {walk}_m{i}), 0) / (SELECT sum(seed) FROM {walk}_s)) AS rank FROM {walk}_s FULL JOIN {walk}_m{i} USING (host))"
-            )
+            moved = f"SELECT b AS host, {DAMPING} * rank * share AS rank FROM {walk}_{i} JOIN {walk}_e ON host = a"
+            again = f"SELECT host, (1 - {DAMPING}) * rank FROM {walk}_0"
+            ctes.append(f"{walk}_{i + 1} AS MATERIALIZED (SELECT host, sum(rank) AS rank FROM ({moved} UNION ALL {again}) GROUP BY host)")
     return (
         "WITH " + ",\n".join(ctes) + f"""
 SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN coalesce(d.rank, 0) > {THRESHOLD} * coalesce(t.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict

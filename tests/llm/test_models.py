@@ -1,0 +1,261 @@
+"""URL filter, language model, toxicity and nearest neighbours: against brute force or held-out accuracy."""
+
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from areagrade.llm import hnsw, hosts, ppm, toxicity
+
+ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def walk_by_hand(edges, seeds, steps, damping=0.85):
+    out = defaultdict(float)
+    for (a, _), n in edges.items():
+        out[a] += n
+    rank = dict(seeds)
+    for _ in range(steps):
+        new = defaultdict(float, {h: (1 - damping) * s for h, s in seeds.items()})
+        for (a, b), n in edges.items():
+            new[b] += damping * rank.get(a, 0) * n / out[a]
+        rank = new
+    return rank
+
+
+PAGES = [
+    (1, "https://A.example.com/fr/1?x=/de/", '<a href="http://b.net/x">b</a> <a HREF = \'//c.net\'>c</a> <a href="/own">o</a>'),
+    (2, "https://a.example.com/de/1", '<a href="https://d.net?q">d</a><a href="https://d.net/2">d</a><a href="https://a.example.com/">self</a>'),
+    (3, "http://b.net/p#f", '<img src="http://c.net/i.png"><a href="http://spam.com/de/">s</a>'),
+    (4, "http://c.net", '<a href="http://b.net/">b</a>'),
+    (5, "http://d.net/1", '<a href="http://spam.com/">s</a><a href="http://spam.com/">s</a>'),
+    (6, "http://spam.com/de/9", '<a href="http://spam2.com/">t</a>'),
+    (7, "http://spam.com/other", None),
+    (8, "x.example.org/es/1", ""),
+    (9, None, '<a href="http://e.net/">e</a>'),
+    (10, "ftp://sub.example.org/es/1", ""),
+    (11, "http://sub.example.org/en/12", ""),
+    (12, "http://notexample.org/es/1", ""),
+    (13, "http://org?x", ""),
+    (14, "://", ""),
+    (15, "http://spam2.com/fr/", '<a href="http://spam.com/">s</a>'),
+    (5, "http://d.net/1", '<a href="http://spam.com/">s</a><a href="http://spam.com/">s</a>'),
+]
+WANT_RULES = {1: "com/fr/", 2: "com/de/", 6: "com/de/", 10: "example.org/es/", 11: "example.org/en/1", 12: "org/", 15: "com/fr/"}
+WANT_EDGES = {
+    ("a.example.com", "b.net"): 1, ("a.example.com", "c.net"): 1, ("a.example.com", "d.net"): 1, ("b.net", "c.net"): 1, ("b.net", "spam.com"): 1,
+    ("c.net", "b.net"): 1, ("d.net", "spam.com"): 2, ("spam.com", "spam2.com"): 1, ("spam2.com", "spam.com"): 1,
+}
+
+
+def test_url_filter_equals_brute_force(spark, frame):
+    rows = hosts.filter_urls(frame("page_id int, url string, html string, rule int", *((*p, 0) for p in PAGES)), hosts.rule_table(spark)).collect()
+    assert len(rows) == len(PAGES)
+    trust = walk_by_hand(WANT_EDGES, {"a.example.com": 1, "notexample.org": 1, "spam2.com": 1}, hosts.STEPS)
+    back = {(b, a): n for (a, b), n in WANT_EDGES.items()}
+    distrust = walk_by_hand(back, {"a.example.com": 1, "spam.com": 1, "sub.example.org": 2}, hosts.STEPS)
+    for r in rows:
+        assert r.rule == WANT_RULES.get(r.page_id), r
+        assert r.trust == pytest.approx(trust.get(r.host, 0), abs=1e-6) and r.distrust == pytest.approx(distrust.get(r.host, 0), abs=1e-6)
+        verdicts = {h + p: v for h, p, v in hosts.RULES}
+        assert r.verdict == (verdicts[r.rule] if r.rule else "block" if distrust.get(r.host, 0) > trust.get(r.host, 0) else "allow")
+    by_id = {r.page_id: r for r in rows}
+    assert (by_id[1].host, by_id[1].path) == ("a.example.com", "/fr/1") and (by_id[13].host, by_id[13].path) == ("org", "")
+    assert all((by_id[i].host, by_id[i].path, by_id[i].verdict) == ("", "", "allow") for i in (8, 9, 14))
+    assert by_id[5].verdict == "block" and by_id[4].verdict == "allow"
+
+
+def test_url_filter_of_nothing(spark, frame):
+    assert hosts.filter_urls(frame("page_id int, url string, html string"), hosts.rule_table(spark)).collect() == []
+
+
+TEXTS = ["The cat sat. THE cat!", "the dog\tsat\n\nthe end", "a cat and a dog", None, "", "é É cat", "unseen zebra cat", "the the the cat", "catalogue of catalysts"]
+
+
+def tokens_of(text):
+    return [w for w in (text or "").translate(ASCII).split()] + ["\x0b"]
+
+
+def ppm_by_hand(training):
+    """log10 of a token: contexts from the whole start of the token down, with exclusion."""
+    counts = defaultdict(Counter)
+    for token, n in training.items():
+        coded = b"\n" + token.encode() + b" "
+        for i in range(1, len(coded)):
+            for k in range(min(i, ppm.ORDER) + 1):
+                counts[coded[i - k : i], k][coded[i]] += n
+            if i > ppm.ORDER:
+                counts[coded[:i], ppm.WHOLE][coded[i]] += n
+
+    def score(token):
+        coded, out = b"\n" + token.encode() + b" ", 0.0
+        for i in range(1, len(coded)):
+            excluded = set()
+            contexts = [(coded[:i], ppm.WHOLE)] * (i > ppm.ORDER) + [(coded[i - k : i], k) for k in range(min(i, ppm.ORDER), -1, -1)]
+            for c in contexts:
+                if c not in counts:
+                    continue
+                left = {b: n for b, n in counts[c].items() if b not in excluded}
+                total = sum(left.values())
+                if coded[i] in left:
+                    out += math.log10((left[coded[i]] - ppm.DISCOUNT) / total)
+                    break
+                if left:
+                    out += math.log10(ppm.DISCOUNT * len(left) / total)
+                excluded = set(counts[c])
+            else:
+                out -= math.log10(256 - len(excluded))
+        return out
+
+    return score
+
+
+@pytest.mark.parametrize("frequent", [ppm.FREQUENT, 3, 0])
+def test_ppm_equals_brute_force(frame, frequent):
+    texts = TEXTS * 3
+    rows = [(i, t, i % 4 != 1, 5) for i, t in enumerate(texts)] + [(None, "cat", True, 5), (0, texts[0], True, 5)]
+    df = frame("doc_id int, text string, train boolean, row int", *rows)
+    training = Counter(t for _, text, train, _ in rows if train for t in tokens_of(text))
+    n, kinds = sum(training.values()), len(training)
+    score = ppm_by_hand(training)
+    got = ppm.score_texts(df.select("doc_id", "text", "train"), "text", F.col("train"), ["doc_id"], frequent=frequent).collect()
+    assert len(got) == len(rows)
+    text_of = {i: t for i, t, _, _ in rows}
+    for r in got:
+        own = tokens_of(text_of[r.doc_id])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(t in training for t in own), n)
+        assert r.base_score == pytest.approx(sum(math.log10((training[t] + 0.5) / (n + 0.5 * (kinds + 1))) for t in own))
+        assert r.score == pytest.approx(sum(score(t) for t in own))
+
+
+def test_ppm_of_nothing(frame):
+    df = frame("doc_id int, text string", (1, "cat"), (2, None))
+    got = {r.doc_id: r for r in ppm.score_texts(df, "text", F.lit(False), ["doc_id"]).collect()}
+    assert got[2].n_known == 0 and got[2].train_tokens == 0 and got[2].score == pytest.approx(-2 * math.log10(256))
+    assert ppm.score_texts(df.limit(0), "text", F.lit(True), ["doc_id"]).collect() == []
+
+
+def test_a_smaller_trie_keeps_its_contexts_nested(frame):
+    pick = random.Random(9)
+    words = ["".join(pick.choice("abc") for _ in range(pick.randint(1, 9))) for _ in range(300)]
+    df = frame("token binary, hash long, n long, total long", *((bytearray(w.encode()), i, 1 + i % 5, 9) for i, w in enumerate(dict.fromkeys(words))))
+    counts = ppm.context_counts(df)
+    every = ppm.train_trie(df)
+    few = ppm.train_trie(df, nodes=200)
+    assert 0 < len(few.keys) <= 200 < len(every.keys) == counts.count()
+    spelling = ppm.Spelling(np.frombuffer("".join(words).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in words])]))
+    assert np.isfinite(few.log10(spelling, len(words))).all() and (every.log10(spelling, len(words)) < 0).all()
+
+
+def test_next_bytes_sum_to_one(frame):
+    training = Counter({"abcabcab": 3, "abd": 2, "abcabcaa": 1, "b": 4})
+    df = frame("token binary, hash long, n long, total long", *((bytearray(t.encode()), i, n, n) for i, (t, n) in enumerate(training.items())))
+    trie = ppm.train_trie(df)
+    for start in ("abcabca", "ab", "x", "", "abz"):
+        # Every next byte as a token's last symbol but one; the blank behind it is coded too, so it is taken off.
+        total = 0.0
+        for b in range(256):
+            spelling = ppm.Spelling(np.frombuffer(start.encode() + bytes([b]), np.uint8), np.array([0, len(start) + 1]))
+            spelling.at, spelling.token, spelling.inside = spelling.at[-2:-1], spelling.token[-2:-1], spelling.inside[-2:-1]
+            spelling.symbol, spelling.whole = spelling.symbol[-2:-1], spelling.whole[-2:-1]
+            total += 10 ** trie.log10(spelling, 1)[0]
+        assert total == pytest.approx(1)
+
+
+@pytest.fixture(scope="module")
+def letters():
+    text = "the idiot and the moron said stupid pathetic things to a clown at the station in the morning " * 20
+    c = toxicity._CLASS[np.frombuffer(text.encode(), np.uint8)]
+    n = toxicity.SYMBOLS
+    return np.bincount((c[:-2] * n + c[1:-1]) * n + c[2:], minlength=n**3).astype(float)
+
+
+def test_obfuscated_words_are_read(letters):
+    restorer = toxicity.Restorer(letters)
+    for hidden in ("1d10t", "1D10T!", "i d i o t", "i.d.i.o.t", "i-d-1-o-t", "idiiiiot", "m0r0n", "st*pid", "$tupid", "p4th3t1c", "cl0wn,", "MORRRON"):
+        read = restorer.text(hidden.split(" "))
+        assert read in {"idiot", "moron", "stupid", "pathetic", "clown"}, (hidden, read)
+    for plain in ("the", "2024", "12,5", "$$$", "", "a", "é", "Enheit$$$"):
+        assert restorer.text([plain]) == plain
+
+
+def labelled(frame):
+    pick = random.Random(13)
+    plain = [a + b for a in ("ka", "lo", "mi", "ter", "un", "vo") for b in ("n", "da", "sch", "rel", "tu")]
+    bad = ["idiot", "moron", "stupid", "badwo" + "a", "badwob", "badwoc"]
+    hide = {"idiot": "1d10t", "moron": "m o r o n", "stupid": "stuuupid", "badwoa": "badwoa"}
+    rows = []
+    for i in range(500):
+        words = [pick.choice(plain) for _ in range(pick.randint(5, 60))]
+        toxic = int(i % 4 == 0)
+        if toxic:
+            for _ in range(3):
+                word = pick.choice(bad)
+                words[pick.randrange(len(words))] = hide.get(word, word) if i % 8 == 0 else word
+        rows.append((i, " ".join(words), toxic))
+    return rows
+
+
+def test_held_out_accuracy(frame):
+    rows = labelled(frame)
+    docs = frame("doc_id int, text string, score string", *((i, t, "old") for i, t, _ in rows), (None, None, "n"), (900, "", "n"))
+    labels = frame("doc_id int, toxic int", *((i, y) for i, _, y in rows), (None, 1), (3, None), (5, 7))
+    model = toxicity.fit(docs, labels.where(toxicity.fold(F.col("doc_id")) != 0))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert len(got) == len(rows) + 2
+    held = [(got[i] >= 0.5, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(a == bool(b) for a, b in held) >= 0.97 * len(held) and not any(a and not b for a, b in held)
+    assert got[None] == got[900] < 0.5 and all(0 <= s <= 1 for s in got.values())
+
+
+def test_without_labels_nothing_is_rejected(frame):
+    docs = frame("doc_id int, text string", (1, "some text"), (2, "1d10t " * 30_000))
+    for labels in (frame("doc_id int, toxic int"), frame("doc_id int, toxic int", (1, 0))):
+        model = toxicity.fit(docs, labels)
+        scores = {r.score for r in toxicity.score(docs, model).collect()}
+        assert len(scores) == 1 and (labels.count() == 0 or max(scores) < 0.5)
+    assert toxicity.score(docs.limit(0), model).collect() == []
+
+
+def nearest_by_hand(rows, every, k):
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = {}
+    for q, v in dict(((i, tuple(v)), (i, v)) for i, v in good).values():
+        if q % every == 0:
+            found = {(i, tuple(w)): float(v @ w) for i, w in good if i != q and len(w) == len(v)}
+            out[q] = [i for i, _ in sorted(((i, s) for (i, _), s in found.items()), key=lambda x: (-round(x[1], 9), x[0]))[:k]]
+    return out
+
+
+def test_nearest_of_odd_vectors(frame):
+    pick = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in pick.normal(size=4) * pick.choice([0.2, 1, 5])]) for i in range(120)]
+    rows += [(200 + i, [1.0, 2.0, -1.0, 0.5]) for i in range(60)]
+    rows += [(300, None), (301, [0.0, -0.0, 0.0, 0.0]), (302, [1.0, None, 0.0, 0.0]), (303, [1.0, float("nan"), 0.0, 0.0]), (304, [float("inf"), 0.0, 0.0, 0.0])]
+    rows += [(None, [1.0, 1.0, 1.0, 1.0]), (400, [1.0, 2.0]), (405, [2.0, 1.0]), (500, []), (0, rows[0][1])]
+    got = defaultdict(list)
+    for r in hnsw.nearest(frame("vec_id int, embedding array<double>, rank int", *((*r, 0) for r in rows)), 20, 10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+        assert r.rank == len(got[r.query_id])
+    assert got == nearest_by_hand(rows, 20, 10)
+    assert hnsw.nearest(frame("vec_id int, embedding array<float>"), 20, 10).collect() == []
+
+
+def test_recall_over_several_shards(spark, frame, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 400)
+    pick = np.random.default_rng(2)
+    points = pick.normal(size=(1500, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<float>")
+    vectors = hnsw.usable_vectors(df, "vec_id", "embedding")
+    index = hnsw.build_index(vectors, 10, shard_rows=400).checkpoint()
+    assert index.count() == 4
+    found = hnsw.search_index(index, vectors.where("vec_id % 20 = 0"), 10).collect()
+    exact = points.astype(float) @ points.astype(float).T
+    np.fill_diagonal(exact, -np.inf)
+    hits = sum(r.vec_id in set(np.argsort(-exact[r.query_id])[:10]) for r in found)
+    assert len(found) == 750 and hits >= 0.95 * 750
+    assert all(r.score == pytest.approx(exact[r.query_id, r.vec_id]) for r in found)
