@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areagrade.llm.wordhash import _BASE, _INVERSE, NO_WORD, Words, _power, buffers, mixed, word_slices
+from areagrade.llm.wordhash import NO_WORD, Words, buffers, byte_slices, word_slices
 from areagrade.llm.workers import importable
 
 FOLDS = 5
@@ -30,7 +30,7 @@ SIGN_COST, SPLIT_COST, SINGLE_COST = -1.0, -2.0, -0.2
 SYMBOLS = 28  # blank, a to z, everything else
 OTHER = 27
 
-_CLASS = np.full(256, OTHER, dtype=np.int64)
+_CLASS = np.full(256, OTHER, dtype=np.int32)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 for _b in range(26):
     _CLASS[97 + _b] = _CLASS[65 + _b] = 1 + _b
@@ -38,6 +38,8 @@ for _b in range(26):
 _CLASS[[ord(x) for x in ".,;:?\"'"]] = 0
 _SIGN = np.zeros(256, dtype=bool)
 _SIGN[[ord(x) for x in SIGNS]] = True
+_JOINT = np.zeros(256, dtype=bool)
+_JOINT[[ord(x) for x in ".-_~"]] = True
 _LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 _EDGE = re.compile(r"""^(?:[.,;:?%&#*("')!|+\-_~]|[$@]{3,})+|(?:[.,;:?%&#*("')!|+\-_~]|[$@]{3,})+$""")
 
@@ -48,10 +50,9 @@ def letter_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     def count(batches):
         total = np.zeros(SYMBOLS**3, dtype=np.int64)
         for batch in batches:
-            for words in word_slices(batch.column(0)):
+            for data, bounds, _ in byte_slices(batch.column(0)):
                 # A blank between texts, so that none runs into the next.
-                data = np.insert(words.data, words.bounds[1:-1], 32) if len(words.bounds) > 2 else words.data
-                c = _CLASS[data]
+                c = _CLASS[np.insert(data, bounds[1:-1], 32) if len(bounds) > 2 else data]
                 total += np.bincount((c[:-2] * SYMBOLS + c[1:-1]) * SYMBOLS + c[2:], minlength=SYMBOLS**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
@@ -118,23 +119,18 @@ class Restorer:
     def __init__(self, counts: np.ndarray):
         model = LetterModel(counts)
         self.read = lru_cache(1 << 16)(lambda token, spaced: decode(token, model, spaced))
+        self.word = lru_cache(1 << 16)(self._word)
 
     def text(self, words: list[str]) -> str:
         """Words of a text with the suspicious ones as they are read."""
-        out, run = [], []
-        for word in [*words, ""]:
-            if len(word) == 1 and (word.isalpha() or word in SIGNS):
-                run.append(word)
-                continue
-            if len(run) >= 3 and len({x.lower() for x in run}) > 1:
-                out.append(self.read("".join(run), True))
-            else:
-                out += run
-            run = []
-            out.append(self.word(word))
-        return " ".join(out[:-1])
-
-    def word(self, word: str) -> str:
+        data, bounds = buffers(pa.array([" ".join(words)], pa.large_string()))
+        return restored(Words(data, bounds, 0), self)[0].tobytes().decode()
+
+    def spelt(self, letters: str) -> str:
+        """A word or more of which each letter stood alone; one letter alone is not spelling."""
+        return self.read(letters, True) if len(set(letters.lower())) > 1 else " ".join(letters)
+
+    def _word(self, word: str) -> str:
         core = _EDGE.sub("", word)
         if re.fullmatch(r"[^\W_]([.\-_*~][^\W_]){2,}", core):
             return self.read(re.sub(r"[.\-_*~]", "", core), True)
@@ -148,47 +144,75 @@ def suspicious(word: str) -> bool:
     return letters and (any(c in SIGNS for c in word) or re.search(r"([A-Za-z])\1\1", word) is not None)
 
 
-def _needs_reading(words: Words) -> np.ndarray:
-    """Texts that may hold an obfuscated word: letters with signs, spelt words, long repetitions."""
+def _suspicious_words(words: Words) -> np.ndarray:
+    """Words that may be obfuscated: letters with signs among them, or long repetitions."""
     data = words.data
 
     def within(flags):
-        total = np.concatenate([[0], np.cumsum(flags)])
+        total = np.zeros(len(flags) + 1, dtype=np.int32)
+        np.cumsum(flags, out=total[1:])
         return total[words.end] - total[words.start]
 
-    letter, sign = _LETTER[data], _SIGN[data] | np.isin(data, np.frombuffer(b".-_~", np.uint8))
-    # A sign between two letters or signs, or before a letter at the start of a word.
+    letter, leet = _LETTER[data], _SIGN[data]
+    # A sign between a letter or sign and a letter or digit, or at an end of a word that has letters.
     inner = np.zeros(len(data), dtype=bool)
-    any_of = letter | _SIGN[data]
-    inner[1:-1] = sign[1:-1] & any_of[:-2] & any_of[2:]
-    triple = np.zeros(len(data), dtype=bool)
-    triple[2:] = letter[2:] & ((data[2:] | 32) == (data[1:-1] | 32)) & ((data[1:-1] | 32) == (data[:-2] | 32))
-    length = words.end - words.start
-    odd = (within(letter) > 0) & ((within(inner) > 0) | (within(triple) > 0))
+    inner[1:-1] = (leet | _JOINT[data])[1:-1] & (letter | leet)[:-2] & (letter | (data >= 48) & (data <= 57))[2:]
+    folded = data | 32
+    same = folded[1:] == folded[:-1]
+    inner[2:] |= letter[2:] & same[1:] & same[:-1]
+    odd = within(inner) > 0
     if len(words.start):
-        first = data[words.start]
         last = data[words.end - 1]
-        odd |= (within(letter) > 0) & (_SIGN[first] | ((last >= 48) & (last <= 57)))
-        spelt = length == 1
-        three = np.zeros(len(spelt), dtype=bool)
-        three[2:] = spelt[2:] & spelt[1:-1] & spelt[:-2]
-        odd |= three
-    out = np.zeros(len(words.count), dtype=bool)
-    out[words.text[odd]] = True
-    return out
+        odd |= _SIGN[data[words.start]] | ((last >= 48) & (last <= 57)) | (last == 36)
+        odd &= within(letter) > 0
+    return odd
+
+
+def _spelt_runs(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-last word of each run of at least three single letters or signs of a text."""
+    n = len(words.start)
+    single = np.zeros(n + 2, dtype=bool)
+    if n:
+        first = words.data[words.start]
+        single[1:-1] = (words.end - words.start == 1) & (_LETTER[first] | _SIGN[first])
+    new_text = np.ones(n + 1, dtype=bool)
+    new_text[1:n] = words.text[1:] != words.text[:-1]
+    begins = np.flatnonzero(single[1:] & (~single[:-1] | new_text))
+    ends = np.flatnonzero(single[:-1] & (~single[1:] | new_text))
+    ends = ends[: len(begins)] if len(ends) == len(begins) else ends[-len(begins) :]
+    long = ends - begins >= 3
+    return begins[long], ends[long]
+
+
+def restored(words: Words, restorer: Restorer) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and bounds of the texts with what is obfuscated as it is read; all else as it was."""
+    data, bounds = words.data, words.bounds
+    odd = _suspicious_words(words)
+    first, last = _spelt_runs(words)
+    for a, b in zip(first, last):
+        odd[a:b] = False
+    spans = [(words.start[i], words.end[i], False) for i in np.flatnonzero(odd)]
+    spans += [(words.start[a], words.end[b - 1], True) for a, b in zip(first, last)]
+    parts, at, starts, grown = [], 0, [], []
+    for start, end, spelt in sorted(spans):
+        old = data[start:end].tobytes()
+        word = old.decode("utf-8", "replace")
+        new = (restorer.spelt("".join(word.split())) if spelt else restorer.word(word)).encode()
+        if new != old:
+            parts += [data[at:start], np.frombuffer(new, np.uint8)]
+            at = end
+            starts.append(start)
+            grown.append(len(new) - len(old))
+    if not parts:
+        return data, bounds
+    shift = np.concatenate([[0], np.cumsum(grown)])[np.searchsorted(starts, bounds)]
+    return np.concatenate([*parts, data[at:]]), bounds + shift
 
 
 def restored_batches(texts, restorer: Restorer):
-    """Words of the restored texts, slice by slice; a text without anything to read is as it was."""
+    """Words of the restored texts, slice by slice."""
     for words in word_slices(texts):
-        data, bounds = words.data, words.bounds
-        odd = _needs_reading(words)
-        if odd.any():
-            parts = [data[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            for i in np.flatnonzero(odd):
-                # The input is UTF-8 and splits at ASCII white space only.
-                parts[i] = restorer.text(re.split(r"[\x09-\x0d ]+", parts[i].decode("utf-8", "replace"))).encode()
-            data, bounds = buffers(pa.array([p.decode("utf-8", "replace") for p in parts], pa.large_string()))
+        data, bounds = restored(words, restorer)
         yield Words(data, bounds, words.first, NO_WORD)
 
 
@@ -197,21 +221,20 @@ def word_features(words: Words, known: np.ndarray | None = None) -> tuple[np.nda
 
     With ``known`` (sorted) only these, as their places in it. Every pair is given once.
     """
-    n = len(words.data)
-    lowered = words.data.astype(np.uint64)
-    lowered = lowered + np.uint64(32) * ((words.data >= 65) & (words.data <= 90)).astype(np.uint64) + np.uint64(1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lowered * _power(_BASE, n), dtype=np.uint64)])
-    inverse = _power(_INVERSE, n)
     length = words.end - words.start
     level = np.uint64(3)
     bases = None if known is None else np.unique(known & ~level)
+    likely = np.zeros(1 << 16, dtype=bool)  # a first look at the upper bits spares most searches
+    if bases is not None:
+        likely[bases >> np.uint64(48)] = True
     texts, features = [], []
     for k in (0, *PREFIXES):
         at = np.flatnonzero(length > k)
         end = words.end[at] if k == 0 else words.start[at] + k
-        f = mixed((total[end] - total[words.start[at]]) * inverse[words.start[at]] + np.uint64(k * 0x51ED27)) & ~level
+        f = words.span_hash(words.start[at], end, k * 0x51ED27) & ~level
         if bases is not None:
-            hit = _places(bases, f) >= 0
+            hit = np.flatnonzero(likely[f >> np.uint64(48)])
+            hit = hit[_places(bases, f[hit]) >= 0]
             at, f = at[hit], f[hit]
         texts.append(words.text[at])
         features.append(f)
@@ -295,12 +318,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     if len(sizes) < 2:
         prior = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1)
         return Model(counts, np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    chance = F.abs(F.xxhash64("_id") % 1_000_000)
-    least = F.lit(0)
-    for y, n in sizes.items():
-        least = F.when(F.col("y") == y, F.lit(int(1_000_000 * min(1.0, sample_rows / n)))).otherwise(least)
-    chosen = known_labels.where(chance < least)
-    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(chosen, "_id").select("_text", "y").checkpoint()
+    by_chance = known_labels.orderBy(F.xxhash64("_id"), "_id")
+    chosen = by_chance.where("y = 1").limit(sample_rows).unionByName(by_chance.where("y = 0").limit(sample_rows))
+    # At most 2 * sample_rows ids and labels are broadcast, whatever the size of the tables.
+    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").select("_text", "y").checkpoint()
 
     def found(batches):
         restorer = Restorer(counts)

@@ -8,6 +8,7 @@ only a single text that is longer makes a larger slice.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 
@@ -57,15 +58,27 @@ class Words:
         ends[:-1] &= ~joined
         self.start = np.flatnonzero(starts)
         self.end = np.flatnonzero(ends) + 1
-        lowered = _LOWER[data].astype(np.uint64) + np.uint64(1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(lowered * _power(_BASE, n), out=total[1:])
-        self.hash = mixed((total[self.end] - total[self.start]) * _power(_INVERSE, n)[self.start] if n else total[:0])
         self.count = np.diff(np.searchsorted(self.start, bounds))
         self.text = np.repeat(np.arange(len(bounds) - 1), self.count)
         self.offset = np.concatenate([[0], np.cumsum(self.count)])
         self.data, self.bounds, self.first = data, bounds, first
 
+    @cached_property
+    def _sums(self) -> np.ndarray:
+        n = len(self.data)
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((_LOWER[self.data].astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=total[1:])
+        return total
+
+    def span_hash(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+        """A hash of the bytes from each start to each end."""
+        total = self._sums
+        return mixed((total[end] - total[start]) * _power(_INVERSE, len(self.data) + 1)[start] + np.uint64(salt))
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return self.span_hash(self.start, self.end)
+
     def ngrams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the n-grams of words and the number of the word at which each starts.
 
@@ -112,11 +125,17 @@ def buffers(texts) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def word_slices(texts, separators: np.ndarray = SPACE) -> Iterator[Words]:
-    """The texts of an Arrow array in order, in slices of whole texts."""
+def byte_slices(texts) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The texts of an Arrow array in order, in slices of whole texts: bytes, bounds, first text."""
     data, bounds = buffers(texts)
     low, n = 0, len(bounds) - 1
     while low < n:
         high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + SLICE_BYTES, "right")) - 1)
-        yield Words(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], low, separators)
+        yield data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], low
         low = high
+
+
+def word_slices(texts, separators: np.ndarray = SPACE) -> Iterator[Words]:
+    """The words of the texts of an Arrow array, slice by slice."""
+    for data, bounds, first in byte_slices(texts):
+        yield Words(data, bounds, first, separators)
