@@ -13,12 +13,18 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from areagrade.functions.text import is_filled, whole_number
+from areagrade.functions.text import is_filled, out_of_range, whole_number
 
 
 def wide_sum(cells: Iterable[Column]) -> Column:
-    """Sum of text cells across a row; blank and non-numeric cells count 0."""
-    return reduce(add, (F.coalesce(whole_number(cell), F.lit(0).cast("bigint")) for cell in cells))
+    """Sum of text cells across a row; blank and non-numeric cells count 0.
+
+    NULL, for the caller to reject, where a cell or the sum does not fit in BIGINT.
+    """
+    zero = F.lit(0).cast("bigint")
+    return reduce(
+        F.try_add, (F.coalesce(whole_number(cell), F.when(~out_of_range(cell), zero)) for cell in cells)
+    )
 
 
 def filled_count(cells: Iterable[Column]) -> Column:

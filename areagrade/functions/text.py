@@ -8,6 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+WHOLE = "^[+-]?[0-9]+$"
+
+
 def cleaned(text: Column) -> Column:
     """Trimmed text, NULL when nothing is left."""
     return F.nullif(F.trim(text), F.lit(""))
@@ -41,10 +44,16 @@ def whole_number(text: Column) -> Column:
     """Text to BIGINT, NULL when it is not a whole number.
 
     The pattern comes first because a failing cast raises and catches an
-    exception, which costs far more than the row is worth.
+    exception, which costs far more than the row is worth. Leading zeros do not
+    count; a number beyond BIGINT is NULL, as :func:`out_of_range` tells.
     """
     trimmed = F.trim(text)
-    return F.when(trimmed.rlike("^[+-]?[0-9]{1,19}$"), trimmed.try_cast("bigint"))
+    return F.when(trimmed.rlike(WHOLE), trimmed.try_cast("bigint"))
+
+
+def out_of_range(text: Column) -> Column:
+    """A whole number that does not fit in BIGINT; never NULL."""
+    return F.coalesce(F.trim(text).rlike(WHOLE) & whole_number(text).isNull(), F.lit(False))
 
 
 def numeric_key(text: Column) -> Column:

@@ -87,6 +87,10 @@ def first_record_rollup(
 def ratio_over_period(
     df: DataFrame, keys: Sequence[str], volume: str, samples: str, days: int, output: str = "volume"
 ) -> DataFrame:
-    """Volume per sample, truncated, times ``days``; NULL for a key without samples."""
-    per_sample = whole_div(F.sum(volume), F.sum(samples))
+    """Volume per sample, truncated, times ``days``; NULL for a key without samples.
+
+    Rows that lack one of the two count for neither.
+    """
+    both = F.col(volume).isNotNull() & F.col(samples).isNotNull()
+    per_sample = whole_div(F.sum(F.when(both, F.col(volume))), F.sum(F.when(both, F.col(samples))))
     return df.groupBy(*keys).agg((per_sample * F.lit(days).cast("bigint")).alias(output))

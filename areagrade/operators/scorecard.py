@@ -72,7 +72,8 @@ def with_rating(df: DataFrame, k: int = 1, digits: int = 4, names: Sequence[str]
 
     Bands are +1 above, -1 below and 0 within mean +- k deviations (strict). The
     rating is the incident band, plus one if injury and death rates are both
-    above, minus one if both are below, held within -1..1. The bounds reach the
+    above, minus one if both are below, held within -1..1. A row without one of the
+    rates, or a table without one of the bounds, has no rating. The bounds reach the
     rows as a scalar subquery of one row; ``df`` is read twice, so pass a
     materialised frame.
     """
@@ -86,7 +87,10 @@ def with_rating(df: DataFrame, k: int = 1, digits: int = 4, names: Sequence[str]
     both = both.when(below["injury_rate"] & below["death_rate"], -1).otherwise(0)
     safe, ok, hazardous = names
     rating = F.when(band + both > 0, hazardous).when(band + both < 0, safe).otherwise(ok)
-    return rated.withColumn("rating", rating).drop("_bounds")
+    known = F.lit(True)
+    for metric in watched:
+        known = known & F.col(metric).isNotNull() & F.col(f"_bounds.{metric}.upper").isNotNull()
+    return rated.withColumn("rating", F.when(known, rating)).drop("_bounds")
 
 
 def _bounds(metric: str, k: int, digits: int) -> Column:

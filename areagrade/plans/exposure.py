@@ -28,14 +28,21 @@ def segment_volume(
     """Hourly counts per record to one row per segment: streets, volume, samples.
 
     Street names are normalised on the segments, which are fewer than the records.
-    A missing name becomes empty: as join keys that cannot be NULL, the names
-    are not computed a second time for a NULL check.
+    A missing name becomes empty. The names pass through an ``inline`` of one
+    element: the optimizer would copy their expressions into the NULL checks of
+    every join they are a key of. Records whose volume does not fit in BIGINT are
+    left out; :func:`segment_rejects` returns them.
     """
     volume = wide_sum(F.col(name) for name in hours).alias("volume")
-    records = counts.select("segment_id", *order_by, *STREETS, volume)
+    records = counts.select("segment_id", *order_by, *STREETS, volume).filter(F.col("volume").isNotNull())
     segments = first_record_rollup(records, "segment_id", order_by, STREETS, "volume")
-    named = {name: F.coalesce(ordinal_street(F.col(name), STREET_ALIASES), F.lit("")) for name in STREETS}
-    return segments.withColumns(named)
+    named = F.struct(*(F.coalesce(ordinal_street(F.col(name), STREET_ALIASES), F.lit("")).alias(name) for name in STREETS))
+    return segments.select("segment_id", F.inline(F.array(named)), "volume", "samples")
+
+
+def segment_rejects(counts: DataFrame, hours: Sequence[str] = HOUR_COLUMNS) -> DataFrame:
+    """The count records that :func:`segment_volume` leaves out."""
+    return counts.filter(wide_sum(F.col(name) for name in hours).isNull())
 
 
 def area_volume(segments: DataFrame, gazetteer: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from areagrade.operators.scorecard import renamed
-from areagrade.plans.exposure import annual_exposure, area_volume, segment_volume
+from areagrade.plans.exposure import annual_exposure, area_volume, segment_rejects, segment_volume
 from areagrade.plans.incidents import incident_profile, incident_stats, incident_totals, prepare_incidents
 from areagrade.plans.requests import prepare_requests, request_profile, request_stats, request_totals
 from areagrade.plans.scorecard import rated_scorecard, reports, scorecard
@@ -25,10 +26,11 @@ from areagrade.schemas import (
     VOLUME_NAMES,
 )
 from areagrade.session import build_session, materialise
-from areagrade.sources.delimited import read_delimited, read_positions, read_rejects
+from areagrade.sources.delimited import read_delimited, read_position_rejects, read_positions, read_rejects
 from areagrade.sources.sinks import write_report
 
-REPORT_ROWS = 10_000  # reports up to this size are written as one file
+# Lists of all totals and of k areas and the summary are one file, per-area statistics stay split.
+TOTALS = ("incident_totals", "request_totals")
 STATISTIC_NAMES = {
     "incident_stats": INCIDENT_NAMES,
     "incident_totals": TOTAL_NAMES,
@@ -43,6 +45,10 @@ def write_area_volume(spark: SparkSession, counts_path: str, gazetteer_path: str
     counts = read_delimited(spark, counts_path, SEGMENT_COUNTS)
     gazetteer = read_delimited(spark, gazetteer_path, GAZETTEER)
     write_report(renamed(area_volume(segment_volume(counts), gazetteer), VOLUME_NAMES), output)
+    beside = output.rstrip("/")
+    write_report(read_rejects(spark, counts_path, SEGMENT_COUNTS), f"{beside}_count_rejects", "text")
+    write_report(segment_rejects(counts), f"{beside}_sum_rejects")
+    write_report(read_rejects(spark, gazetteer_path, GAZETTEER), f"{beside}_gazetteer_rejects", "text")
 
 
 def run(
@@ -57,7 +63,7 @@ def run(
         card = scorecard(exposure, incident_stats(by_incident), request_stats(by_request))
         return rated_scorecard(materialise(card))
 
-    # Statistics and totals share the counted profiles, so each input is scanned once.
+    # Statistics and totals share the counted profiles; a second scan of each input writes its rejects.
     by_incident, by_request = materialise(by_incident), materialise(by_request)
     statistics = {
         "incident_stats": incident_stats(by_incident),
@@ -72,17 +78,23 @@ def run(
     )
     rated = rated_scorecard(card)
     for name, df in statistics.items():
-        _write(renamed(df, STATISTIC_NAMES[name]), output, name)
+        report = renamed(df, STATISTIC_NAMES[name])
+        by_count = [F.desc(TOTAL_NAMES["n"]), TOTAL_NAMES["kind"], TOTAL_NAMES["category"]] if name in TOTALS else []
+        _write(report, output, name, single=name in TOTALS, order_by=by_count)
     for name, df in reports(card).items():
-        _write(df, output, name, fmt="json")
+        _write(df, output, name, fmt="json", single=True)
     _write(renamed(rated, RATED_NAMES), output, "rated_scorecard")
-    rejects = read_rejects(spark, incidents_path, INCIDENTS)
-    write_report(rejects, f"{output.rstrip('/')}/incident_rejects", "text")
+    for name, rejects in {
+        "incident_rejects": read_rejects(spark, incidents_path, INCIDENTS),
+        "request_rejects": read_position_rejects(spark, requests_path),
+        "volume_rejects": read_rejects(spark, volume_path, AREA_VOLUME),
+    }.items():
+        write_report(rejects, f"{output.rstrip('/')}/{name}", "text")
     return rated
 
 
-def _write(df: DataFrame, output: str, name: str, fmt: str = "csv") -> None:
-    write_report(df, f"{output.rstrip('/')}/{name}", fmt, one_file_rows=REPORT_ROWS)
+def _write(df: DataFrame, output: str, name: str, **options) -> None:
+    write_report(df, f"{output.rstrip('/')}/{name}", **options)
 
 
 def main(arguments: list[str] | None = None) -> None:

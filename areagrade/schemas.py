@@ -132,7 +132,7 @@ def _strings(*names: str) -> list[StructField]:
 INCIDENTS = StructType(
     _strings("date", "time", "borough", "area", "latitude", "longitude", "location")
     + _strings("on_street", "cross_street", "off_street")
-    + [StructField(name, IntegerType()) for name in CASUALTY_COLUMNS]
+    + [StructField(name, IntegerType(), nullable=False) for name in CASUALTY_COLUMNS]
     + _strings(*FACTOR_COLUMNS, "record_id", *VEHICLE_COLUMNS)
 )
 
@@ -147,7 +147,11 @@ SEGMENT_COUNTS = StructType(
 GAZETTEER = StructType(_strings("street", "area"))
 
 AREA_VOLUME = StructType(
-    [StructField("area", StringType()), StructField("volume", LongType()), StructField("samples", LongType())]
+    [
+        StructField("area", StringType()),
+        StructField("volume", LongType(), nullable=False),
+        StructField("samples", LongType(), nullable=False),
+    ]
 )
 
 # --- outputs ----------------------------------------------------------------

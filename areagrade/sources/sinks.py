@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 
 FORMAT_OPTIONS = {
     "csv": {"header": True, "quote": '"', "escape": '"', "emptyValue": ""},
@@ -13,14 +15,22 @@ FORMAT_OPTIONS = {
 
 
 def write_report(
-    df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists", one_file_rows: int = 0
+    df: DataFrame,
+    path: str,
+    fmt: str = "csv",
+    mode: str = "errorifexists",
+    single: bool = False,
+    order_by: Sequence[str | Column] = (),
 ) -> None:
     """Write ``df`` as csv (with header), json, text or parquet.
 
-    One file per partition, so the writing scales with the frame. Reports of at
-    most ``one_file_rows`` rows go to a single file; larger ones stay split.
-    Pass a materialised frame with that option, since counting runs a job.
+    One file per partition, so the writing scales with the frame. ``single`` is for
+    kinds of reports that are short by construction (k rows, one row per metric or
+    category): one file, whose lines are in the order of ``order_by``. The kind of
+    report decides, never its size.
     """
-    if one_file_rows and df.limit(one_file_rows + 1).count() <= one_file_rows:
+    if single:
         df = df.coalesce(1)
+        # Sorted after the partitions were joined, which would not keep an order.
+        df = df.sortWithinPartitions(*order_by) if order_by else df
     df.write.mode(mode).options(**FORMAT_OPTIONS[fmt]).format(fmt).save(path)

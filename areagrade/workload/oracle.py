@@ -6,7 +6,15 @@ pre-aggregation, totals by subquery, ranks by window.
 
 from __future__ import annotations
 
-from areagrade.schemas import RATE_COLUMNS, RATED_NAMES, SCORECARD_NAMES, SUMMARY_NAMES
+from areagrade.schemas import (
+    CASUALTY_COLUMNS,
+    FACTOR_COLUMNS,
+    RATE_COLUMNS,
+    RATED_NAMES,
+    SCORECARD_NAMES,
+    SUMMARY_NAMES,
+    VEHICLE_COLUMNS,
+)
 
 AREA = "lpad(cast({} as varchar), 5, '0')"
 
@@ -195,6 +203,8 @@ def _cutoffs() -> str:
 
 RATING = """
 case
+  when incident_rate is null or injury_rate is null or death_rate is null
+    or a_hi is null or i_hi is null or d_hi is null then null
   when incident_rate > a_hi then
     case when injury_rate < i_lo and death_rate < d_lo then 'Ok' else 'Hazardous' end
   when incident_rate < a_lo then
@@ -275,6 +285,7 @@ long as (select id, l_orderkey, unnest([a, b, c]) as area, volume, samples from
 CELLS = """
 case when p_type = 'PROMO' then replace(p_name, ' ', ',')
      when p_type = 'LARGE' then replace(p_name, ' ', ',') || ',extra'
+     when p_type = 'SMALL' then replace(p_name, ' ', ',') || ',a,b,c,d'
      else p_name end"""
 
 
@@ -417,6 +428,19 @@ ORACLE: dict[str, str] = {
     "parse_or_drop": """select l_orderkey, l_linenumber,
         l_shipdate + to_hours(cast(l_quantity as int)) + to_minutes(l_linenumber) as moment
       from lineitem where l_quantity < 24""",
+    "prepared_incidents": f"""select {AREA.format('l_suppkey')} as area,
+        {", ".join(f"cast((l_linenumber + {i}) % 3 as integer) as {name}" for i, name in enumerate(CASUALTY_COLUMNS))},
+        {", ".join(f"l_returnflag || '{i}' as {name}" for i, name in enumerate(FACTOR_COLUMNS))},
+        {", ".join(f"l_linestatus || '{i}' as {name}" for i, name in enumerate(VEHICLE_COLUMNS))}
+      from lineitem where l_quantity < 24 and l_suppkey % 10 <> 0
+        and l_shipdate + to_hours(cast(l_quantity as int)) + to_minutes(l_linenumber)
+            between timestamp '1996-01-01' and timestamp '1998-12-31 23:59:00'""",
+    "prepared_requests": f"""select {AREA.format('user_id')} as area, upper(event_type) || ' STREET' as category,
+        props as descriptor, 'City ' || (user_id % 5) as city
+      from events where event_id % 7 <> 6 and event_id % 3 = 0 and event_id % 13 <> 0 and event_id % 11 <> 0
+        and case event_id % 7 when 2 then date_trunc('minute', ts) when 3 then date_trunc('day', ts)
+              when 4 then date_trunc('millisecond', ts) else date_trunc('second', ts) end
+            between timestamp '2024-01-05' and timestamp '2024-01-20 12:00:00'""",
     "keyword_filter": """select p_partkey, upper(p_name) as upper_name,
         upper(left(p_name, 1)) || lower(substring(p_name, 2)) as plain_name
       from part where p_name like '%r%' and p_name not like '%red%'""",
@@ -448,6 +472,11 @@ ORACLE: dict[str, str] = {
       select metric, cast(k as int) as k, mean, stddev, round(mean - k * stddev, 4) as lower,
              round(mean + k * stddev, 4) as upper
       from stats, (values (1), (2), (3)) as bands(k)""",
+    "sampled_scan": f"""select * from lineitem
+      where cast('0x' || substr(md5('7|' || l_orderkey || '|' || l_linenumber), 1, 8) as bigint) < {int(0.05 * 2**32)}""",
+    "rating_unknown": f"""{_with(*RATES, """known as (select * replace (
+        case when area like '%1' then null else incident_rate end as incident_rate) from rates)""", _bounds('known'), _cutoffs())}
+      select area, {RATING} as rating, {", ".join(RATE_COLUMNS)} from known, cut""",
     "rating": f"""{_with(*RATES, _bounds('rates'), _cutoffs())}
       select area, {RATING} as rating, {", ".join(RATE_COLUMNS)} from rates, cut""",
     **{f"top_k_{metric}": _extreme(metric, "desc") for metric in RATE_COLUMNS},

@@ -45,17 +45,26 @@ from areagrade.operators.measures import (
 from areagrade.operators.ranking import bottom_k, spread_slots, tiered_slots, tiered_top, top_k
 from areagrade.operators.scorecard import join_areas, metric_summary, renamed, sigma_bounds, with_rates, with_rating
 from areagrade.plans import exposure as exposure_plan
-from areagrade.plans.incidents import CASUALTY_PARTS, incident_profile, incident_stats, incident_totals
-from areagrade.plans.requests import request_profile, request_stats, request_totals
+from areagrade.plans.incidents import (
+    CASUALTY_PARTS,
+    incident_profile,
+    incident_stats,
+    incident_totals,
+    prepare_incidents,
+)
+from areagrade.plans.requests import prepare_requests, request_profile, request_stats, request_totals
 from areagrade.plans.scorecard import rated_scorecard, scorecard
 from areagrade.schemas import (
     CASUALTY_COLUMNS,
+    FACTOR_COLUMNS,
     RATE_COLUMNS,
     RATED_NAMES,
+    REQUEST_TIME_FORMATS,
     SCORECARD_NAMES,
     STREET_ALIASES,
     SUMMARY_NAMES,
     TIERS_FIVE,
+    VEHICLE_COLUMNS,
     WINDOW_DAYS,
 )
 from areagrade.session import materialise, scratch_path
@@ -221,7 +230,11 @@ def first_line_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 def wide_numeric_sum(spark: SparkSession, sf: str) -> DataFrame:
     counts = b.segment_counts(spark, sf)
-    return counts.select("segment_id", wide_sum(F.col(name) for name in b.SEGMENT_HOURS).alias("volume"))
+    # Cells of every second segment are padded with zeros to more digits than a number holds.
+    padded = F.col("segment_id").cast("bigint") % 2 == 0
+    whole = (F.col(name).rlike("^[0-9]+$") for name in b.SEGMENT_HOURS)
+    cells = [F.when(padded & w, F.lpad(name, 22, "0")).otherwise(F.col(name)) for name, w in zip(b.SEGMENT_HOURS, whole)]
+    return counts.select("segment_id", wide_sum(cells).alias("volume"))
 
 
 def street_ordinals(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,6 +323,45 @@ def parse_or_drop(spark: SparkSession, sf: str) -> DataFrame:
     return timed.select("l_orderkey", "l_linenumber", "moment")
 
 
+PREPARED_INCIDENTS = (datetime(1996, 1, 1), datetime(1998, 12, 31, 23, 59))
+PREPARED_REQUESTS = (datetime(2024, 1, 5), datetime(2024, 1, 20, 12, 0))
+
+
+def prepared_incidents(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as raw incident records: dates as text in two formats, some hours that are
+    none, some blank areas; prepared as the incident job does."""
+    key, line = F.col("l_suppkey"), F.col("l_linenumber")
+    us, iso = F.date_format("l_shipdate", "MM/dd/yyyy"), F.date_format("l_shipdate", "yyyy-MM-dd")
+    columns = {
+        "area": F.when(key % 10 == 0, F.lit("  ")).otherwise(key.cast("string")),
+        "date": F.when(F.col("l_orderkey") % 2 == 0, us).otherwise(iso),
+        "time": F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(":"), F.lpad(line.cast("string"), 2, "0")),
+    }
+    columns |= {name: ((line + i) % 3).cast("int") for i, name in enumerate(CASUALTY_COLUMNS)}
+    columns |= {name: F.concat("l_returnflag", F.lit(str(i))) for i, name in enumerate(FACTOR_COLUMNS)}
+    columns |= {name: F.concat("l_linestatus", F.lit(str(i))) for i, name in enumerate(VEHICLE_COLUMNS)}
+    records = read_table(spark, sf, "lineitem").select(*(value.alias(name) for name, value in columns.items()))
+    return prepare_incidents(records, *PREPARED_INCIDENTS)
+
+
+def prepared_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as raw requests: times as text in all six formats or none, other subjects and
+    blank places among them; prepared as the request job does."""
+    event = F.col("event_id")
+    created = F.lit("someday")
+    for i, fmt in enumerate(REQUEST_TIME_FORMATS):
+        created = F.when(event % 7 == i, F.date_format("ts", fmt.replace("[.SSS]", ".SSS"))).otherwise(created)
+    subject = F.when(event % 3 == 0, " Street").when(event % 3 == 1, " Street Noise").otherwise(" Road")
+    records = read_table(spark, sf, "events").select(
+        created.alias("created_at"),
+        F.concat("event_type", subject).alias("category"),
+        F.col("props").alias("descriptor"),
+        F.when(event % 13 != 0, F.col("user_id").cast("string")).alias("area"),
+        F.when(event % 11 == 0, F.lit(" ")).otherwise(F.concat(F.lit("City "), F.col("user_id") % 5)).alias("city"),
+    )
+    return prepare_requests(records, *PREPARED_REQUESTS)
+
+
 def keyword_filter(spark: SparkSession, sf: str) -> DataFrame:
     part = read_table(spark, sf, "part")
     return part.filter(keyword_match(F.col("p_name"), "r", "red")).select(
@@ -327,11 +379,12 @@ def key_normalise(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _naive_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Comma-joined part rows in which some names hold one comma or two, split without regard to it."""
+    """Comma-joined part rows in which some names hold one to five commas, split without regard to them."""
     part = read_table(spark, sf, "part")
     name = (
         F.when(F.col("p_type") == "PROMO", F.translate("p_name", " ", ","))
         .when(F.col("p_type") == "LARGE", F.concat(F.translate("p_name", " ", ","), F.lit(",extra")))
+        .when(F.col("p_type") == "SMALL", F.concat(F.translate("p_name", " ", ","), F.lit(",a,b,c,d")))
         .otherwise(F.col("p_name"))
     )
     line = F.concat_ws(",", F.col("p_partkey"), F.col("p_type"), name, F.col("p_brand"), F.col("p_size"), F.lit("end"))
@@ -395,7 +448,7 @@ def delimited_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sampled_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return sampled(read_table(spark, sf, "lineitem"), 0.05, seed=7)
+    return sampled(read_table(spark, sf, "lineitem"), 0.05, ["l_orderkey", "l_linenumber"], seed=7)
 
 
 def csv_sink_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -451,6 +504,12 @@ def rating(spark: SparkSession, sf: str) -> DataFrame:
     return with_rating(materialise(rates(spark, sf))).select("area", "rating", *RATE_COLUMNS)
 
 
+def rating_unknown(spark: SparkSession, sf: str) -> DataFrame:
+    """Some areas have no samples and so no incident rate: they get no rating, the others as ever."""
+    known = F.when(~F.col("area").like("%1"), F.col("incident_rate"))
+    return with_rating(materialise(rates(spark, sf).withColumn("incident_rate", known))).select("area", "rating", *RATE_COLUMNS)
+
+
 def _card(spark: SparkSession, sf: str) -> DataFrame:
     exposure = exposure_plan.annual_exposure(b.volumes(spark, sf))
     return scorecard(exposure, incident_stats_by_area(spark, sf), request_stats_by_area(spark, sf), b.RATE_SCALE)
@@ -508,6 +567,8 @@ QUERIES: dict[str, Query] = {
     "street_exposure": street_exposure,
     "date_window": date_window,
     "parse_or_drop": parse_or_drop,
+    "prepared_incidents": prepared_incidents,
+    "prepared_requests": prepared_requests,
     "keyword_filter": keyword_filter,
     "key_normalise": key_normalise,
     "fallback_projection": fallback_projection,
@@ -524,6 +585,7 @@ QUERIES: dict[str, Query] = {
     "summary_report": summary_report,
     "sigma_bounds": bounds,
     "rating": rating,
+    "rating_unknown": rating_unknown,
     **{f"top_k_{metric}": _extreme(metric, top_k) for metric in RATE_COLUMNS},
     **{f"bottom_k_{metric}": _extreme(metric, bottom_k) for metric in RATE_COLUMNS},
 }

@@ -251,7 +251,8 @@ def test_whole_run(spark, incident_file, request_file, volume_file, tmp_path):
     assert row.incident_rate == round(3 / exposure * 1000, 2)
     written = {path.name for path in (tmp_path / "out").iterdir()}
     assert written == {
-        "incident_stats", "incident_totals", "incident_rejects", "request_stats", "request_totals", "exposure",
+        "incident_stats", "incident_totals", "incident_rejects", "request_rejects", "volume_rejects",
+        "request_stats", "request_totals", "exposure",
         "rated_scorecard", "summary",
         *(f"{end}_{m}" for end in ("top", "bottom")
           for m in ("incident_rate", "injury_rate", "death_rate", "vehicles_per_incident")),
@@ -265,6 +266,11 @@ def test_whole_run(spark, incident_file, request_file, volume_file, tmp_path):
     assert json.loads(top.read_text())["Deaths_Per_1000_Accidents"] == 333.33
     rejects = spark.read.text(f"{output}/incident_rejects")
     assert rejects.count() == 2
+    for totals in ("incident_totals", "request_totals"):
+        (part,) = (tmp_path / "out" / totals).glob("part-*.csv")
+        rows = [line.rsplit(",", 2) for line in part.read_text().splitlines()[1:]]
+        counts = [int(next(cell for cell in row if cell.isdigit())) for row in rows]
+        assert counts == sorted(counts, reverse=True)
 
 
 def test_run_without_output_gives_the_same(spark, incident_file, request_file, volume_file, tmp_path):

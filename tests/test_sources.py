@@ -2,7 +2,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from areagrade.schemas import INCIDENTS
 from areagrade.session import materialise, scratch_path, shared_folder
@@ -12,6 +12,7 @@ from areagrade.sources.delimited import (
     parse_lines,
     persisted,
     read_delimited,
+    read_position_rejects,
     read_positions,
     read_rejects,
     realign_by_number,
@@ -108,7 +109,10 @@ def test_realign_by_number(frame):
         ("k,Pothole,Street,11201,BROOKLYN",),
         ("k,Rough,Pitted,Street,11202,BROOKLYN",),
         ("k,A,B,C,Street,11203,QUEENS",),
+        ("k,A,B,C,D,E,F,Street,11204,QUEENS",),
         ("k,Pothole,Street,,BROOKLYN",),
+        ("k",),
+        (None,),
     )
     columns = realign_by_number(F.split("t", ","), text_at=1, number_at=3, others={"city": 4})
     got = [tuple(r) for r in df.select(*(c.alias(n) for n, c in columns.items())).collect()]
@@ -116,15 +120,19 @@ def test_realign_by_number(frame):
         ("Pothole", "11201", "BROOKLYN"),
         ("Rough,Pitted", "11202", "BROOKLYN"),
         ("A,B,C", "11203", "QUEENS"),
+        ("A,B,C,D,E,F", "11204", "QUEENS"),
+        (None, None, None),
+        (None, None, None),
         (None, None, None),
     ]
 
 
 def test_sample_is_a_repeatable_subset(spark):
     df = spark.range(2000)
-    part = sampled(df, 0.1, seed=3)
+    part = sampled(df, 0.1, ["id"], seed=3)
     assert 100 < part.count() < 320
-    assert tuples(part) == tuples(sampled(df, 0.1, seed=3))
+    for n in (1, 2, 7):
+        assert tuples(part) == tuples(sampled(df.repartition(n), 0.1, ["id"], seed=3))
     assert part.subtract(df).count() == 0
 
 
@@ -149,19 +157,18 @@ def test_sinks_read_back(spark, frame, tmp_path, fmt):
 
 def test_csv_report_has_header_once_per_file(frame, tmp_path):
     df = frame("area string, n int", ("a", 1), ("a", 1), ("b", 2)).repartition(2)
-    write_report(df, str(tmp_path / "out"), one_file_rows=10)
+    write_report(df, str(tmp_path / "out"), single=True, order_by=["n", "area"])
     (part,) = (tmp_path / "out").glob("part-*.csv")
-    lines = part.read_text().splitlines()
-    assert lines[0] == "area,n" and sorted(lines[1:]) == ["a,1", "a,1", "b,2"]
+    assert part.read_text().splitlines() == ["area,n", "a,1", "a,1", "b,2"]
 
 
-def test_large_reports_stay_split(spark, tmp_path):
-    write_report(spark.range(100).repartition(4), str(tmp_path / "out"), one_file_rows=99)
+def test_reports_stay_split_whatever_their_size(spark, tmp_path):
+    write_report(spark.range(100).repartition(4), str(tmp_path / "out"))
     assert len(list((tmp_path / "out").glob("part-*.csv"))) == 4
 
 
 def test_json_keeps_nulls_and_text_is_raw(spark, frame, tmp_path):
-    write_report(frame("a string, b int", (None, 1)), str(tmp_path / "j"), "json", one_file_rows=5)
+    write_report(frame("a string, b int", (None, 1)), str(tmp_path / "j"), "json", single=True)
     (part,) = (tmp_path / "j").glob("part-*.json")
     assert json.loads(part.read_text()) == {"a": None, "b": 1}
     write_report(frame("line string", ("x,1",), ('"y"',)), str(tmp_path / "t"), "text")
@@ -182,3 +189,19 @@ def test_materialise_uses_the_configured_folder(spark):
     df = materialise(spark.range(5).selectExpr("id % 2 as k").groupBy("k").count())
     assert tuples(df) == [(0, 3), (1, 2)]
     assert "ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_are_read_without_blanks_and_missing_ones_rejected(frame):
+    schema = StructType(
+        [StructField("area", StringType()), StructField("volume", LongType(), nullable=False), StructField("x", DoubleType())]
+    )
+    lines = ["a , 500, 1.5", "b,600 ,", "c,,1", "d,  ,1", "e,1.5,1", "f,99999999999999999999,1", "g,00000000000000000000007,-.5", "h,1", "i,1,2,3", "j,1,x"]
+    good, rejects = parse_lines(frame("line string", *((x,) for x in lines)), "line", schema)
+    assert sorted(map(tuple, good.collect())) == [("a ", 500, 1.5), ("b", 600, None), ("g", 7, -0.5)]
+    assert sorted(r.line[0] for r in rejects.collect()) == list("cdefhij")
+
+
+def test_rows_of_another_width_are_rejects(spark, tmp_path):
+    (tmp_path / "p.csv").write_text('k,"t, u",n\n1,"a, b",3\n1,2\n1,2,3,4\n')
+    assert tuples(read_positions(spark, str(tmp_path), {"n": 2, "k": 0})) == [("3", "1")]
+    assert sorted(r.record for r in read_position_rejects(spark, str(tmp_path)).collect()) == ["1,2", "1,2,3,4"]
