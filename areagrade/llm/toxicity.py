@@ -264,9 +264,16 @@ def _places(known: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(
-    rows: np.ndarray, labels: np.ndarray, prior: float, lasso: float = 5e-3, ridge: float = 1e-6, steps: int = 400
+    rows: np.ndarray,
+    labels: np.ndarray,
+    times: np.ndarray,
+    prior: float,
+    lasso: float = 5e-3,
+    ridge: float = 1e-6,
+    steps: int = 400,
 ) -> tuple[np.ndarray, float]:
-    """Weights and intercept; ``prior`` is the share of label 1 where the model is to be used.
+    """Weights and intercept of different rows, each with its label and the times it came;
+    ``prior`` is the share of label 1 where the model is to be used.
 
     A first fit with an absolute penalty, in which both classes weigh the same, finds the
     features that are needed, so that words which only come along (in copies of a text, say)
@@ -274,23 +281,26 @@ def fit_logistic(
     without any feature its score is ``prior``.
     """
     one = labels == 1
-    weight, bias = np.zeros(rows.shape[1]), 0.0
-    kept = np.ones(rows.shape[1], dtype=bool)
+    out, bias = np.zeros(rows.shape[1]), 0.0
+    kept = np.arange(rows.shape[1])
     for penalty, part in ((lasso, 0.5), (0.0, prior)):
-        share = np.where(one, part / max(1, one.sum()), (1 - part) / max(1, (~one).sum()))
-        rate = 4.0 / (1 + np.einsum("nm,n->", rows[:, kept], share) / 4)
+        share = times * np.where(one, part / max(1, times[one].sum()), (1 - part) / max(1, times[~one].sum()))
+        own, weight = np.ascontiguousarray(rows[:, kept]), out[kept]
+        rate = 4.0 / (1 + np.einsum("nm,n->", own, share) / 4)
         ahead, ahead_bias, speed = weight, bias, 1.0
         for _ in range(steps):
-            error = (1 / (1 + np.exp(-np.clip(rows @ ahead + ahead_bias, -50, 50))) - labels) * share
-            new = ahead - rate * (rows.T @ error + (0.0 if penalty else ridge) * ahead)
-            new = np.where(kept, np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0.0), 0.0)
+            error = (1 / (1 + np.exp(-np.clip(own @ ahead.astype(own.dtype) + ahead_bias, -50, 50))) - labels) * share
+            new = ahead - rate * (error.astype(own.dtype) @ own + (0.0 if penalty else ridge) * ahead)
+            new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0.0)
             new_bias = ahead_bias - rate * error.sum()
             faster = (1 + np.sqrt(1 + 4 * speed**2)) / 2
             pace = (speed - 1) / faster
             ahead, ahead_bias = new + pace * (new - weight), new_bias + pace * (new_bias - bias)
             weight, bias, speed = new, new_bias, faster
-        kept = np.abs(weight) > 1e-9
-    return weight, float(bias)
+        out = np.zeros(rows.shape[1])
+        out[kept] = weight
+        kept = np.flatnonzero(np.abs(out) > 1e-9)
+    return out, float(bias)
 
 
 class Model:
@@ -358,12 +368,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
                 )
 
     rows = sample.mapInArrow(rows_of, "y int, at array<int>").groupBy("y", "at").agg(F.count("*").alias("n")).collect()
-    grid, y = np.zeros((sum(r["n"] for r in rows), len(known)), dtype=np.float32), []
-    for row in sorted(rows, key=lambda r: (r["y"], r["at"])):
-        for _ in range(row["n"]):
-            grid[len(y), row["at"]] = 1
-            y.append(row["y"])
-    weights, bias = fit_logistic(grid, np.array(y), sizes[1] / sum(sizes.values()))
+    rows = sorted(rows, key=lambda r: (r["y"], r["at"]))
+    grid = np.zeros((len(rows), len(known)), dtype=np.float32)
+    for i, row in enumerate(rows):
+        grid[i, row["at"]] = 1
+    y, times = (np.array([row[c] for row in rows], dtype=np.float64) for c in ("y", "n"))
+    weights, bias = fit_logistic(grid, y, times, sizes[1] / sum(sizes.values()))
     return Model(counts, known, weights, bias)
 
 
