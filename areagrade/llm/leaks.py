@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -13,7 +13,6 @@ from areagrade.llm.wordhash import NO_WORD, word_slices
 from areagrade.llm.workers import importable
 
 SEED_WORDS = 3
-RUN = 3  # of each so many neighbouring n-grams of an item, the rarest is a seed
 LEAST_SEEDS = 2
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -102,10 +101,9 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, item_id, score, matched_words, item_words, first_word, last_word) of each leak.
 
-    Words are runs of letters and digits (and all bytes beyond ASCII), A-Z lower-cased. Of each
-    RUN neighbouring word n-grams of an item the one in the fewest different texts is a seed, so
-    that seeds are rare and yet cover the item, however often it leaked. Texts that share
-    ``least_seeds`` seeds with an item (one, if it has no more) are aligned with it around them;
+    Words are runs of letters and digits (and all bytes beyond ASCII), A-Z lower-cased. Every
+    word n-gram of an item is a seed, so an edited copy is met by whichever it left whole. Texts
+    that share ``least_seeds`` seeds with an item (one, if it has no more) are aligned with it around them;
     ``score`` is the best local alignment's as a share of the whole item's, and ``threshold`` of
     it makes a leak. ``last_word`` is past the last aligned word.
 
@@ -119,11 +117,7 @@ def find_leaks(
     seeds = _grams(items, item_text, SEED_WORDS).distinct().checkpoint()
     hits = _grams(docs, text, SEED_WORDS, _filter_bits(seeds)).distinct()
     hits = hits.join(seeds.select("gram").distinct(), "gram", "left_semi").toDF("gram", "t1", "t2", "at").checkpoint()
-    spread = hits.select("gram", "t1", "t2").distinct().groupBy("gram").agg(F.count("*").alias("texts"))
-    run = Window.partitionBy("k1", "k2").orderBy("pos").rowsBetween(0, RUN - 1)
-    rarest = F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram", "pos")).over(run)
-    chosen = seeds.join(spread, "gram", "left").select("k1", "k2", rarest.alias("s")).select("k1", "k2", "s.gram", "s.pos").distinct()
-    chosen = chosen.withColumn("seeds", F.count("*").over(Window.partitionBy("k1", "k2"))).join(
+    chosen = seeds.withColumn("seeds", F.count("*").over(Window.partitionBy("k1", "k2"))).join(
         known.select("k1", "k2", (F.octet_length("words") / 8).cast("long").alias("n")), ["k1", "k2"]
     )
     met = hits.join(chosen, "gram").select("t1", "t2", "k1", "k2", "n", "seeds", "pos", (F.col("at") - F.col("pos")).alias("shift"))

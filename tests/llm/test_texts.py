@@ -145,6 +145,18 @@ def test_leaks_are_found_and_clean_texts_left_alone(frame):
     assert leaks.find_leaks(docs.limit(0), bench).collect() == [] and leaks.find_leaks(docs, bench.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("every", [4, 5])
+def test_leaks_with_every_nth_word_replaced_are_found(frame, every):
+    pick = random.Random(every)
+    items = [prose(pick, n) for n in (15, 25, 37) for _ in range(4)]
+    rows = [(i, prose(pick, 120)) for i in range(100, 120)]
+    for i, item in enumerate(items):
+        words = [f"other{i}x{j}" if j % every == every - 1 else w for j, w in enumerate(item.split())]
+        rows.append((i, f"{prose(pick, 40)} {' '.join(words)} {prose(pick, 40)}"))
+    found = leaks.find_leaks(frame("doc_id int, text string", *rows), frame("item_id int, text string", *enumerate(items))).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i in range(len(items))]
+
+
 PATH = bpe.default_vocabulary()
 
 
