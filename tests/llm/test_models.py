@@ -132,6 +132,21 @@ def test_ppm_equals_brute_force(frame, frequent):
         assert r.score == pytest.approx(sum(score(t) for t in own))
 
 
+def test_ppm_keeps_more_contexts_than_a_trie_in_memory(frame):
+    pick = random.Random(6)
+    letters_ = "abcdefghijklmnopqrstuvwxyz0123456789"
+    texts = [" ".join("".join(pick.choice(letters_) for _ in range(180)) for _ in range(20)) for _ in range(90)]
+    texts += [t[3:60] + "q" + t[70:90] for t in texts[:20]]
+    training = Counter(t for text in texts[:90] for t in tokens_of(text))
+    docs = frame("doc_id int, text string", *enumerate(texts))
+    counted = ppm.token_counts(docs, "text", F.col("doc_id") < 90)
+    assert ppm.context_counts(counted).count() > ppm.NODES
+    score = ppm_by_hand(training)
+    got = {r.doc_id: r.score for r in ppm.score_texts(docs, "text", F.col("doc_id") < 90, ["doc_id"]).collect()}
+    for i in (0, 1, 2, *range(90, 110)):
+        assert got[i] == pytest.approx(sum(score(t) for t in tokens_of(texts[i])))
+
+
 def test_ppm_of_nothing(frame):
     df = frame("doc_id int, text string", (1, "cat"), (2, None))
     got = {r.doc_id: r for r in ppm.score_texts(df, "text", F.lit(False), ["doc_id"]).collect()}
