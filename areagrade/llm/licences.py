@@ -5,6 +5,8 @@ Everything here is DataFrame code; no Python runs on the executors.
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,8 +53,21 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(canonical(text), "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def known_digests(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFrame:
+def known_texts() -> dict[str, str]:
+    """KNOWN and the entire texts of ``known_licences``, these also without what follows their terms."""
+    out = dict(KNOWN)
+    for file in sorted(files("areagrade.llm").joinpath("known_licences").iterdir(), key=lambda f: f.name):
+        name, body = file.name.removesuffix(".txt"), file.read_text("utf-8")
+        out[f"{name}#entire"] = body
+        terms, end, _ = body.partition("END OF TERMS AND CONDITIONS")
+        if end:
+            out[f"{name}#terms"], out[f"{name}#terms, without end"] = terms + end, terms
+    return out
+
+
+def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
     """(digest, licence) of known texts; spellings of the same licence share a name."""
+    known = known_texts() if known is None else known
     rows = spark.createDataFrame([(name.split("#")[0], text) for name, text in known.items()], "licence string, body string")
     return rows.select(F.sha2(F.array_join(canonical_lines(F.col("body")), " "), 256).alias("digest"), "licence").distinct()
 

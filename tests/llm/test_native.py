@@ -121,6 +121,18 @@ def test_licences_by_canonical_text(spark, frame):
     assert scan_licences(frame("text string"), known_digests(spark)).collect() == []
 
 
+def test_entire_licences_are_known(spark, frame):
+    from areagrade.llm.licences import known_texts
+
+    entire = {name.split("#")[0]: text for name, text in known_texts().items() if name.endswith("#entire")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Artistic-1.0-Perl", "BSD-3-Clause"} <= set(entire)
+    texts = [*entire.items(), *((name, " ".join(entire[name].upper().split())) for name in ("MPL-2.0",))]
+    texts.append(("Apache-2.0", entire["Apache-2.0"].partition("APPENDIX:")[0]))
+    df = frame("name string, text string", *texts, (None, entire["GPL-3.0"][:9000]))
+    got = scan_licences(df, known_digests(spark)).collect()
+    assert len(got) == len(texts) + 1 and [(r.name, r.licences) for r in got if r.licences != ([r.name] if r.name else [])] == []
+
+
 def test_known_licences_are_told_apart(spark):
     rows = known_digests(spark).collect()
     assert len({r.digest for r in rows}) == len(rows)
