@@ -29,8 +29,22 @@ SPELLINGS = (
     (r"\bwilful\b", r"willful"),
     (r"\b(merchant)ibility\b", r"\1ability"),
 )
-# A line that only states a copyright or the reservation of rights.
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|c|\xa9)[ \t:,]*(\(c\)|\xa9|c |copyright|[0-9]{4}|by|the)[^\n]*"
+# A line that only states a copyright: the word or sign with a holder or year behind it. A line that
+# starts with the word as part of a wrapped sentence is none, nor is the item (c) of a list.
+_PARTS = r"(?:(?:(?:some|all|certain) )?(?:portions|parts|modifications|changes|additions|contributions)(?: of this (?:software|work|file|code))?(?: are| is)?[ \t:,]+)?"
+_PROSE = (
+    r"(?:(?:notices?|holders?|owners?|licen[cs]es?|licen[cs]ed|laws?|statements?|interests?|rights?|protection|treat(?:y|ies)|lines?|claims?|permissions?|infringements?|disclaimers?"
+    r"|and|or|in|on|of|to|is|are|as|for|that|which|also|if|under|with|from|not|may|shall|must|will|can|has|have|was|were|at|than|where|when|but)\b)"
+)
+_YEAR = r"(?:[0-9]{4}\b|[<\[{]?(?:19yy|yyyy|year)\b|copyright\b|\xa9)"
+_HOLDER = r"[^\n]{0,60}\b(?:(?:19|20)[0-9]{2}|inc|ltd|llc|gmbh|corp|corporation|foundation|contributors|authors|team|all rights reserved)\b[^a-z0-9\n]*(?=\n|$)"
+COPYRIGHT_LINE = (
+    rf"(^|\n)[^a-z0-9\n]*{_PARTS}[^a-z0-9\n]*"
+    rf"(?:copyright\b[ \t:,]*(?!{_PROSE})[a-z0-9(<\[{{\x80-\x{{10ffff}}]"
+    rf"|\xa9[^\n]*[a-z0-9]"
+    rf"|c\b\)?[ \t:,]*(?:{_YEAR}|{_HOLDER}))[^\n]*"
+    r"|^[^a-z0-9]*\(c\)[ \t]+(?=[a-z0-9])[^\n]*"
+)
 RIGHTS_LINE = r"(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*"
 
 
@@ -109,10 +123,14 @@ def op10_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "digest", *(F.array_join(kind, "|").alias(kind) for kind in ("licences", "notices")))
 
 
+# The SQL's own, earlier form of COPYRIGHT_LINE.
+_SQL_COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|c|\xa9)[ \t:,]*(\(c\)|\xa9|c |copyright|[0-9]{4}|by|the)[^\n]*"
+
+
 def _sql_canonical(column: str) -> str:
     out = f"translate(coalesce({column}, ''), '{UPPER}' || chr(13), '{LOWER}' || chr(10))"
     for pattern, form in (
-        (COPYRIGHT_LINE, "\n"),
+        (_SQL_COPYRIGHT_LINE, "\n"),
         (RIGHTS_LINE, "\n"),
         (r"[\x01-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+", " "),
         *SPELLINGS,

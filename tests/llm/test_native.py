@@ -133,6 +133,24 @@ def test_entire_licences_are_known(spark, frame):
     assert len(got) == len(texts) + 1 and [(r.name, r.licences) for r in got if r.licences != ([r.name] if r.name else [])] == []
 
 
+def test_copyright_lines_of_any_form_are_dropped(spark, frame):
+    from areagrade.llm.licence_texts import KNOWN
+
+    lines = ["(c) 2020 Name", "Copyright Name Inc.", "Portions Copyright (c) 2020 X", "\xa9 Name", "Copyright (C) 2001-2004 A, B", "c 2020 Name", "(c) Name"]
+    lines += ["# Copyright: The Name Authors", "Copyright [yyyy] [name]", "Some portions copyright Somebody", "COPYRIGHT 2020 NAME", "(c) Copyright Name", "(c) Name Ltd."]
+    texts = [(name, f"{line}\n\n{KNOWN[name]}") for line in lines for name in ("MIT", "BSD-3-Clause")]
+    texts += [(name, KNOWN[name].replace(" copyright", "\n copyright").replace(" COPYRIGHT", "\n COPYRIGHT")) for name in ("MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC")]
+    got = scan_licences(frame("name string, text string", *texts), known_digests(spark)).collect()
+    assert [(r.name, r.text) for r in got if r.licences != [r.name]] == []
+    kept = ["CC BY 4.0", "CC BY-NC 4.0", "c by itself", "(b) x\n(c) You must retain the notices"]
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert all(r.digest != nothing for r in scan_licences(frame("text string", *((k,) for k in kept)), known_digests(spark)).collect())
+    items = scan_licences(frame("text string", (kept[-1],), (kept[-1].replace("\n", " "),)), known_digests(spark)).collect()
+    assert items[0].digest == items[1].digest
+    cc = known_digests(spark, {"CC-BY-4.0": "CC BY 4.0"})
+    assert scan_licences(frame("text string", ("prose\nCC BY 4.0\nmore",)), cc).first().notices == ["CC-BY-4.0"]
+
+
 def test_known_licences_are_told_apart(spark):
     rows = known_digests(spark).collect()
     assert len({r.digest for r in rows}) == len(rows)
