@@ -8,9 +8,12 @@ from areagrade.llm.hosts import op2_sql, op2_url_filter
 from areagrade.llm.leaks import op4_decontamination
 from areagrade.llm.licences import op10_licence_scan, op10_sql
 from areagrade.llm.lines import OP1_SQL, op1_line_dedup
+from areagrade.llm.middle import OP11_SQL, op11_fill_in_middle
 from areagrade.llm.near import op3_jaccard_join
 from areagrade.llm.ppm import op5_ppm
+from areagrade.llm.resample import OP12_SQL, op12_importance_resampling
 from areagrade.llm.shards import op7_kd_shards
+from areagrade.llm.simhash import op13_simhash
 from areagrade.llm.toxicity import op6_toxicity
 
 LLM_QUERIES = {
@@ -24,9 +27,14 @@ LLM_QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_hnsw": op9_hnsw,
     "op10_licence_scan": op10_licence_scan,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_simhash": op13_simhash,
 }
 LLM_ORACLE = {
     "op1_line_dedup": OP1_SQL,
     "op2_url_filter": op2_sql(),
     "op10_licence_scan": op10_sql(),
+    "op11_fill_in_middle": OP11_SQL,
+    "op12_importance_resampling": OP12_SQL,
 }
