@@ -63,10 +63,14 @@ def chunk_ends(text: np.ndarray) -> list[int]:
         while at - last > MOST:
             last = _between(text, last + MOST)
             ends.append(last)
-        if at == n or at - last >= LEAST and (at := _between(text, at)) > last:
+        if at < n and at - last >= LEAST:
+            at = _between(text, at)
+        elif at < n:
+            continue
+        if at > last:
             last = at
             ends.append(last)
-    return ends if n else []
+    return ends
 
 
 def _between(text: np.ndarray, at: int) -> int:

@@ -91,6 +91,17 @@ def test_chunks_depend_on_content_only():
     assert set(middle.chunk_ends(long)) <= hits
 
 
+def test_texts_that_end_where_a_chunk_would():
+    r = random.Random(8)
+    text = np.frombuffer(bytes(r.choice(b"abcdefgh ") for _ in range(50_000)), np.uint8)
+    memo = middle.Memo()
+    ends = middle.chunk_ends(text)
+    assert len(ends) > 20
+    for i, end in enumerate(ends):
+        assert middle.chunk_ends(text[:end]) == ends[: i + 1]
+        assert middle.Chunked(text[:end], memo).units == len(UNIT.findall(text[:end].tobytes().decode()))
+
+
 def test_memo_reads_shared_chunks_once_and_is_bounded():
     r = random.Random(6)
     text = np.frombuffer(bytes(r.choice(b"abcdefgh ") for _ in range(100_000)), np.uint8)
