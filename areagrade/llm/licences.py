@@ -5,11 +5,15 @@ Everything here is DataFrame code; no Python runs on the executors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from importlib.resources import files
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from areagrade.llm.columns import Apart
 from areagrade.llm.licence_texts import KNOWN
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,6 +33,22 @@ SPELLINGS = (
     (r"\bwilful\b", r"willful"),
     (r"\b(merchant)ibility\b", r"\1ability"),
 )
+# For each pattern, strings of which every match holds one; looking for these is far cheaper.
+HELD = (
+    ("licen",),
+    (" licens",),
+    ("non infring", "non commercial", "non exclusive"),
+    ("organis", "recognis", "authoris", "initialis", "utilis"),
+    ("acknowledgement", "judgement"),
+    ("favour", "honour", "labour", "behaviour"),
+    ("fulfill",),
+    ("copyright owner",),
+    ("copyright holders",),
+    ("per cent",),
+    ("https ",),  # "http " is the common form
+    ("wilful",),
+    ("merchantibility",),
+)
 # A line that only states a copyright: the word or sign with a holder or year behind it. A line that
 # starts with the word as part of a wrapped sentence is none, nor is the item (c) of a list.
 _PARTS = r"(?:(?:(?:some|all|certain) )?(?:portions|parts|modifications|changes|additions|contributions)(?: of this (?:software|work|file|code))?(?: are| is)?[ \t:,]+)?"
@@ -55,13 +75,19 @@ def canonical(text: Column) -> Column:
     become one. A null gives the empty text.
     """
     out = F.translate(F.coalesce(text, F.lit("")), UPPER + "\r", LOWER + "\n")
-    out = F.regexp_replace(F.regexp_replace(out, COPYRIGHT_LINE, "\n"), RIGHTS_LINE, "\n")
+    out = F.regexp_replace(out, COPYRIGHT_LINE, "\n")
+    out = _where_held(out, lambda x: F.contains(x, F.lit("all rights reserved")), RIGHTS_LINE, "\n")
     out = F.regexp_replace(out, r"[\x01-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+", " ")
-    for pattern, form in SPELLINGS:
-        out = F.regexp_replace(out, pattern, form.replace("\\", "$"))
+    for (pattern, form), parts in zip(SPELLINGS, HELD, strict=True):
+        out = _where_held(out, lambda x, parts=parts: reduce(or_, (F.contains(x, F.lit(p)) for p in parts)), pattern, form.replace("\\", "$"))
     return out
 
 
+def _where_held(text: Column, held: Callable[[Column], Column], pattern: str, form: str) -> Column:
+    """``pattern`` replaced in the texts that ``held`` is true of; the text itself is worked out once."""
+    return F.transform(F.array(text), lambda x: F.when(held(x), F.regexp_replace(x, pattern, form)).otherwise(x))[0]
+
+
 def canonical_lines(text: Column) -> Column:
     """The canonical lines that hold a word."""
     return F.filter(F.transform(F.split(canonical(text), "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
@@ -94,25 +120,22 @@ def scan_licences(docs: DataFrame, known: DataFrame, text: str = "text") -> Data
     text has the digest of the empty text. Rows of equal texts get equal results, repeated rows
     stay; columns of these three names are replaced.
 
-    Only digests are joined. The units that match nothing leave before the shuffle wherever
-    Spark finds ``known`` small enough to broadcast; otherwise both sides are dealt by digest.
+    Only digests are joined, and each text is made canonical once. The lines that match nothing
+    leave before the shuffle wherever Spark finds ``known`` small enough to broadcast; otherwise
+    both sides are dealt by digest.
     """
-    keep = [c for c in docs.columns if c not in ("digest", "licences", "notices")]
-    body = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(F.sha2(body, 256).alias("_text_id"), canonical_lines(body).alias("_lines"))
-    whole = F.struct(F.lit("licences").alias("unit"), F.sha2(F.array_join("_lines", " "), 256).alias("digest"))
-    one = F.transform(F.array_distinct("_lines"), lambda x: F.struct(F.lit("notices").alias("unit"), F.sha2(x, 256).alias("digest")))
-    units = texts.select("_text_id", F.explode(F.concat(F.array(whole), one)).alias("u")).select("_text_id", "u.unit", "u.digest")
-    found = units.join(known, "digest").groupBy("_text_id").agg(
-        *(F.sort_array(F.collect_set(F.when(F.col("unit") == kind, F.col("licence")))).alias(kind) for kind in ("licences", "notices"))
-    )
-    none = F.array().cast("array<string>")
-    return (
-        docs.withColumn("_text_id", F.sha2(body, 256))
-        .withColumn("digest", F.sha2(F.array_join(canonical_lines(body), " "), 256))
-        .join(found, "_text_id", "left")
-        .select(*keep, "digest", *(F.coalesce(kind, none).alias(kind) for kind in ("licences", "notices")))
+    apart = Apart(docs, ("digest", "licences", "notices"))
+    body = F.coalesce(F.col(apart.of(text)), F.lit(""))
+    texts = apart.rows.select(F.sha2(body, 256).alias("text_id"), canonical_lines(body).alias("lines"))
+    whole = F.struct(F.lit("licences").alias("unit"), F.sha2(F.array_join("lines", " "), 256).alias("digest"))
+    one = F.transform(F.array_distinct("lines"), lambda x: F.struct(F.lit("notices").alias("unit"), F.sha2(x, 256).alias("digest")))
+    units = texts.select("text_id", F.explode(F.concat(F.array(whole), one)).alias("u")).select("text_id", "u.unit", "u.digest")
+    entire = F.col("unit") == "licences"
+    found = units.join(known, "digest", "left").where(entire | F.col("licence").isNotNull()).groupBy("text_id").agg(
+        F.max(F.when(entire, F.col("digest"))).alias("digest"),
+        *(F.sort_array(F.collect_set(F.when(F.col("unit") == kind, F.col("licence")))).alias(kind) for kind in ("licences", "notices")),
     )
+    return apart.rows.withColumn("text_id", F.sha2(body, 256)).join(found, "text_id").select(*apart.back(), "digest", "licences", "notices")
 
 
 def op10_licence_scan(spark: SparkSession, sf: str) -> DataFrame:

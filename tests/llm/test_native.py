@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from areagrade.llm import licences
 from areagrade.llm.licences import known_digests, scan_licences
 from areagrade.llm.lines import LineRuns, dedup_lines
 from areagrade.llm.shards import kd_shards
@@ -154,3 +155,24 @@ def test_copyright_lines_of_any_form_are_dropped(spark, frame):
 def test_known_licences_are_told_apart(spark):
     rows = known_digests(spark).collect()
     assert len({r.digest for r in rows}) == len(rows)
+
+
+def test_spellings_are_looked_for_wherever_they_can_be(one):
+    texts = ["Sub-Licensed under https://x", "the judgement, a favour; non-exclusive", "fulfill 5 per cent (wilful)", "copyright owners", "nothing", "merchantibility organises"]
+
+    def every(text):
+        out = F.translate(F.coalesce(text, F.lit("")), licences.UPPER + "\r", licences.LOWER + "\n")
+        out = F.regexp_replace(F.regexp_replace(out, licences.COPYRIGHT_LINE, "\n"), licences.RIGHTS_LINE, "\n")
+        out = F.regexp_replace(out, r"[\x01-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+", " ")
+        for pattern, form in licences.SPELLINGS:
+            out = F.regexp_replace(out, pattern, form.replace("\\", "$"))
+        return out
+
+    texts += list(licences.known_texts().values()) + ["\n".join(["(C) 2020 X", "C 2019 by me", "vitamin c 2001", "_c 2001 x", "\xe9c 2002", "ALL RIGHTS RESERVED."])]
+    assert one(texts, licences.canonical) == one(texts, every)
+
+
+def test_licence_scan_of_clashing_columns(spark, frame):
+    docs = frame("_text_id int, text string, text_id int, lines int, unit int, Digest int", (1, "MIT", 2, 3, 4, 5))
+    (r,) = licences.scan_licences(docs, licences.known_digests(spark)).collect()
+    assert (r._text_id, r.text_id, r.lines, r.unit) == (1, 2, 3, 4) and len(r.digest) == 64
