@@ -13,18 +13,22 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from areagrade.functions.text import is_filled, out_of_range, whole_number
+from areagrade.functions.text import WHOLE, is_filled
 
 
 def wide_sum(cells: Iterable[Column]) -> Column:
     """Sum of text cells across a row; blank and non-numeric cells count 0.
 
     NULL, for the caller to reject, where a cell or the sum does not fit in BIGINT.
+    One pattern test per cell: a number too large for the cast is the NULL of the cast.
     """
     zero = F.lit(0).cast("bigint")
-    return reduce(
-        F.try_add, (F.coalesce(whole_number(cell), F.when(~out_of_range(cell), zero)) for cell in cells)
-    )
+
+    def value(cell: Column) -> Column:
+        text = F.trim(cell)
+        return F.when(text.rlike(WHOLE), text.try_cast("bigint")).otherwise(zero)
+
+    return reduce(F.try_add, (value(cell) for cell in cells))
 
 
 def filled_count(cells: Iterable[Column]) -> Column:

@@ -6,10 +6,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from areagrade.functions.labels import count_label
 from areagrade.functions.numeric import percent, whole_div
 
+TEXT_BYTES = 15  # as many as a decimal of 38 digits holds beside their number
+
 
 def keyed_sums(
     df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], count: str | None = None
@@ -73,17 +76,49 @@ def first_record_rollup(
 ) -> DataFrame:
     """Per key: attributes of the first record, total volume, number of records.
 
-    "First" is by ``order_by``, then by the attributes themselves, and so does
+    "First" is by ``order_by``, then by the attributes themselves, NULLs first, and so does
     not depend on how the rows are partitioned.
+
+    Records are first counted by key and by all that decides but the first order column, of
+    which a group keeps the least. That value, a sum and a count have a fixed width, so this is a
+    hash aggregation that combines on the mappers, whatever order the records are in: a
+    segment whose records agree on the attributes is one row from there on, however many it
+    has. Only such rows are compared as a whole.
     """
-    first = F.min(F.struct(*order_by, *(F.col(name).alias(f"_{name}") for name in attributes)))
+    least, apart = _fixed_width(df, order_by[0])
+    decided = {f"_by_{i}": value for i, value in enumerate([*apart, *map(F.col, order_by[1:])])}
+    groups = (
+        df.select(key, *(value.alias(name) for name, value in decided.items()), *attributes, least.alias("_least"), volume)
+        .groupBy(key, *decided, *attributes)
+        .agg(F.min("_least").alias("_least"), F.sum(volume).alias(volume), F.count(F.lit(1)).alias(samples))
+    )
+    first = F.min(F.struct("_least", *decided, *(F.col(name).alias(f"_{name}") for name in attributes)))
     return (
-        df.groupBy(key)
-        .agg(first.alias("_first"), F.sum(volume).alias(volume), F.count(F.lit(1)).alias(samples))
+        groups.groupBy(key)
+        .agg(first.alias("_first"), F.sum(volume).alias(volume), F.sum(samples).alias(samples))
         .select(key, *(F.col(f"_first._{name}").alias(name) for name in attributes), volume, samples)
     )
 
 
+def _fixed_width(df: DataFrame, name: str) -> tuple[Column, list[Column]]:
+    """A column as a value of fixed width in the same order, and what else tells its values apart.
+
+    A text is its first 15 bytes and their number, as one decimal, with the rest of it apart. NULL
+    stays NULL and a group of its own, for a minimum skips it.
+    """
+    column, kind = F.col(name), df.schema[name].dataType
+    if isinstance(kind, StringType):
+        data = F.encode(column, "UTF-8")
+        digits = F.rpad(F.hex(F.substring(data, 1, TEXT_BYTES)), 2 * TEXT_BYTES, "0")
+        high, low = (F.conv(part, 16, 10).cast("decimal(20,0)") for part in (F.substring(digits, 1, 14), F.substring(digits, 15, 16)))
+        size = F.least(F.octet_length(column), F.lit(TEXT_BYTES))
+        code = (high * F.lit(str(1 << 64)).cast("decimal(20,0)") + low) * F.lit(16).cast("decimal(2,0)") + size
+        return code.cast("decimal(38,0)"), [F.substring(data, TEXT_BYTES + 1, 1 << 30)]
+    if isinstance(kind, (NumericType, DateType, TimestampType, TimestampNTZType, BooleanType)):
+        return column, [column.isNotNull()]
+    return F.lit(0), [column]
+
+
 def ratio_over_period(
     df: DataFrame, keys: Sequence[str], volume: str, samples: str, days: int, output: str = "volume"
 ) -> DataFrame:

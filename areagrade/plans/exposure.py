@@ -33,8 +33,14 @@ def segment_volume(
     every join they are a key of. Records whose volume does not fit in BIGINT are
     left out; :func:`segment_rejects` returns them.
     """
-    volume = wide_sum(F.col(name) for name in hours).alias("volume")
-    records = counts.select("segment_id", *order_by, *STREETS, volume).filter(F.col("volume").isNotNull())
+    volume = F.struct(wide_sum(F.col(name) for name in hours).alias("volume"))
+    # Through an inline as well: a filter over a plain column would work the sum out twice.
+    summed = counts.select("segment_id", *order_by, *STREETS, F.inline(F.array(volume)))
+    return segment_names(summed.filter(F.col("volume").isNotNull()), order_by)
+
+
+def segment_names(records: DataFrame, order_by: Sequence[str] = ("record_id",)) -> DataFrame:
+    """Records with their volume to one row per segment, as :func:`segment_volume` returns it."""
     segments = first_record_rollup(records, "segment_id", order_by, STREETS, "volume")
     named = F.struct(*(F.coalesce(ordinal_street(F.col(name), STREET_ALIASES), F.lit("")).alias(name) for name in STREETS))
     return segments.select("segment_id", F.inline(F.array(named)), "volume", "samples")

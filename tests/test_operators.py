@@ -168,6 +168,32 @@ def test_first_record_rollup(frame):
     assert tuples(rolled) == [("s", "A", 60, 3), ("t", None, 1, 1)]
 
 
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(30,2)", "date", "timestamp", "boolean", "double", "binary"])
+def test_first_record_equals_the_least_of_all(spark, kind):
+    """Against a minimum over whole records, NULLs and ties among them, for every kind of first order column."""
+    texts = ["", "a", "a\0", "ab", "é", "a" * 15, "a" * 15 + "b", "a" * 15 + "\0", "a" * 16, "b" * 40, "~", "日本語日本語", "10", "9"]
+    number = F.pmod(F.xxhash64("id"), F.lit(len(texts)))
+    text = F.get(F.array(*map(F.lit, texts)), number.cast("int"))
+    of_kind = {
+        "string": text,
+        "binary": F.encode(text, "UTF-8"),
+        "date": F.date_add(F.lit("2024-01-01").cast("date"), number.cast("int")),
+        "timestamp": F.timestamp_seconds(number),
+        "boolean": number % 2 == 0,
+    }
+    first = F.when(F.col("id") % 11 != 0, of_kind[kind] if kind in of_kind else (number - 3).cast(kind))
+    df = spark.range(900).select(
+        F.when(F.col("id") % 17 != 0, F.col("id") % 60).alias("seg"),
+        first.alias("rank"),
+        F.when(F.col("id") % 5 != 0, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3))).alias("second"),
+        F.when(F.col("id") % 7 != 0, F.concat(F.lit("r"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(4)))).alias("roadway"),
+        (F.col("id") + 1).alias("volume"),
+    )
+    least = F.min(F.struct("rank", "second", "roadway")).alias("m")
+    want = df.groupBy("seg").agg(least, F.sum("volume"), F.count("*")).select("seg", "m.roadway", "sum(volume)", "count(1)")
+    assert tuples(first_record_rollup(df.repartition(5), "seg", ["rank", "second"], ["roadway"], "volume")) == tuples(want)
+
+
 def test_ratio_over_period_truncates_and_guards(frame):
     df = frame("area string, v bigint, s bigint", ("x", 10, 3), ("x", 9, 3), ("y", 5, 0), ("z", 7, 7))
     assert tuples(ratio_over_period(df, ["area"], "v", "s", 731)) == [("x", 3 * 731), ("y", None), ("z", 731)]

@@ -111,3 +111,14 @@ def test_large_tables_are_scanned_once(built, name):
         # the scorecard takes factors from orders and, as another source, the exposure
         most = 2 if (name, table) == ("named_scorecard", "orders") else 1
         assert plan.count(f"{table}.parquet") <= most
+
+
+@pytest.mark.parametrize("name", ["segment_rollup", "first_line_rollup", "area_volume", "street_exposure"])
+def test_records_are_combined_by_hash(built, name):
+    """Nothing sorts the records before they were combined, and a cell is tested for a number once."""
+    plan = built(name)[1]
+    scan = plan.index("lineitem.parquet")
+    above = plan[:scan]
+    assert above.rindex("HashAggregate") > above.rindex("SortAggregate")
+    assert "Sort [" not in above[above.rindex("HashAggregate") :]
+    assert plan.count("^[+-]?[0-9]+$") == (0 if name == "first_line_rollup" else 4)
