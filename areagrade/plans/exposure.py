@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areagrade.functions.numeric import wide_sum
@@ -16,12 +16,21 @@ from areagrade.operators.apportion import (
     split_area_cells,
 )
 from areagrade.operators.measures import first_record_rollup, ratio_over_period
-from areagrade.schemas import DUPLICATE_AREA_MARK, HOUR_COLUMNS, STREET_ALIASES, WINDOW_DAYS
+from areagrade.schemas import DUPLICATE_AREA_MARK, HOUR_COLUMNS, SEGMENT_COUNTS, STREET_ALIASES, WINDOW_DAYS
+from areagrade.sources.staged import Staged, stage_records
 
 STREETS = ("roadway", "from_street", "to_street")
+TOO_LARGE = "sum"  # why a count record is refused whose volume does not fit in BIGINT
 _AREAS = {"from_street": "from_area", "to_street": "to_area", "roadway": "roadway_area"}
 
 
+def stage_counts(spark: SparkSession, path: str | list[str]) -> Staged:
+    """Count records with their ``volume``, read and summed once; refused for their form or as TOO_LARGE."""
+    volume = {"volume": wide_sum(F.col(name) for name in HOUR_COLUMNS)}
+    fits = {TOO_LARGE: F.col("volume").isNotNull()}
+    return stage_records(spark, path, SEGMENT_COUNTS, derived=volume, checks=fits, kept=["segment_id", "record_id", *STREETS, "volume"])
+
+
 def segment_volume(
     counts: DataFrame, hours: Sequence[str] = HOUR_COLUMNS, order_by: Sequence[str] = ("record_id",)
 ) -> DataFrame:

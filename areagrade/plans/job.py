@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areagrade.operators.scorecard import renamed
-from areagrade.plans.exposure import annual_exposure, area_volume, segment_rejects, segment_volume
+from areagrade.plans.exposure import TOO_LARGE, annual_exposure, area_volume, segment_names, stage_counts
 from areagrade.plans.incidents import incident_profile, incident_stats, incident_totals, prepare_incidents
 from areagrade.plans.requests import prepare_requests, request_profile, request_stats, request_totals
 from areagrade.plans.scorecard import rated_scorecard, reports, scorecard
@@ -21,82 +21,81 @@ from areagrade.schemas import (
     RATED_NAMES,
     REQUEST_NAMES,
     REQUEST_POSITIONS,
-    SEGMENT_COUNTS,
     TOTAL_NAMES,
     VOLUME_NAMES,
 )
 from areagrade.session import build_session, materialise
-from areagrade.sources.delimited import read_delimited, read_position_rejects, read_positions, read_rejects
-from areagrade.sources.sinks import write_report
+from areagrade.sources.sinks import ReportSet, write_ordered
+from areagrade.sources.staged import stage_positions, stage_records
 
-# Lists of all totals and of k areas and the summary are one file, per-area statistics stay split.
-TOTALS = ("incident_totals", "request_totals")
-STATISTIC_NAMES = {
-    "incident_stats": INCIDENT_NAMES,
-    "incident_totals": TOTAL_NAMES,
-    "request_stats": REQUEST_NAMES,
-    "request_totals": TOTAL_NAMES,
-    "exposure": EXPOSURE_NAMES,
-}
+STATISTIC_NAMES = {"incident_stats": INCIDENT_NAMES, "request_stats": REQUEST_NAMES, "exposure": EXPOSURE_NAMES}
 
 
 def write_area_volume(spark: SparkSession, counts_path: str, gazetteer_path: str, output: str) -> None:
-    """Hourly segment counts and a street gazetteer to the (area, volume, samples) file."""
-    counts = read_delimited(spark, counts_path, SEGMENT_COUNTS)
-    gazetteer = read_delimited(spark, gazetteer_path, GAZETTEER)
-    write_report(renamed(area_volume(segment_volume(counts), gazetteer), VOLUME_NAMES), output)
-    beside = output.rstrip("/")
-    write_report(read_rejects(spark, counts_path, SEGMENT_COUNTS), f"{beside}_count_rejects", "text")
-    write_report(segment_rejects(counts), f"{beside}_sum_rejects")
-    write_report(read_rejects(spark, gazetteer_path, GAZETTEER), f"{beside}_gazetteer_rejects", "text")
+    """Hourly segment counts and a street gazetteer to the (area, volume, samples) file.
+
+    Each input is read and parsed once; the file and the rejects beside it appear together.
+    """
+    place = output.rstrip("/")
+    with (
+        stage_counts(spark, counts_path) as counts,
+        stage_records(spark, gazetteer_path, GAZETTEER) as gazetteer,
+        ReportSet(spark, f"{place}_manifest") as reports,
+    ):
+        volumes = area_volume(segment_names(counts.records), gazetteer.records)
+        reports.write(renamed(volumes, VOLUME_NAMES), place)
+        reports.write(counts.rejects(), f"{place}_count_rejects", fmt="text")
+        reports.write(counts.rejects(TOO_LARGE), f"{place}_sum_rejects", fmt="text")
+        reports.write(gazetteer.rejects(), f"{place}_gazetteer_rejects", fmt="text")
 
 
 def run(
     spark: SparkSession, incidents_path: str, requests_path: str, volume_path: str, output: str | None = None
 ) -> DataFrame:
-    """The rated scorecard; with ``output``, every statistic and report is also written there."""
-    incidents = prepare_incidents(read_delimited(spark, incidents_path, INCIDENTS))
-    requests = prepare_requests(read_positions(spark, requests_path, REQUEST_POSITIONS))
-    exposure = annual_exposure(read_delimited(spark, volume_path, AREA_VOLUME))
-    by_incident, by_request = incident_profile(incidents), request_profile(requests)
-    if output is None:
-        card = scorecard(exposure, incident_stats(by_incident), request_stats(by_request))
-        return rated_scorecard(materialise(card))
-
-    # Statistics and totals share the counted profiles; a second scan of each input writes its rejects.
-    by_incident, by_request = materialise(by_incident), materialise(by_request)
+    """The rated scorecard; with ``output``, every statistic and report is also written there.
+
+    Each input is read and parsed once, for the statistics and the rejects. The reports appear
+    together: their manifest, beside ``output``, is written last.
+    """
+    with (
+        stage_records(spark, incidents_path, INCIDENTS) as incidents,
+        stage_positions(spark, requests_path, REQUEST_POSITIONS) as requests,
+        stage_records(spark, volume_path, AREA_VOLUME) as volumes,
+    ):
+        exposure = annual_exposure(volumes.records)
+        by_incident = incident_profile(prepare_incidents(incidents.records))
+        by_request = request_profile(prepare_requests(requests.records))
+        if output is None:
+            return rated_scorecard(materialise(scorecard(exposure, incident_stats(by_incident), request_stats(by_request))))
+        with ReportSet(spark, f"{output.rstrip('/')}_manifest") as written:
+            rated = _write_statistics(materialise(by_incident), materialise(by_request), exposure, output.rstrip("/"), written)
+            for name, staged in {"incident": incidents, "request": requests, "volume": volumes}.items():
+                written.write(staged.rejects(), f"{output.rstrip('/')}/{name}_rejects", fmt="text")
+        return rated
+
+
+def _write_statistics(by_incident: DataFrame, by_request: DataFrame, exposure: DataFrame, output: str, written: ReportSet) -> DataFrame:
+    """All statistics and reports of the two profiles; returns the rated scorecard."""
     statistics = {
         "incident_stats": incident_stats(by_incident),
         "request_stats": request_stats(by_request),
         "exposure": exposure,
     }
     statistics = {name: materialise(df) for name, df in statistics.items()}
-    statistics["incident_totals"] = materialise(incident_totals(by_incident))
-    statistics["request_totals"] = materialise(request_totals(by_request))
-    card = materialise(
-        scorecard(statistics["exposure"], statistics["incident_stats"], statistics["request_stats"])
-    )
+    card = materialise(scorecard(statistics["exposure"], statistics["incident_stats"], statistics["request_stats"]))
     rated = rated_scorecard(card)
     for name, df in statistics.items():
-        report = renamed(df, STATISTIC_NAMES[name])
-        by_count = [F.desc(TOTAL_NAMES["n"]), TOTAL_NAMES["kind"], TOTAL_NAMES["category"]] if name in TOTALS else []
-        _write(report, output, name, single=name in TOTALS, order_by=by_count)
+        written.write(renamed(df, STATISTIC_NAMES[name]), f"{output}/{name}")
+    # Categories are free text, so a list of all of them has any length.
+    by_count = [F.desc(TOTAL_NAMES["n"]), TOTAL_NAMES["kind"], TOTAL_NAMES["category"]]
+    for name, totals in {"incident_totals": incident_totals(by_incident), "request_totals": request_totals(by_request)}.items():
+        write_ordered(renamed(totals, TOTAL_NAMES), written.path(f"{output}/{name}"), by_count)
     for name, df in reports(card).items():
-        _write(df, output, name, fmt="json", single=True)
-    _write(renamed(rated, RATED_NAMES), output, "rated_scorecard")
-    for name, rejects in {
-        "incident_rejects": read_rejects(spark, incidents_path, INCIDENTS),
-        "request_rejects": read_position_rejects(spark, requests_path),
-        "volume_rejects": read_rejects(spark, volume_path, AREA_VOLUME),
-    }.items():
-        write_report(rejects, f"{output.rstrip('/')}/{name}", "text")
+        written.write(df, f"{output}/{name}", fmt="json", single=True)
+    written.write(renamed(rated, RATED_NAMES), f"{output}/rated_scorecard")
     return rated
 
 
-def _write(df: DataFrame, output: str, name: str, **options) -> None:
-    write_report(df, f"{output.rstrip('/')}/{name}", **options)
-
-
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="areagrade", description="Rate areas by road risk.")
     commands = parser.add_subparsers(dest="command", required=True)

@@ -72,18 +72,27 @@ def parse_lines(lines: DataFrame, line: str, schema: StructType) -> tuple[DataFr
     """
     names = schema.fieldNames()
     others = [name for name in lines.columns if name != line]
+    parsed, fault = judged_lines(lines, line, schema)
+    records = parsed.filter(~F.col(fault)).select(*others, *names)
+    rejects = parsed.filter(F.col(fault)).select(*others, F.col(line))
+    return records, rejects
+
+
+def judged_lines(lines: DataFrame, line: str, schema: StructType) -> tuple[DataFrame, str]:
+    """Every line that is not NULL with its cells as the schema's columns, and the name of a flag:
+    whether the line does not fit. All other columns are carried along."""
+    names = schema.fieldNames()
+    others = [name for name in lines.columns if name != line]
     ddl = ", ".join(f"`{name}` string" for name in [*names, RAW])
     # inline() runs the parser once; a filter over plain fields would run it again.
     cells = F.from_csv(F.col(line), ddl, CHECKED_OPTIONS)
     split = lines.filter(F.col(line).isNotNull()).select(
-        *others, F.col(line).alias("_line"), F.inline(F.array(cells)).alias(*names, RAW)
+        *others, F.col(line).alias("_raw_line"), F.inline(F.array(cells)).alias(*names, RAW)
     )
     values, faults = zip(*(_judged(field) for field in schema))
     judged = F.struct(*values, reduce(or_, faults, F.col(RAW).isNotNull()).alias(RAW))
-    parsed = split.select(*others, "_line", F.inline(F.array(judged)).alias(*names, RAW))
-    records = parsed.filter(~F.col(RAW)).select(*others, *names)
-    rejects = parsed.filter(F.col(RAW)).select(*others, F.col("_line").alias(line))
-    return records, rejects
+    parsed = split.select(*others, F.col("_raw_line").alias(line), F.inline(F.array(judged)).alias(*names, RAW))
+    return parsed, RAW
 
 
 def _judged(field: StructField) -> tuple[Column, Column]:
