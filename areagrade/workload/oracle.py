@@ -482,3 +482,21 @@ ORACLE: dict[str, str] = {
     **{f"top_k_{metric}": _extreme(metric, "desc") for metric in RATE_COLUMNS},
     **{f"bottom_k_{metric}": _extreme(metric, "asc") for metric in RATE_COLUMNS},
 }
+
+_LINE_END = "c_nationkey || ',' || cast(cast(c_acctbal as decimal(18, 2)) as varchar)"
+# Those that are made of others.
+ORACLE |= {
+    "staged_records": f"select * from ({DELIMITED}) where nationkey % 5 > 0",
+    "staged_rejects": f"""select line as record, 'parse' as reason from ({ORACLE["delimited_rejects"]})
+      union all select 'custkey,name,nationkey,balance', 'parse' from nation
+      union all select c_custkey || ',"' || c_name || ', ""' || c_mktsegment || '""' || '",' || {_LINE_END}, 'nation'
+      from customer where not c_acctbal < 0 and c_nationkey % 5 = 0""",
+    "file_widths": """select cast(c_custkey as varchar) as key, c_name as name, cast(c_nationkey as varchar) as nation from customer
+      union all select cast(s_suppkey as varchar), s_name, cast(s_nationkey as varchar) from supplier""",
+    "multiline_records": """select c_custkey as custkey, c_name || ',' || chr(10) || '"' || c_mktsegment || '"' || chr(10) || 'end' as name,
+        c_nationkey as nationkey, c_acctbal as balance from customer""",
+    "ordered_totals": f"""select *, row_number() over (order by n desc, kind, category) as place
+      from ({ORACLE["category_totals"]})""",
+    "published_reports": f"""select *, 'types' as report from ({ORACLE["type_frequency"]})
+      union all select *, 'factors' from ({ORACLE["factor_frequency"]})""",
+}

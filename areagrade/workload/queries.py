@@ -76,7 +76,8 @@ from areagrade.sources.delimited import (
     realign_by_number,
     sampled,
 )
-from areagrade.sources.sinks import write_report
+from areagrade.sources.sinks import ReportSet, read_manifest, read_ordered, write_ordered, write_report
+from areagrade.sources.staged import Staged, stage_positions, stage_records
 from areagrade.sources.tables import read_table
 from areagrade.workload import bindings as b
 
@@ -413,9 +414,8 @@ def case_kind(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy(kind.alias("kind"), "category").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _delimited(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Customers written as delimited lines, one header line per nation among them, and
-    parsed back. Names hold a comma and quotes; names of customers in debt are left
+def _customer_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers written as delimited lines, one header line per nation among them. Names hold a comma and quotes; names of customers in debt are left
     unquoted and so break their line."""
     customer = read_table(spark, sf, "customer")
     name = F.concat(F.col("c_name"), F.lit(', "'), F.col("c_mktsegment"), F.lit('"'))
@@ -425,8 +425,11 @@ def _delimited(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     line = F.concat_ws(",", F.col("c_custkey").cast("string"), cell, F.col("c_nationkey").cast("string"), balance)
     header = F.lit(",".join(DELIMITED.fieldNames()))
     headers = read_table(spark, sf, "nation").select(header.alias("line"))
-    lines = customer.select(line.alias("line")).unionByName(headers)
-    return parse_lines(drop_header_lines(lines, "line", "custkey"), "line", DELIMITED)
+    return customer.select(line.alias("line")).unionByName(headers)
+
+
+def _delimited(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return parse_lines(drop_header_lines(_customer_lines(spark, sf), "line", "custkey"), "line", DELIMITED)
 
 
 DELIMITED = StructType(
@@ -447,6 +450,65 @@ def delimited_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return _delimited(spark, sf)[1]
 
 
+def _staged_customers(spark: SparkSession, sf: str) -> Staged:
+    """The same lines as files, read once; customers of every fifth nation are refused by a check."""
+    path = scratch_path(spark, "customers-lines")
+    write_report(_customer_lines(spark, sf), path, fmt="text")
+    return stage_records(spark, path, DELIMITED, header=False, checks={"nation": F.col("nationkey") % 5 > 0})
+
+
+def staged_records(spark: SparkSession, sf: str) -> DataFrame:
+    with _staged_customers(spark, sf) as staged:
+        return materialise(staged.records)
+
+
+def staged_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    with _staged_customers(spark, sf) as staged:
+        both = [staged.rejects(reason).withColumn("reason", F.lit(reason)) for reason in ("parse", "nation")]
+        return materialise(both[0].unionByName(both[1]))
+
+
+def file_widths(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers in files of three columns, suppliers in files of four, read together by position."""
+    customer = read_table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    supplier = read_table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    paths = [scratch_path(spark, "customers-csv"), scratch_path(spark, "suppliers-csv")]
+    for df, path in zip((customer, supplier), paths):
+        write_report(df, path)
+    with stage_positions(spark, paths, {"key": 0, "name": 1, "nation": 2}) as staged:
+        return materialise(staged.records)
+
+
+def multiline_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers whose names hold line breaks, commas and quotes, written as CSV and read back."""
+    customer = read_table(spark, sf, "customer")
+    name = F.concat("c_name", F.lit(',\n"'), "c_mktsegment", F.lit('"\nend'))
+    path = scratch_path(spark, "customers-csv")
+    write_report(customer.select(F.col("c_custkey").alias("custkey"), name.alias("name"), "c_nationkey", "c_acctbal"), path)
+    with stage_records(spark, path, DELIMITED, multiline=True) as staged:
+        return materialise(staged.records)
+
+
+def ordered_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """All category totals written in order, over as many files as that takes, and numbered as they are read."""
+    totals = all_category_totals(spark, sf)
+    path = scratch_path(spark, "totals-csv")
+    write_ordered(totals, path, [F.desc("n"), "kind", "category"])
+    return read_ordered(spark, path, totals.schema)
+
+
+def published_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Two reports published as a set, found by its manifest and read back."""
+    folder = scratch_path(spark, "reports")
+    frequencies = {"types": type_frequency(spark, sf), "factors": factor_frequency(spark, sf)}
+    with ReportSet(spark, f"{folder}/manifest") as reports:
+        for name, df in frequencies.items():
+            reports.write(df, f"{folder}/{name}", fmt="parquet")
+    names = [path.rpartition("/")[2] for path in read_manifest(spark, f"{folder}/manifest")]
+    read = [spark.read.parquet(f"{folder}/{name}").withColumn("report", F.lit(name)) for name in names]
+    return read[0].unionByName(read[1])
+
+
 def sampled_scan(spark: SparkSession, sf: str) -> DataFrame:
     return sampled(read_table(spark, sf, "lineitem"), 0.05, ["l_orderkey", "l_linenumber"], seed=7)
 
@@ -576,6 +638,12 @@ QUERIES: dict[str, Query] = {
     "case_kind": case_kind,
     "delimited_lines": delimited_lines,
     "delimited_rejects": delimited_rejects,
+    "staged_records": staged_records,
+    "staged_rejects": staged_rejects,
+    "file_widths": file_widths,
+    "multiline_records": multiline_records,
+    "ordered_totals": ordered_totals,
+    "published_reports": published_reports,
     "sampled_scan": sampled_scan,
     "csv_sink_roundtrip": csv_sink_roundtrip,
     "json_sink_roundtrip": json_sink_roundtrip,
