@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from areagrade.functions.numeric import rate
 from areagrade.schemas import RATE_COLUMNS, RATINGS
 
+MOMENT_DIGITS = 6
+
 
 def join_areas(*stats: DataFrame, key: str = "area") -> DataFrame:
     """Areas present in every frame. Each has one row per area, already spread by
@@ -31,9 +33,36 @@ def with_rates(df: DataFrame, scale: int = 1000) -> DataFrame:
     )
 
 
+def exact_moments(metric: str) -> tuple[Column, Column]:
+    """Mean and sample deviation that do not depend on the order or partitions of the rows.
+
+    Values count to MOMENT_DIGITS places. Sums of them and of their squares are whole numbers in
+    units of the last place, which add up exactly; only the last steps are in floating point.
+    NULL without values, a NULL deviation of a single one. Sums that do not fit in 38 digits
+    give way to Spark's own moments.
+    """
+    unit = F.lit(10**MOMENT_DIGITS).cast("decimal(20,0)")
+    value = F.col(metric)
+    whole = F.try_multiply(value.try_cast(f"decimal(32,{MOMENT_DIGITS})"), unit).try_cast("decimal(38,0)")
+    n = F.count(whole).cast("decimal(38,0)")
+    total, squares = F.try_sum(whole), F.try_sum(F.try_multiply(whole, whole).try_cast("decimal(38,0)"))
+    spread = F.try_subtract(F.try_multiply(n, squares), F.try_multiply(total, total)).cast("double")
+    all_fit = (F.count(whole) == F.count(value)) & spread.isNotNull()
+    count = n.cast("double")
+    mean = F.when(all_fit, total.cast("double") / count / 10.0**MOMENT_DIGITS).otherwise(F.avg(value))
+    variance = F.try_divide(spread, count * (count - 1))
+    return mean, F.when(all_fit, F.sqrt(variance) / 10.0**MOMENT_DIGITS).otherwise(F.stddev_samp(value))
+
+
 def metric_summary(df: DataFrame, metrics: Sequence[str] = RATE_COLUMNS, digits: int | None = None) -> DataFrame:
     """(statistic, <metrics>): count, mean, sample stddev, min and max, in one aggregation."""
-    statistics = {"count": F.count, "mean": F.avg, "stddev": F.stddev_samp, "min": F.min, "max": F.max}
+    statistics = {
+        "count": F.count,
+        "mean": lambda metric: exact_moments(metric)[0],
+        "stddev": lambda metric: exact_moments(metric)[1],
+        "min": F.min,
+        "max": F.max,
+    }
 
     def value(name: str, metric: str) -> Column:
         number = statistics[name](metric).cast("double")
@@ -52,7 +81,7 @@ def sigma_bounds(
     """(metric, k, mean, stddev, lower, upper): mean +- k sample deviations, all rounded."""
     rows = []
     for metric in metrics:
-        mean, deviation = F.round(F.avg(metric), digits), F.round(F.stddev_samp(metric), digits)
+        mean, deviation = (F.round(moment, digits) for moment in exact_moments(metric))
         for k in bands:
             rows.append(
                 F.struct(
@@ -94,7 +123,7 @@ def with_rating(df: DataFrame, k: int = 1, digits: int = 4, names: Sequence[str]
 
 
 def _bounds(metric: str, k: int, digits: int) -> Column:
-    mean, deviation = F.round(F.avg(metric), digits), F.round(F.stddev_samp(metric), digits)
+    mean, deviation = (F.round(moment, digits) for moment in exact_moments(metric))
     return F.struct(
         F.round(mean - k * deviation, digits).alias("lower"), F.round(mean + k * deviation, digits).alias("upper")
     )

@@ -486,6 +486,7 @@ ORACLE: dict[str, str] = {
 _LINE_END = "c_nationkey || ',' || cast(cast(c_acctbal as decimal(18, 2)) as varchar)"
 # Those that are made of others.
 ORACLE |= {
+    "stored_profiles": ORACLE["incident_stats"],
     "staged_records": f"select * from ({DELIMITED}) where nationkey % 5 > 0",
     "staged_rejects": f"""select line as record, 'parse' as reason from ({ORACLE["delimited_rejects"]})
       union all select 'custkey,name,nationkey,balance', 'parse' from nation

@@ -42,9 +42,11 @@ from areagrade.operators.measures import (
     share_columns,
     share_labels,
 )
+from areagrade.operators.profiles import ProfileTable
 from areagrade.operators.ranking import bottom_k, spread_slots, tiered_slots, tiered_top, top_k
 from areagrade.operators.scorecard import join_areas, metric_summary, renamed, sigma_bounds, with_rates, with_rating
 from areagrade.plans import exposure as exposure_plan
+from areagrade.plans.incidents import SUMS as INCIDENT_SUMS
 from areagrade.plans.incidents import (
     CASUALTY_PARTS,
     incident_profile,
@@ -182,6 +184,16 @@ def incident_totals_list(spark: SparkSession, sf: str) -> DataFrame:
     return incident_totals(_incident_profile(spark, sf))
 
 
+def stored_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Incident statistics from profiles that were stored batch by batch, one batch twice."""
+    kept = ProfileTable(spark, scratch_path(spark, "profiles"), ["n", *INCIDENT_SUMS])
+    records = b.incidents(spark, sf)
+    kept.add("N", incident_profile(records.where("factor_2 = 'A'"), b.FACTORS, b.VEHICLES))
+    for flag in ("A", "N", "R"):
+        kept.add(flag, incident_profile(records.where(F.col("factor_2") == flag), b.FACTORS, b.VEHICLES))
+    return incident_stats(kept.read())
+
+
 def request_stats_by_area(spark: SparkSession, sf: str) -> DataFrame:
     return request_stats(request_profile(b.requests(spark, sf), weight="weight"))
 
@@ -601,6 +613,7 @@ QUERIES: dict[str, Query] = {
     "named_scorecard": named_scorecard,
     "incident_stats": incident_stats_by_area,
     "incident_totals": incident_totals_list,
+    "stored_profiles": stored_profiles,
     "request_stats": request_stats_by_area,
     "request_totals": request_totals_list,
     "incident_measures": incident_measures,

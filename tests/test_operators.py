@@ -24,7 +24,8 @@ from areagrade.operators.measures import (
     share_labels,
 )
 from areagrade.operators.ranking import bottom_k, rank_limit, spread_slots, tiered_slots, tiered_top, top_k
-from areagrade.operators.scorecard import join_areas, metric_summary, renamed, sigma_bounds, with_rates, with_rating
+from areagrade.operators.profiles import ProfileTable
+from areagrade.operators.scorecard import exact_moments, join_areas, metric_summary, renamed, sigma_bounds, with_rates, with_rating
 from areagrade.schemas import TIER_ONE, TIERS_FIVE, TIERS_THREE
 from tests.conftest import tuples
 
@@ -374,3 +375,54 @@ def test_top_and_bottom_break_ties_by_area(frame):
 def test_renamed_projects_in_order(frame):
     df = renamed(frame("a int, b int, c int", (1, 2, 3)), {"c": "Last One", "a": "First"})
     assert df.columns == ["Last One", "First"] and tuples(df) == [(3, 1)]
+
+
+@pytest.mark.parametrize("low, high", [(0, 1), (1e6, 1e6 + 3), (-5e-3, 5e-3)])
+def test_moments_are_exact_whatever_the_partitions(spark, low, high):
+    import random
+    from decimal import Decimal, localcontext
+
+    r = random.Random(low)
+    values = [round(r.uniform(low, high), 6) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "incident_rate double")
+    found = set()
+    for partitions in (1, 2, 7):
+        mean, deviation = exact_moments("incident_rate")
+        found.add(tuple(df.repartition(partitions).agg(mean, deviation).first()))
+    with localcontext() as context:
+        context.prec = 60
+        exact = [Decimal(repr(v)) for v in values]
+        mean = sum(exact) / len(exact)
+        deviation = (sum((v - mean) ** 2 for v in exact) / (len(exact) - 1)).sqrt()
+    ((one, two),) = found
+    assert one == pytest.approx(float(mean), rel=1e-15) and two == pytest.approx(float(deviation), rel=1e-14)
+
+
+def test_moments_of_few_and_of_large_values(spark, frame):
+    mean, deviation = exact_moments("x")
+    assert tuple(frame("x double").agg(mean, deviation).first()) == (None, None)
+    assert tuple(frame("x double", (2.5,), (None,)).agg(mean, deviation).first()) == (2.5, None)
+    large = frame("x double", (1e30,), (3e30,)).agg(mean, deviation).first()
+    assert large[0] == pytest.approx(2e30) and large[1] == pytest.approx(2**0.5 * 1e30)
+
+
+def test_stored_profiles_merge_to_the_profile_of_all(spark, frame, tmp_path):
+    kinds = {"factor": ["a", "b"]}
+    rows = [(f"z{i % 3}" if i % 7 else None, "f" + str(i % 4) if i % 5 else None, "g" if i % 2 else " ", i) for i in range(60)]
+    df = frame("area string, a string, b string, hurt int", *rows)
+    profile = lambda part: category_profile(part, ["area"], kinds, {"hurt": F.col("hurt")})
+    table = ProfileTable(spark, str(tmp_path / "profiles"), ["n", "hurt"])
+    with pytest.raises(KeyError):
+        table.read()
+    table.add("2012", profile(df.where("hurt < 20")))
+    table.add("2013", profile(df))  # replaced below
+    table.add("2013", profile(df.where("hurt >= 20 and hurt < 50")))
+    table.add("2014-01", profile(df.where("hurt >= 50")))
+    assert table.periods() == ["2012", "2013", "2014-01"]
+    assert tuples(table.read()) == tuples(profile(df))
+    assert tuples(table.read("2012", "2014-01")) == tuples(profile(df.where("hurt < 20 or hurt >= 50")))
+    with pytest.raises(KeyError):
+        table.read("2015")
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        table.add("2012", profile(df.withColumn("hurt", F.col("hurt") / F.lit(0))))
+    assert tuples(table.read()) == tuples(profile(df)) and len(list((tmp_path / "profiles").iterdir())) == 3
