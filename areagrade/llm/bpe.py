@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
+from areagrade.llm.columns import Apart
 from areagrade.llm.workers import importable
 
 # The split pattern of the byte-level vocabularies (fixed value).
@@ -168,7 +169,8 @@ def encode_texts(
     digest of the text. All parts of one text meet in one task, as they do in the row itself.
     """
     importable(docs.sparkSession)
-    docs = docs.drop("ids")
+    apart = Apart(docs, ("ids",))
+    docs, text = apart.rows, apart.of(text)
     is_long = F.coalesce(F.char_length(text), F.lit(0)) > piece_chars
     short = _encode_rows(docs.where(~is_long), text, vocabulary)
     digest = F.sha2(F.col(text), 256).alias("_text_id")
@@ -206,7 +208,7 @@ def encode_texts(
     dealt = pieces.repartition("_text_id", "no").mapInPandas(encode, "_text_id string, no long, unit long, ids binary")
     whole = dealt.groupBy("_text_id").applyInPandas(join, "_text_id string, ids binary")
     long_rows = docs.where(is_long).withColumn("_text_id", digest).join(whole, "_text_id").drop("_text_id")
-    return short.unionByName(long_rows)
+    return short.unionByName(long_rows).select(*apart.back(), "ids")
 
 
 def decode_ids(rows: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from areagrade.llm.columns import Apart
 from areagrade.llm.near import text_key
 from areagrade.llm.wordhash import NO_WORD, word_slices
 from areagrade.llm.workers import importable
@@ -166,12 +167,14 @@ def _aligned_spans(item: np.ndarray, own: np.ndarray, spans) -> list[tuple[int,
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose text holds a leak; all columns stay."""
+    """``docs`` without the rows whose text holds a leak; all columns stay, whatever their names."""
+    apart = Apart(docs, ())
+    docs, text = apart.rows, apart.of(text)
     t1, t2 = text_key(F.col(text))
     keyed = docs.withColumns({"_t1": t1, "_t2": t2})
-    by_text = docs.select(F.struct(t1, t2).alias("key"), F.col(text).alias(text))
-    leaked = find_leaks(by_text, items, text, "key", **options).select("doc_id._t1", "doc_id._t2").distinct()
-    return keyed.join(leaked, ["_t1", "_t2"], "left_anti").select(*docs.columns)
+    by_text = docs.select(F.struct(t1, t2).alias("key"), F.col(text).alias("text"))
+    leaked = find_leaks(by_text, items, "text", "key", **options).select("doc_id._t1", "doc_id._t2").distinct()
+    return keyed.join(leaked, ["_t1", "_t2"], "left_anti").select(*apart.back())
 
 
 def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:

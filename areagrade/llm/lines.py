@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from areagrade.llm.columns import Apart
+
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
@@ -128,7 +130,7 @@ def dedup_lines(
     """Drop every line whose key is found in at least ``min_docs`` rows of ``docs``.
 
     Adds ``kept_text``, ``n_lines`` (before dropping) and ``n_dropped``; the other columns stay,
-    but three of these names in ``docs`` are replaced. Keys shorter than ``min_chars`` code
+    but three of these names in ``docs`` are replaced (in upper or lower case). Keys shorter than ``min_chars`` code
     points stay. The rows go through the runs in ``batches``; which rows are dropped does not
     depend on the number of batches or on the order.
 
@@ -140,6 +142,8 @@ def dedup_lines(
     a digest of the text; a text with many copies is split into lines once per batch and its
     copies are counted. Texts without a common line take no part in that join's right side.
     """
+    apart = Apart(docs, ("kept_text", "n_lines", "n_dropped"))
+    docs, text = apart.rows, apart.of(text)
     keyed = docs.select(text_id(F.col(text)).alias("_text_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
     def of_text(rows: DataFrame) -> Column:
@@ -165,13 +169,12 @@ def dedup_lines(
     lines = split_lines(F.col(text))
     kept = F.filter("_lines", lambda line: ~F.coalesce(F.array_contains("_common", key_hash(line_key(line))), F.lit(False)))
     n, m = F.size("_lines").cast("long"), F.size("_kept").cast("long")
-    plain = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
     return (
         docs.withColumn("_text_id", text_id(F.col(text)))
         .join(hits, "_text_id", "left")
         .withColumn("_lines", lines)
         .withColumn("_kept", F.when(F.col("_common").isNull(), F.col("_lines")).otherwise(kept))
-        .select(*plain, F.concat_ws("\n", "_kept").alias("kept_text"), n.alias("n_lines"), (n - m).alias("n_dropped"))
+        .select(*apart.back(), F.concat_ws("\n", "_kept").alias("kept_text"), n.alias("n_lines"), (n - m).alias("n_dropped"))
     )
 
 

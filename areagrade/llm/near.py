@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from areagrade.llm.columns import Apart
 from areagrade.llm.graph import components
 from areagrade.llm.wordhash import mixed, word_slices
 from areagrade.llm.workers import importable
@@ -254,8 +255,10 @@ def near_classes(
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one row of each class: the one of the least id, then of the least text digest.
 
-    Rows without words stay, for they are linked to nothing. All columns stay.
+    Rows without words stay, for they are linked to nothing. All columns stay, whatever their names.
     """
+    apart = Apart(docs, ())
+    docs, text, doc_id = apart.rows, apart.of(text), apart.of(doc_id)
     classes = near_classes(docs, text, doc_id, **options)
     order = F.struct(F.col("_id").isNull().alias("last"), "_id", "_t1", "_t2")
     chosen = classes.where("root is not null").groupBy("root").agg(F.min(order).alias("c")).select("c._id", "c._t1", "c._t2")
@@ -269,7 +272,7 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     if not repeated.isEmpty():  # rows with the same id and text: one of them
         singles = out.where("_one").dropDuplicates(["_k", "_k1", "_k2"])
         out = singles.unionByName(out.where(~F.col("_one")))
-    return out.select(*docs.columns)
+    return out.select(*apart.back())
 
 
 def op3_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:

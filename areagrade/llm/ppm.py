@@ -30,6 +30,7 @@ END = b"\x0b"  # the end of a text as a token; no word holds white space
 FLUSH_BYTES = 4 << 20
 HELD_TOKENS = 1 << 21  # tokens of slices that are merged before they are shuffled
 FOLDS, HELD_OUT = 5, 1
+ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -354,10 +355,13 @@ def score_texts(docs: DataFrame, text: str, training: Column, kept: list[str], o
     scores go to the tasks as a table of bounded size, and all other tokens are joined by their
     hash, so neither a common token nor a large vocabulary meets one task. A null text is the
     empty one: an end, and nothing else. Repeated rows and ids count each; without training rows
-    every byte is equally likely; an empty table gives no rows.
+    every byte is equally likely; an empty table gives no rows. Kept columns with one of the added
+    names are replaced, all others may have any name.
     """
     spark = docs.sparkSession
     importable(spark)
+    wanted = {f"kept{i}": c for i, c in enumerate(kept) if c.lower() not in ADDED}
+    own_columns = [F.col(c).alias(k) for k, c in wanted.items()]
     tokens = token_counts(docs, text, training).checkpoint()
     sums = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("kinds")).first()
     all_tokens, divisor = sums["n"], float(np.log10(sums["n"] + 0.5 * (sums["kinds"] + 1)))
@@ -398,11 +402,11 @@ def score_texts(docs: DataFrame, text: str, training: Column, kept: list[str], o
                     "times": pa.ListArray.from_arrays(pa.array(cut), pa.array(times.astype(np.int32))),
                 }
                 own = batch.slice(words.first, m)
-                arrays = [own.column(i + 1) for i in range(len(kept))] + list(columns.values())
-                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *columns])
+                arrays = [own.column(i + 1) for i in range(len(wanted))] + list(columns.values())
+                yield pa.RecordBatch.from_arrays(arrays, names=[*wanted, *columns])
             row += batch.num_rows
 
-    plain = docs.select(F.col(text).alias("_text"), *kept)
+    plain = docs.select(F.col(text).alias("_text"), *own_columns)
     schema = plain.drop("_text").withColumns({"row": F.lit(0).cast("long"), "tokens": F.lit(0).cast("long"), "seen": F.lit(0).cast("long"), "base": F.lit(0.0), "log": F.lit(0.0)})
     schema = schema.withColumns({"rest": F.array(F.lit(0).cast("long")), "times": F.array(F.lit(0).cast("int"))}).schema
     rows = plain.mapInArrow(count, schema).checkpoint()
@@ -421,7 +425,7 @@ def score_texts(docs: DataFrame, text: str, training: Column, kept: list[str], o
     )
     zero = F.lit(0.0)
     return rows.join(sums, "row", "left").select(
-        *kept,
+        *(F.col(k).alias(c) for k, c in wanted.items()),
         F.col("tokens").alias("n_tokens"),
         (F.col("seen") + F.coalesce("seen1", F.lit(0)) + int(end_n > 0)).cast("long").alias("n_known"),
         F.lit(all_tokens).cast("long").alias("train_tokens"),
