@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -41,38 +41,57 @@ def exact_moments(metric: str) -> tuple[Column, Column]:
     NULL without values, a NULL deviation of a single one. Sums that do not fit in 38 digits
     give way to Spark's own moments.
     """
+    return _moments(_sums(metric).__getitem__)
+
+
+def _sums(metric: str) -> dict[str, Column]:
+    """What a metric's moments are worked out from; each adds up over partitions."""
     unit = F.lit(10**MOMENT_DIGITS).cast("decimal(20,0)")
     value = F.col(metric)
     whole = F.try_multiply(value.try_cast(f"decimal(32,{MOMENT_DIGITS})"), unit).try_cast("decimal(38,0)")
-    n = F.count(whole).cast("decimal(38,0)")
-    total, squares = F.try_sum(whole), F.try_sum(F.try_multiply(whole, whole).try_cast("decimal(38,0)"))
-    spread = F.try_subtract(F.try_multiply(n, squares), F.try_multiply(total, total)).cast("double")
-    all_fit = (F.count(whole) == F.count(value)) & spread.isNotNull()
+    squares = F.try_multiply(whole, whole).try_cast("decimal(38,0)")
+    sums = {"n": F.count(whole), "known": F.count(value), "total": F.try_sum(whole), "squares": F.try_sum(squares)}
+    return sums | {"mean": F.avg(value), "deviation": F.stddev_samp(value)}
+
+
+def _moments(of: Callable[[str], Column]) -> tuple[Column, Column]:
+    n, total = of("n").cast("decimal(38,0)"), of("total")
+    spread = F.try_subtract(F.try_multiply(n, of("squares")), F.try_multiply(total, total)).cast("double")
+    all_fit = (of("n") == of("known")) & spread.isNotNull()
     count = n.cast("double")
-    mean = F.when(all_fit, total.cast("double") / count / 10.0**MOMENT_DIGITS).otherwise(F.avg(value))
+    mean = F.when(all_fit, total.cast("double") / count / 10.0**MOMENT_DIGITS).otherwise(of("mean"))
     variance = F.try_divide(spread, count * (count - 1))
-    return mean, F.when(all_fit, F.sqrt(variance) / 10.0**MOMENT_DIGITS).otherwise(F.stddev_samp(value))
+    return mean, F.when(all_fit, F.sqrt(variance) / 10.0**MOMENT_DIGITS).otherwise(of("deviation"))
+
+
+def _moment_row(df: DataFrame, metrics: Sequence[str], *others: Column) -> DataFrame:
+    """One row with ``<metric>_mean`` and ``<metric>_stddev`` and the other aggregates.
+
+    The sums come first and the arithmetic on them after, which keeps the generated code small.
+    """
+    sums = [F.struct(*(value.alias(name) for name, value in _sums(metric).items())).alias(f"_{metric}") for metric in metrics]
+    row = df.agg(*sums, *others)
+    moments = []
+    for metric in metrics:
+        mean, deviation = _moments(lambda name, metric=metric: F.col(f"_{metric}.{name}"))
+        moments += [mean.alias(f"{metric}_mean"), deviation.alias(f"{metric}_stddev")]
+    return row.select(*moments, *(name for name in row.columns if name not in {f"_{metric}" for metric in metrics}))
 
 
 def metric_summary(df: DataFrame, metrics: Sequence[str] = RATE_COLUMNS, digits: int | None = None) -> DataFrame:
     """(statistic, <metrics>): count, mean, sample stddev, min and max, in one aggregation."""
-    statistics = {
-        "count": F.count,
-        "mean": lambda metric: exact_moments(metric)[0],
-        "stddev": lambda metric: exact_moments(metric)[1],
-        "min": F.min,
-        "max": F.max,
-    }
+    plain = {"count": F.count, "min": F.min, "max": F.max}
+    others = [function(metric).alias(f"{metric}_{name}") for name, function in plain.items() for metric in metrics]
 
     def value(name: str, metric: str) -> Column:
-        number = statistics[name](metric).cast("double")
+        number = F.col(f"{metric}_{name}").cast("double")
         return number if digits is None else F.round(number, digits)
 
     rows = [
         F.struct(F.lit(name).alias("statistic"), *(value(name, metric).alias(metric) for metric in metrics))
-        for name in statistics
+        for name in ("count", "mean", "stddev", "min", "max")
     ]
-    return df.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows"))
+    return _moment_row(df, metrics, *others).select(F.inline(F.array(*rows)))
 
 
 def sigma_bounds(
@@ -81,7 +100,7 @@ def sigma_bounds(
     """(metric, k, mean, stddev, lower, upper): mean +- k sample deviations, all rounded."""
     rows = []
     for metric in metrics:
-        mean, deviation = (F.round(moment, digits) for moment in exact_moments(metric))
+        mean, deviation = (F.round(f"{metric}_{name}", digits) for name in ("mean", "stddev"))
         for k in bands:
             rows.append(
                 F.struct(
@@ -93,7 +112,7 @@ def sigma_bounds(
                     F.round(mean + k * deviation, digits).alias("upper"),
                 )
             )
-    return df.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows"))
+    return _moment_row(df, metrics).select(F.inline(F.array(*rows)))
 
 
 def with_rating(df: DataFrame, k: int = 1, digits: int = 4, names: Sequence[str] = RATINGS) -> DataFrame:
@@ -107,7 +126,7 @@ def with_rating(df: DataFrame, k: int = 1, digits: int = 4, names: Sequence[str]
     materialised frame.
     """
     watched = ("incident_rate", "injury_rate", "death_rate")
-    bounds = df.agg(F.struct(*(_bounds(metric, k, digits).alias(metric) for metric in watched)).alias("bounds"))
+    bounds = _moment_row(df, watched).select(F.struct(*(_bounds(metric, k, digits).alias(metric) for metric in watched)).alias("bounds"))
     rated = df.withColumn("_bounds", bounds.scalar())
     above = {metric: F.col(metric) > F.col(f"_bounds.{metric}.upper") for metric in watched}
     below = {metric: F.col(metric) < F.col(f"_bounds.{metric}.lower") for metric in watched}
@@ -123,7 +142,7 @@ def with_rating(df: DataFrame, k: int = 1, digits: int = 4, names: Sequence[str]
 
 
 def _bounds(metric: str, k: int, digits: int) -> Column:
-    mean, deviation = (F.round(moment, digits) for moment in exact_moments(metric))
+    mean, deviation = (F.round(f"{metric}_{name}", digits) for name in ("mean", "stddev"))
     return F.struct(
         F.round(mean - k * deviation, digits).alias("lower"), F.round(mean + k * deviation, digits).alias("upper")
     )
