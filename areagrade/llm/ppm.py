@@ -1,12 +1,15 @@
-"""LM scoring: prediction by partial matching over the bytes of tokens.
-
-A text is its tokens (lower-cased words, then one end), each coded byte by byte with a blank
-behind it. The contexts of a byte are all bytes back to the start of the token, then the last
-ORDER bytes and fewer; so a token's code length is the same wherever it stands, and is worked
-out once for each different token of the corpus. The context trie is pretrained on the counts
-of all training tokens and stays a table: the tokens' contexts are joined with it. In a context, each byte that was seen gives up DISCOUNT of its count to
-the escape; a byte that was not seen costs the escape and is looked for in the next shorter
-context, with all bytes of the longer one excluded.
+"""LM scoring: prediction by partial matching over the bytes of whole texts.
+
+A text is coded byte by byte as its lower-cased words, a blank behind each, and one end. The
+contexts of a byte are the ORDER bytes before it, across blanks, and fewer; ends stand in for the
+bytes before a text. The context trie is pretrained on all training texts. In a context, each byte
+that was seen gives up DISCOUNT of its count to the escape; a byte that was not seen costs the
+escape and is looked for in the next shorter context, with all bytes of the longer one excluded.
+
+Equal (context, byte) pairs cost the same wherever they stand, so each is scored once. Pairs are
+dealt by the DEALT bytes next before the byte: all contexts that end alike, and so all from DEALT
+bytes on that a byte escapes to, lie in one partition, at most 2**24 pairs of them. The shorter
+contexts are at most 2**24 more counts, which every task is sent.
 """
 
 from __future__ import annotations
@@ -14,21 +17,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areagrade.llm.wordhash import _BASE, _INVERSE, Words, _power, mixed, word_slices
+from areagrade.llm.wordhash import _LOWER, SPACE, Words, word_slices
 from areagrade.llm.workers import importable
 
-ORDER = 5
-WHOLE = 7  # marks the context of all bytes back to the start
-DISCOUNT = 0.2
-NODES = 1 << 20  # size of a trie in memory
-FREQUENT = 1 << 18  # tokens and keys of the trie that tasks look up themselves; all others are joined
-FEW = 1 << 57  # keys of orders 0 and 1 are below; with one context byte they are 65,792 at most
-END = b"\x0b"  # the end of a text as a token; no word holds white space
-FLUSH_BYTES = 4 << 20
-HELD_TOKENS = 1 << 21  # tokens of slices that are merged before they are shuffled
+ORDER = 5  # with the byte itself, 48 bits of an id
+DEALT = 3
+DISCOUNT = 0.4
+FREQUENT = 1 << 20  # tokens and pairs that tasks look up themselves; all others are joined
+END = 0x0B  # the end of a text, as a token and as a byte; no word holds white space
+HELD = 1 << 21  # counts that a task merges before they are shuffled
+FLUSH = 1 << 18  # pairs that are scored together
+WINDOW = 1 << 20  # bytes of a text that are looked at together
 FOLDS, HELD_OUT = 5, 1
 ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -38,146 +40,161 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % FOLDS == HELD_OUT
 
 
-def token_hash(tokens: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b"".join(tokens), np.uint8)
-    bounds = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
-    return Words(data, bounds, 0, np.zeros(256, dtype=bool)).hash
+def token_ids(words: Words) -> np.ndarray:
+    """Negative numbers for tokens; (context, byte) pairs are positive."""
+    return (words.hash | np.uint64(1 << 63)).view(np.int64)
 
 
-def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of all ranges, one after the other, and the bounds of each."""
-    length = ends - starts
-    bounds = np.concatenate([[0], np.cumsum(length)])
-    return np.repeat(starts - bounds[:-1], length) + np.arange(bounds[-1]), bounds
-
-
-def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    buffers_ = [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())]
-    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, buffers_).cast(pa.binary())
+END_ID = int(token_ids(Words(np.array([END], np.uint8), np.array([0, 1]), 0, np.zeros(256, dtype=bool)))[0])
 
 
-def token_counts(docs: DataFrame, text: str, training: Column) -> DataFrame:
-    """(hash, token, n, total): how often each token comes in training texts and in all."""
-    end_hash = int(token_hash([END]).view(np.int64)[0])
+def coded(words: Words):
+    """(text of each byte, id of each byte with its context) of the texts, WINDOW bytes at a time.
 
-    def merged(found):
-        """Each token of several slices once."""
-        every = np.concatenate([f[0] for f in found])
-        values, first, place = np.unique(every, return_index=True, return_inverse=True)
-        n, total = (np.bincount(place, weights=np.concatenate([f[i] for f in found]), minlength=len(values)).astype(np.int64) for i in (1, 2))
-        data = np.concatenate([f[3] for f in found])
-        shift = np.cumsum([0] + [len(f[3]) for f in found])
-        starts = np.concatenate([f[4][:-1] + s for f, s in zip(found, shift)])
-        ends = np.concatenate([f[4][1:] + s for f, s in zip(found, shift)])
-        index, bounds = _ranges(starts[first], ends[first])
-        arrays = [pa.array(values.view(np.int64)), _binary(data[index], bounds), pa.array(n), pa.array(total)]
-        return pa.RecordBatch.from_arrays(arrays, names=["hash", "token", "n", "total"])
+    The byte itself is the lowest of an id, the byte before it the highest.
+    """
+    size = words.end - words.start
+    total = np.concatenate([[0], np.cumsum(size)])
+    length = total[words.offset[1:]] - total[words.offset[:-1]] + words.count + ORDER + 1
+    bounds = np.concatenate([[0], np.cumsum(length)])
+    inside = np.flatnonzero(~SPACE[words.data])
+    place = np.arange(len(inside)) + np.repeat(np.arange(len(size)) + words.text * (ORDER + 1) + ORDER, size)
+    data = np.full(bounds[-1], 32, np.uint8)
+    data[place] = _LOWER[words.data[inside]]
+    before = (bounds[:-1, None] + np.arange(ORDER)).ravel()
+    data[before] = END
+    data[bounds[1:] - 1] = END
+    real = np.ones(len(data), dtype=bool)
+    real[before] = False
+    text = np.repeat(np.arange(len(length)), length)
+    for low in range(0, len(data), WINDOW):
+        window = data[max(0, low - ORDER) : low + WINDOW].astype(np.int64)
+        ids = window.copy()
+        for j in range(1, ORDER + 1):
+            ids[j:] |= window[:-j] << (8 * (ORDER + 1 - j))
+        chosen = real[low : low + WINDOW]
+        yield text[low : low + WINDOW][chosen], ids[min(low, ORDER) :][chosen]
+
+
+def _summed(ids: np.ndarray, *weights: np.ndarray) -> list[np.ndarray]:
+    """Each id once, in order, with the sums of its weights."""
+    values, place = np.unique(ids, return_inverse=True)
+    return [values, *(np.bincount(place, weights=w, minlength=len(values)).astype(np.int64) for w in weights)]
+
+
+def _batch(*columns: np.ndarray, names: tuple[str, ...] = ("id", "n", "total")) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(names))
+
+
+def counted(docs: DataFrame, text: str, training: Column, most: int = HELD) -> DataFrame:
+    """(id, n, total): how often each token and each (context, byte) comes in training texts and in all.
+
+    Sorted by id; pairs that share their context's last DEALT bytes are in one partition. Written
+    with ``checkpoint``, which keeps both. A task holds no more than about ``most`` counts.
+    """
 
     def count(batches):
-        found, held = [], 0
+        held, size = [], 0
         for batch in batches:
-            trains = np.asarray(batch.column(1).to_pylist(), dtype=bool)
+            trains = np.asarray(batch.column(1).fill_null(False).to_numpy(zero_copy_only=False), dtype=np.int64)
             for words in word_slices(batch.column(0)):
-                values, first, place = np.unique(words.hash, return_index=True, return_inverse=True)
-                n = np.bincount(place, weights=trains[words.first + words.text], minlength=len(values)).astype(np.int64)
-                index, bounds = _ranges(words.start[first], words.end[first])
-                data = words.data[index]
-                data = data + 32 * ((data >= 65) & (data <= 90)).astype(np.uint8)
-                found.append((values, n, np.bincount(place, minlength=len(values)), data, bounds))
-                held += len(values)
-                if held >= HELD_TOKENS:
-                    yield merged(found)
-                    found, held = [], 0
-            ends_of = [pa.array([end_hash]), pa.array([END], pa.binary()), pa.array([int(trains.sum())]), pa.array([len(trains)])]
-            yield pa.RecordBatch.from_arrays(ends_of, names=["hash", "token", "n", "total"])
-        if found:
-            yield merged(found)
+                train = trains[words.first : words.first + len(words.count)]
+                held.append([np.array([END_ID]), np.array([train.sum()]), np.array([len(train)])])
+                held.append(_summed(token_ids(words), train[words.text], np.ones(len(words.text))))
+                size += len(held[-1][0])
+                for of, ids in coded(words):
+                    held.append(_summed(ids, train[of], np.ones(len(of))))
+                    size += len(held[-1][0])
+                    if size >= most:
+                        merged = _summed(*(np.concatenate(c) for c in zip(*held)))
+                        held, size = [merged], len(merged[0])
+                        if size >= most // 2:
+                            yield _batch(*merged)
+                            held, size = [], 0
+        if held:
+            yield _batch(*_summed(*(np.concatenate(c) for c in zip(*held))))
+
+    def merge(batches):
+        """Sorted rows with each id once; the last one waits for the next batch."""
+        last = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            columns = [np.concatenate([kept, batch.column(i).to_numpy()]) for i, kept in enumerate(last)]
+            if not len(columns[0]):
+                continue
+            first = np.flatnonzero(np.diff(columns[0], prepend=columns[0][0] - 1))
+            columns = [columns[0][first], *(np.add.reduceat(c, first) for c in columns[1:])]
+            last = [c[-1:] for c in columns]
+            yield _batch(*(c[:-1] for c in columns))
+        yield _batch(*last)
 
+    schema = "id long, n long, total long"
     plain = docs.select(F.col(text).alias("text"), training.alias("training"))
-    found = plain.mapInArrow(count, "hash long, token binary, n long, total long")
-    return found.groupBy("hash", "token").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-
-
-class Spelling:
-    """The coded bytes of tokens: every position with its byte and the contexts before it."""
-
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
-        length = np.diff(bounds)
-        # A start mark, the token, a blank.
-        size = length + 2
-        starts = np.concatenate([[0], np.cumsum(size)])
-        text = np.full(starts[-1], 32, dtype=np.uint64)
-        text[starts[:-1]] = 10
-        index, _ = _ranges(starts[:-1] + 1, starts[1:] - 1)
-        text[index] = data
-        inside = np.arange(starts[-1]) - np.repeat(starts[:-1], size)
-        self.at = np.flatnonzero(inside > 0)
-        self.token = np.repeat(np.arange(len(length)), size)[self.at]
-        self.inside = inside[self.at]
-        self.text = text
-        self.symbol = text[self.at]
-        # A hash of all bytes before each position, back to the start of its token.
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text + np.uint64(1)) * _power(_BASE, len(text)), dtype=np.uint64)])
-        first = starts[:-1][self.token]
-        self.whole = mixed((total[self.at] - total[first]) * _power(_INVERSE, len(text))[first]) if len(text) else total[:0]
-
-    def keys(self, order: int, at: np.ndarray) -> np.ndarray:
-        """Order and context of the positions in the upper 56 bits; their byte belongs into the lowest 8.
-
-        Contexts up to ORDER bytes are kept as they are, the WHOLE one as 48 bits of its hash.
-        """
-        if order == WHOLE:
-            return (np.uint64(WHOLE) << np.uint64(56)) | ((self.whole[at] >> np.uint64(16)) << np.uint64(8))
-        context = np.zeros(len(at), dtype=np.uint64)
-        where = self.at[at]
-        for j in range(1, order + 1):
-            context |= self.text[where - j] << np.uint64(8 * (j - 1))
-        return (np.uint64(order) << np.uint64(56)) | (context << np.uint64(8))
-
-
-def _spelled(batches, names):
-    """Tokens of a partition as (data, bounds, other columns), FLUSH_BYTES at a time."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.column(0).nbytes
-        if size >= FLUSH_BYTES:
-            yield _flushed(held, names)
-            held, size = [], 0
-    if held:
-        yield _flushed(held, names)
-
-
-def _flushed(held, names):
-    table = pa.Table.from_batches(held)
-    tokens = table.column(0).combine_chunks().cast(pa.large_binary())
-    bounds = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset : tokens.offset + len(tokens) + 1]
-    data = np.frombuffer(tokens.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
-    return data, bounds - bounds[0], {n: table.column(n).to_numpy() for n in names}
-
-
-def context_counts(tokens: DataFrame, order: int = ORDER) -> DataFrame:
-    """(key, below, n) of every context with the byte behind it, in all training tokens.
-
-    ``below`` is the key in the longest context of ``order`` bytes, for those beyond it.
+    home = F.when(F.col("id") < 0, F.col("id")).otherwise(F.shiftright("id", 8 * (ORDER + 1 - DEALT)))
+    return plain.mapInArrow(count, schema).repartition(home).sortWithinPartitions("id").mapInArrow(merge, schema).checkpoint()
+
+
+def find(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The place of each value in a sorted array, -1 where it is missing."""
+    if not len(known):
+        return np.full(len(values), -1)
+    place = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[place] == values, place, -1)
+
+
+def shorter(ids: np.ndarray) -> np.ndarray:
+    """Ids in the context without its first byte."""
+    return ((ids >> 16) << 8) | (ids & 255)
+
+
+class Level:
+    """The contexts of one length: their ids with counts, and totals by context.
+
+    ``covered`` of a context is what its bytes have together in the next shorter one: with these
+    excluded, the shorter context has its total less that.
     """
 
-    def count(batches):
-        for data, bounds, other in _spelled(batches, ["n"]):
-            spelling = Spelling(data, bounds)
-            weight = other["n"][spelling.token].astype(np.float64)
-            for k in (*range(order + 1), WHOLE):
-                at = np.flatnonzero(spelling.inside >= (k if k != WHOLE else order + 1))
-                values, first, place = np.unique(spelling.keys(k, at) | spelling.symbol[at], return_index=True, return_inverse=True)
-                n = np.bincount(place, weights=weight[at], minlength=len(values)).astype(np.int64)
-                below = np.zeros(len(values), dtype=np.uint64)
-                if k == WHOLE:
-                    below = spelling.keys(order, at[first]) | spelling.symbol[at[first]]
-                columns = [pa.array(values.view(np.int64)), pa.array(below.view(np.int64)), pa.array(n)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "below", "n"])
-
-    rows = tokens.where("n > 0").select("token", "n").mapInArrow(count, "key long, below long, n long")
-    return rows.groupBy("key").agg(F.min("below").alias("below"), F.sum("n").alias("n"))
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, below: Level | None):
+        self.ids, self.counts = ids, counts.astype(np.float64)
+        self.contexts, first = np.unique(ids >> 8, return_index=True)
+        per_context = lambda values: np.add.reduceat(values, first) if len(first) else np.zeros(0)
+        self.totals = per_context(self.counts)
+        self.kinds = np.diff(np.append(first, len(ids))).astype(np.float64)
+        self.covered = per_context(below.counts[find(below.ids, shorter(ids))]) if below else np.zeros(len(first))
+
+
+def levels(ids: np.ndarray, counts: np.ndarray, most: int, least: int = 0, below: Level | None = None) -> list[Level]:
+    """The levels of ``least`` to ``most`` context bytes, from counts of the longest."""
+    tables = [(ids, counts)]
+    for _ in range(most - least):
+        tables.append(_summed(shorter(tables[-1][0]), tables[-1][1]))
+    out = []
+    for table in reversed(tables):
+        below = Level(*table, below)
+        out.append(below)
+    return out
+
+
+def log10_of(ids: np.ndarray, trie: list[Level]) -> np.ndarray:
+    """log10 probability of each byte in its context of ORDER bytes."""
+    n = len(ids)
+    out, excluded, gone = np.zeros(n), np.zeros(n), np.zeros(n)  # occurrences and kinds of bytes that longer contexts hold
+    left = np.arange(n)
+    for level in reversed(trie):
+        place = find(level.contexts, ids >> 8)
+        known = place >= 0
+        at, place = left[known], place[known]
+        total, kinds = level.totals[place] - excluded[at], level.kinds[place] - gone[at]
+        own = find(level.ids, ids[known])
+        hit = own >= 0
+        out[at[hit]] += np.log10((level.counts[own[hit]] - DISCOUNT) / total[hit])
+        miss = ~hit & (kinds > 0)
+        out[at[miss]] += np.log10(DISCOUNT * kinds[miss] / total[miss])
+        excluded[at], gone[at] = level.covered[place], level.kinds[place]
+        stays = ~known
+        stays[known] = ~hit
+        left, ids = left[stays], shorter(ids[stays])
+    out[left] -= np.log10(np.maximum(256 - gone[left], 1))
+    return out
 
 
 def most_frequent(rows: DataFrame, weight: str, most: int) -> DataFrame:
@@ -197,196 +214,95 @@ def most_frequent(rows: DataFrame, weight: str, most: int) -> DataFrame:
     return rows.where(F.col(weight) >= limit) if taken else rows.where(F.lit(False))
 
 
-class Trie:
-    """The contexts with their totals, as sorted arrays.
-
-    ``covered`` of a context is what its bytes have together in the next shorter one: with these
-    excluded, the shorter context has its total less that. Leaving out rare keys keeps the bytes
-    of a context among those of the shorter one, for these are seen at least as often.
-    """
-
-    def __init__(self, keys: np.ndarray, below: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, below, self.counts = keys[order], below[order], counts[order].astype(np.float64)
-        context = self.keys & ~np.uint64(255)
-        self.contexts, start = np.unique(context, return_index=True)
-        edges = np.append(start, len(self.keys))
-        self.kinds = np.diff(edges).astype(np.float64)
-        self.totals = np.add.reduceat(self.counts, start) if len(start) else np.zeros(0)
-        k = self.keys >> np.uint64(56)
-        # The shorter context lacks the byte that lies furthest back.
-        kept = (np.uint64(1) << (np.uint64(8) * np.clip(k, 1, 7).astype(np.uint64))) - np.uint64(1)
-        shorter = ((np.maximum(k, 1) - np.uint64(1)) << np.uint64(56)) | (self.keys & kept)
-        place = find(self.keys, np.where(k == WHOLE, below, shorter))
-        shared = np.where((place >= 0) & (k > 0), self.counts[np.maximum(place, 0)] if len(self.keys) else 0.0, 0.0)
-        self.covered = np.add.reduceat(shared, start) if len(start) else np.zeros(0)
-
-    def log10(self, spelling: Spelling, tokens: int, order: int = ORDER) -> np.ndarray:
-        """log10 probability of each token."""
-        n = len(spelling.at)
-        out = np.zeros(n)
-        excluded, gone = np.zeros(n), np.zeros(n)  # occurrences and kinds of bytes that longer contexts hold
-        open_ = np.arange(n)
-        for k in (WHOLE, *range(order, -1, -1)):
-            at = open_[spelling.inside[open_] >= (k if k != WHOLE else order + 1)]
-            if not len(at):
-                continue
-            context = spelling.keys(k, at)
-            place = find(self.contexts, context)
-            known = place >= 0
-            at, context, place = at[known], context[known], place[known]
-            total, kinds = self.totals[place] - excluded[at], self.kinds[place] - gone[at]
-            own = find(self.keys, context | spelling.symbol[at])
-            hit = own >= 0
-            out[at[hit]] += np.log10((self.counts[own[hit]] - DISCOUNT) / total[hit])
-            miss = ~hit & (kinds > 0)
-            out[at[miss]] += np.log10(DISCOUNT * kinds[miss] / total[miss])
-            excluded[at], gone[at] = self.covered[place], self.kinds[place]
-            done = np.zeros(n, dtype=bool)
-            done[at[hit]] = True
-            open_ = open_[~done[open_]]
-        out[open_] -= np.log10(np.maximum(256 - gone[open_], 1))
-        return np.bincount(spelling.token, weights=out, minlength=tokens)
-
-
-def find(known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The place of each value in a sorted array, -1 where it is missing."""
-    if not len(known):
-        return np.full(len(values), -1)
-    place = np.minimum(np.searchsorted(known, values), len(known) - 1)
-    return np.where(known[place] == values, place, -1)
-
-
 def _driver_arrays(rows: DataFrame, *names: str) -> list[np.ndarray]:
+    """Columns of a frame of proven size, sorted by the first."""
     table = rows.select(*names).toArrow()
-    return [table.column(n).to_numpy() for n in names]
-
-
-def train_trie(tokens: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
-    """Counts all training tokens; of the trie at most ``nodes`` keys come to the driver."""
-    counts = context_counts(tokens, order).checkpoint()
-    keys, below, n = _driver_arrays(most_frequent(counts, "n", nodes), "key", "below", "n")
-    return Trie(keys.view(np.uint64), below.view(np.uint64), n)
-
-
-def trie_table(counts: DataFrame) -> DataFrame:
-    """(key, n, total, kinds, covered) of every key; the last three are its context's, as in Trie."""
-    order = "shiftright(key, 56)"
-    kept = f"key & (shiftleft(1L, cast(8 * {order} as int)) - 1)"
-    shorter = F.expr(f"case when {order} = {WHOLE} then below when {order} > 0 then shiftleft({order} - 1, 56) | ({kept}) end")
-    shared = counts.select(F.col("key").alias("shorter"), F.col("n").alias("shared"))
-    context = Window.partitionBy(F.expr("key & ~255L"))
-    return counts.withColumn("shorter", shorter).join(shared, "shorter", "left").select(
-        "key",
-        "n",
-        F.sum("n").over(context).alias("total"),
-        F.count("*").over(context).alias("kinds"),
-        F.sum(F.coalesce("shared", F.lit(0))).over(context).alias("covered"),
-    )
+    order = np.argsort(table.column(names[0]).to_numpy())
+    return [table.column(n).to_numpy()[order] for n in names]
 
 
-def _met(rows: DataFrame, trie: DataFrame, on: str) -> DataFrame:
-    """``rows`` left-joined with ``trie``; the keys of orders 0 and 1, which most rows share, are sent to all tasks."""
-    low = rows.where(F.col(on) < FEW).join(F.broadcast(trie.where(F.col(on) < FEW)), on, "left")
-    return low.unionByName(rows.where(F.col(on) >= FEW).join(trie.where(F.col(on) >= FEW), on, "left"))
-
-
-def escaped(missed: DataFrame, trie: DataFrame) -> DataFrame:
-    """(key, log10) of different (key, below) whose longest context was never followed by their byte."""
-    level = "shiftright(below, 56)"
-    shorter = f"transform(sequence(0L, {level}), k -> shiftleft(k, 56) | (below & (shiftleft(1L, cast(8 * k + 8 as int)) - 1)))"
-    chain = F.explode(F.expr(f"if(key = below, {shorter}, concat({shorter}, array(key)))")).alias("at")
-    steps = missed.select("key", chain).withColumn("context", F.expr("at & ~255L"))
-    contexts = trie.groupBy(F.expr("key & ~255L").alias("context")).agg(*(F.first(c).alias(c) for c in ("total", "kinds", "covered")))
-    steps = _met(_met(steps, trie.select(F.col("key").alias("at"), "n"), "at"), contexts, "context")
-    down = Window.partitionBy("key").orderBy(F.desc("at"))
-    # What the next longer context excludes, and whether a longer one held the byte.
-    total = F.col("total") - F.coalesce(F.lag("covered").over(down), F.lit(0))
-    kinds = F.col("kinds") - F.coalesce(F.lag("kinds").over(down), F.lit(0))
-    before = F.count("n").over(down.rowsBetween(Window.unboundedPreceding, -1))
-    steps = steps.select("key", "at", "n", total.alias("total"), kinds.alias("kinds"), F.col("kinds").alias("gone"), before.alias("before"))
-    cost = F.when(F.col("n").isNotNull(), F.log10((F.col("n") - DISCOUNT) / F.col("total"))).when(
-        F.col("kinds") > 0, F.log10(DISCOUNT * F.col("kinds") / F.col("total"))
-    )
-    left = F.when(F.count("n") == 0, F.log10(F.greatest(256 - F.coalesce(F.max(F.when(F.col("at") < 256, F.col("gone"))), F.lit(0)), F.lit(1)))).otherwise(0.0)
-    return steps.groupBy("key").agg((F.coalesce(F.sum(F.when(F.col("before") == 0, cost)), F.lit(0.0)) - left).alias("log10"))
+def short_contexts(counts: DataFrame) -> DataFrame:
+    """(id, n) of all contexts of DEALT - 1 bytes in training texts: at most 256**DEALT rows."""
+    own = F.expr(f"shiftleft(shiftright(id, {8 * (ORDER + 2 - DEALT)}), 8) | (id & 255)")
+    return counts.where("id >= 0 and n > 0").groupBy(own.alias("id")).agg(F.sum("n").alias("n"))
 
 
-def scored_tokens(tokens: DataFrame, trie: DataFrame, order: int = ORDER, frequent: int = FREQUENT) -> DataFrame:
-    """(hash, n, total, log10) of each different token.
-
-    A byte that its longest context holds costs what that key says: tasks look up the FREQUENT keys,
-    all others are joined. The rest are joined with the keys and contexts of all their orders.
-    """
-    own = F.log10((F.col("n") - DISCOUNT) / F.col("total"))
-    keys, logs = _driver_arrays(most_frequent(trie, "n", frequent).select("key", own.alias("log10")), "key", "log10")
-    by_key = np.argsort(keys.view(np.uint64))
-    keys, logs = keys.view(np.uint64)[by_key], logs[by_key]
+def valued(counts: DataFrame, flush: int = FLUSH) -> DataFrame:
+    """(id, total, value) of ``counted`` rows: log10 of the probability of a pair; a token's count in training texts."""
+    low_ids, low_counts = _driver_arrays(short_contexts(counts), "id", "n")
 
     def run(batches):
-        for data, bounds, other in _spelled(batches, ["hash", "n", "total"]):
-            spelling, m = Spelling(data, bounds), len(bounds) - 1
-            key, below = (np.zeros(len(spelling.at), dtype=np.uint64) for _ in range(2))
-            for k in (*range(1, order + 1), WHOLE):
-                at = np.flatnonzero(spelling.inside == k if k != WHOLE else spelling.inside > order)
-                key[at] = spelling.keys(k, at) | spelling.symbol[at]
-                below[at] = spelling.keys(min(k, order), at) | spelling.symbol[at]
-            place = find(keys, key)
-            hit = place >= 0
-            part = np.bincount(spelling.token[hit], weights=logs[place[hit]], minlength=m).astype(np.float64)
-            cut = np.searchsorted(spelling.token[~hit], np.arange(m + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x[~hit].view(np.int64))) for x in (key, below)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(other[c]) for c in ("hash", "n", "total")), pa.array(part), *lists], names=["hash", "n", "total", "part", "key", "below"])
-
-    schema = "hash long, n long, total long, part double, key array<long>, below array<long>"
-    parts = tokens.select("token", "hash", "n", "total").mapInArrow(run, schema).checkpoint()
-    rest = parts.select("hash", F.explode(F.arrays_zip("key", "below")).alias("k")).select("hash", "k.key", "k.below")
-    first = rest.join(trie.select("key", own.alias("first")), "key", "left")
-    missed = first.where(F.col("first").isNull()).select("key", "below").dropDuplicates(["key"])
-    costs = first.join(escaped(missed, trie), "key", "left").groupBy("hash").agg(F.sum(F.coalesce("first", "log10")).alias("joined"))
-    return parts.join(costs, "hash", "left").select("hash", "n", "total", (F.col("part") + F.coalesce("joined", F.lit(0.0))).alias("log10"))
-
-
-def score_texts(docs: DataFrame, text: str, training: Column, kept: list[str], order: int = ORDER, frequent: int = FREQUENT) -> DataFrame:
+        low = levels(low_ids, low_counts, DEALT - 1)
+
+        def scored(ids, n, total):
+            value = n.astype(np.float64)
+            pair, seen = ids >= 0, (ids >= 0) & (n > 0)
+            value[pair] = log10_of(ids[pair], low + levels(ids[seen], n[seen], ORDER, DEALT, low[-1]))
+            return _batch(ids, total, value, names=("id", "total", "value"))
+
+        held, size, enough = [], 0, flush
+        for batch in batches:
+            held.append([batch.column(i).to_numpy() for i in range(3)])
+            size += batch.num_rows
+            if size >= enough:
+                rows = [np.concatenate(c) for c in zip(*held)]
+                home = rows[0] >> (8 * (ORDER + 1 - DEALT))
+                cut = int(np.searchsorted(home, home[-1]))  # the last contexts may go on in the next batch
+                if cut:
+                    yield scored(*(c[:cut] for c in rows))
+                held, size = [[c[cut:] for c in rows]], len(home) - cut
+                enough = max(flush, 2 * size)
+        if size:
+            yield scored(*(np.concatenate(c) for c in zip(*held)))
+
+    return counts.mapInArrow(run, "id long, total long, value double")
+
+
+def score_texts(docs: DataFrame, text: str, training: Column, kept: list[str], frequent: int = FREQUENT, held: int = HELD, flush: int = FLUSH) -> DataFrame:
     """``kept`` columns with n_tokens, n_known, train_tokens, base_score and score of each row.
 
     Learns from the rows where ``training`` is true; ``base_score`` is that of single tokens with
-    half a count added, ``score`` the trie's log10 probability of the tokens. The FREQUENT tokens'
-    scores go to the tasks as a table of bounded size, and all other tokens are joined by their
-    hash, so neither a common token nor a large vocabulary meets one task. A null text is the
+    half a count added, ``score`` the trie's log10 probability of the text. The FREQUENT tokens and
+    pairs go to the tasks as a table of bounded size, and all others are joined by their
+    id, so neither a common one nor a large vocabulary meets one task. A null text is the
     empty one: an end, and nothing else. Repeated rows and ids count each; without training rows
     every byte is equally likely; an empty table gives no rows. Kept columns with one of the added
-    names are replaced, all others may have any name.
+    names are replaced, all others may have any name. Tokens are told apart by 63 bits of a hash.
     """
     spark = docs.sparkSession
     importable(spark)
     wanted = {f"kept{i}": c for i, c in enumerate(kept) if c.lower() not in ADDED}
     own_columns = [F.col(c).alias(k) for k, c in wanted.items()]
-    tokens = token_counts(docs, text, training).checkpoint()
-    sums = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("kinds")).first()
+    counts = counted(docs, text, training, held)
+    sums = counts.where("id < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("kinds")).first()
     all_tokens, divisor = sums["n"], float(np.log10(sums["n"] + 0.5 * (sums["kinds"] + 1)))
-    trie = trie_table(context_counts(tokens, order).checkpoint()).checkpoint()
-    scored = scored_tokens(tokens, trie, order, frequent).checkpoint()
-    known, known_n, known_log = _driver_arrays(most_frequent(scored, "total", frequent), "hash", "n", "log10")
-    by_hash = np.argsort(known.view(np.uint64))
-    known, known_n, known_log = known.view(np.uint64)[by_hash], known_n[by_hash], known_log[by_hash]
-    known_base = np.log10(known_n + 0.5)
-    end_hash = int(token_hash([END]).view(np.int64)[0])
+    ends = counts.where(F.col("id") == END_ID).first()
+    end_n = ends["n"] if ends else 0
+    values = valued(counts, flush).checkpoint()
+    known, known_value = _driver_arrays(most_frequent(values, "total", frequent), "id", "value")
 
-    def count(batches):
+    def score(batches):
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for words in word_slices(batch.column(0)):
                 m = len(words.count)
-                place = find(known, words.hash)
+                add = lambda of, weights: np.bincount(of, weights=weights, minlength=m).astype(np.float64)  # noqa: E731, B023
+                ids = token_ids(words)
+                place = find(known, ids)
                 hit = place >= 0
-                of, at = words.text[hit], place[hit]
-                add = lambda values: np.bincount(of, weights=values, minlength=m).astype(np.float64)  # noqa: E731, B023
-                seen = add((known_n[at] > 0).astype(np.float64)).astype(np.int64)
-                base, log = add(known_base[at]), add(known_log[at])
-                rest_of, rest = words.text[~hit], words.hash[~hit].view(np.int64)
-                order_ = np.lexsort((rest, rest_of))
-                rest_of, rest = rest_of[order_], rest[order_]
+                n = known_value[place[hit]]
+                seen, base = add(words.text[hit], n > 0), add(words.text[hit], np.log10(n + 0.5))
+                log, missed = np.zeros(m), [(words.text[~hit], ids[~hit])]
+                for of, ids in coded(words):
+                    different, which = np.unique(ids, return_inverse=True)
+                    place = find(known, different)
+                    own = known_value[place] if len(known) else np.zeros(len(place))
+                    log += add(of, np.where(place >= 0, own, 0.0)[which])
+                    miss = (place < 0)[which]
+                    missed.append((of[miss], ids[miss]))
+                rest_of, rest = (np.concatenate(c) for c in zip(*missed))
+                order = np.lexsort((rest, rest_of))
+                rest_of, rest = rest_of[order], rest[order]
                 fresh = np.ones(len(rest), dtype=bool)
                 fresh[1:] = (rest[1:] != rest[:-1]) | (rest_of[1:] != rest_of[:-1])
                 first = np.flatnonzero(fresh)
@@ -395,7 +311,7 @@ def score_texts(docs: DataFrame, text: str, training: Column, kept: list[str], o
                 columns = {
                     "row": pa.array(row + words.first + np.arange(m)),
                     "tokens": pa.array(words.count + 1),
-                    "seen": pa.array(seen),
+                    "seen": pa.array(seen.astype(np.int64)),
                     "base": pa.array(base),
                     "log": pa.array(log),
                     "rest": pa.ListArray.from_arrays(pa.array(cut), pa.array(rest[first])),
@@ -409,28 +325,26 @@ def score_texts(docs: DataFrame, text: str, training: Column, kept: list[str], o
     plain = docs.select(F.col(text).alias("_text"), *own_columns)
     schema = plain.drop("_text").withColumns({"row": F.lit(0).cast("long"), "tokens": F.lit(0).cast("long"), "seen": F.lit(0).cast("long"), "base": F.lit(0.0), "log": F.lit(0.0)})
     schema = schema.withColumns({"rest": F.array(F.lit(0).cast("long")), "times": F.array(F.lit(0).cast("int"))}).schema
-    rows = plain.mapInArrow(count, schema).checkpoint()
-    rest = rows.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("row", F.col("r.rest").alias("hash"), F.col("r.times").alias("times"))
-    ends = scored.where(F.col("hash") == end_hash).first()
-    end_n, end_log = (ends["n"], ends["log10"]) if ends else (0, 0.0)
-    others = scored.select("hash", (F.col("n") > 0).cast("long").alias("known"), F.log10(F.col("n") + 0.5).alias("base1"), F.col("log10").alias("log1"))
-    sums = (
-        rest.join(others, "hash")
+    rows = plain.mapInArrow(score, schema).checkpoint()
+    rest = rows.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("row", F.col("r.rest").alias("id"), F.col("r.times").alias("times"))
+    token = F.col("id") < 0
+    joined = (
+        rest.join(values.select("id", "value"), "id")
         .groupBy("row")
         .agg(
-            F.sum(F.col("times") * F.col("known")).alias("seen1"),
-            F.sum(F.col("times") * F.col("base1")).alias("base1"),
-            F.sum(F.col("times") * F.col("log1")).alias("log1"),
+            F.sum(F.when(token & (F.col("value") > 0), F.col("times"))).alias("seen1"),
+            F.sum(F.when(token, F.col("times") * F.log10(F.col("value") + 0.5))).alias("base1"),
+            F.sum(F.when(~token, F.col("times") * F.col("value"))).alias("log1"),
         )
     )
     zero = F.lit(0.0)
-    return rows.join(sums, "row", "left").select(
+    return rows.join(joined, "row", "left").select(
         *(F.col(k).alias(c) for k, c in wanted.items()),
         F.col("tokens").alias("n_tokens"),
         (F.col("seen") + F.coalesce("seen1", F.lit(0)) + int(end_n > 0)).cast("long").alias("n_known"),
         F.lit(all_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("base1", zero) + float(np.log10(end_n + 0.5)) - F.col("tokens") * divisor).alias("base_score"),
-        (F.col("log") + F.coalesce("log1", zero) + float(end_log)).alias("score"),
+        (F.col("log") + F.coalesce("log1", zero)).alias("score"),
     )
 
 

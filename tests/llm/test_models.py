@@ -6,10 +6,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from areagrade.llm import hnsw, hosts, ppm, toxicity
+from areagrade.sources.tables import read_table
 
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -80,105 +82,137 @@ def tokens_of(text):
     return [w for w in (text or "").translate(ASCII).split()] + ["\x0b"]
 
 
-def ppm_by_hand(training):
-    """log10 of a token: contexts from the whole start of the token down, with exclusion."""
+def coded_by_hand(text):
+    """The bytes of a text behind the ends that stand before it."""
+    return b"\x0b" * ppm.ORDER + b"".join(t.encode() + b" " for t in tokens_of(text)[:-1]) + b"\x0b"
+
+
+def ppm_by_hand(texts):
+    """log10 of a byte behind others: contexts from ORDER bytes down, with exclusion."""
     counts = defaultdict(Counter)
-    for token, n in training.items():
-        coded = b"\n" + token.encode() + b" "
-        for i in range(1, len(coded)):
-            for k in range(min(i, ppm.ORDER) + 1):
-                counts[coded[i - k : i], k][coded[i]] += n
-            if i > ppm.ORDER:
-                counts[coded[:i], ppm.WHOLE][coded[i]] += n
-
-    def score(token):
-        coded, out = b"\n" + token.encode() + b" ", 0.0
-        for i in range(1, len(coded)):
-            excluded = set()
-            contexts = [(coded[:i], ppm.WHOLE)] * (i > ppm.ORDER) + [(coded[i - k : i], k) for k in range(min(i, ppm.ORDER), -1, -1)]
-            for c in contexts:
-                if c not in counts:
-                    continue
-                left = {b: n for b, n in counts[c].items() if b not in excluded}
-                total = sum(left.values())
-                if coded[i] in left:
-                    out += math.log10((left[coded[i]] - ppm.DISCOUNT) / total)
-                    break
-                if left:
-                    out += math.log10(ppm.DISCOUNT * len(left) / total)
-                excluded = set(counts[c])
-            else:
-                out -= math.log10(256 - len(excluded))
-        return out
-
-    return score
-
-
-@pytest.mark.parametrize("frequent", [ppm.FREQUENT, 3, 0])
-def test_ppm_equals_brute_force(frame, frequent):
+    for data in map(coded_by_hand, texts):
+        for i in range(ppm.ORDER, len(data)):
+            for k in range(ppm.ORDER + 1):
+                counts[data[i - k : i]][data[i]] += 1
+
+    def cost(before, byte):
+        out, excluded = 0.0, set()
+        for k in range(ppm.ORDER, -1, -1):
+            context = counts.get(before[len(before) - k :])
+            if context is None:
+                continue
+            left = {b: n for b, n in context.items() if b not in excluded}
+            total = sum(left.values())
+            if byte in left:
+                return out + math.log10((left[byte] - ppm.DISCOUNT) / total)
+            if left:
+                out += math.log10(ppm.DISCOUNT * len(left) / total)
+            excluded = set(context)
+        return out - math.log10(256 - len(excluded))
+
+    return cost
+
+
+def text_by_hand(cost, text):
+    data = coded_by_hand(text)
+    return sum(cost(data[i - ppm.ORDER : i], data[i]) for i in range(ppm.ORDER, len(data)))
+
+
+@pytest.mark.parametrize("frequent", [ppm.FREQUENT, 30, 0])
+@pytest.mark.parametrize("small", [False, True])
+def test_ppm_equals_brute_force(spark, frame, frequent, small):
+    few = {"held": 20, "flush": 1} if small else {}
+    rows_a_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if small:
+        spark.conf.set(rows_a_batch, "3")
+    try:
+        _ppm_equals_brute_force(frame, {"frequent": frequent, **few})
+    finally:
+        spark.conf.unset(rows_a_batch)
+
+
+def _ppm_equals_brute_force(frame, settings):
     texts = TEXTS * 3
-    rows = [(i, t, i % 4 != 1, 5) for i, t in enumerate(texts)] + [(None, "cat", True, 5), (0, texts[0], True, 5)]
+    rows = [(i, t, i % 4 != 1, 5) for i, t in enumerate(texts)] + [(None, "cat", True, 5), (0, texts[0], True, 5), (-1, "not judged", None, 5)]
     df = frame("doc_id int, text string, train boolean, row int", *rows)
     training = Counter(t for _, text, train, _ in rows if train for t in tokens_of(text))
     n, kinds = sum(training.values()), len(training)
-    score = ppm_by_hand(training)
-    got = ppm.score_texts(df.select("doc_id", "text", "train"), "text", F.col("train"), ["doc_id"], frequent=frequent).collect()
+    cost = ppm_by_hand([text for _, text, train, _ in rows if train])
+    got = ppm.score_texts(df.select("doc_id", "text", "train"), "text", F.col("train"), ["doc_id"], **settings).collect()
     assert len(got) == len(rows)
     text_of = {i: t for i, t, _, _ in rows}
     for r in got:
         own = tokens_of(text_of[r.doc_id])
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(t in training for t in own), n)
         assert r.base_score == pytest.approx(sum(math.log10((training[t] + 0.5) / (n + 0.5 * (kinds + 1))) for t in own))
-        assert r.score == pytest.approx(sum(score(t) for t in own))
+        assert r.score == pytest.approx(text_by_hand(cost, text_of[r.doc_id]))
+
+
+def test_coded_bytes_do_not_depend_on_windows(monkeypatch):
+    texts = ["", "a", "Some words\n and more ", None, "x" * 50, " "]
+    (words,) = ppm.word_slices(pa.array(texts))
+
+    def all_of():
+        of, ids = (np.concatenate(c) for c in zip(*ppm.coded(words)))
+        return of.tolist(), ids.tolist()
+
+    whole = all_of()
+    expected = [(t, int.from_bytes(data[i - ppm.ORDER : i][::-1] + data[i : i + 1])) for t, data in enumerate(map(coded_by_hand, texts)) for i in range(ppm.ORDER, len(data))]
+    assert list(zip(*whole)) == expected
+    for window in (1, 2, 5, 7):
+        monkeypatch.setattr(ppm, "WINDOW", window)
+        assert all_of() == whole
 
 
-def test_ppm_keeps_more_contexts_than_a_trie_in_memory(frame):
+def test_ppm_of_long_texts_that_share_little(frame):
     pick = random.Random(6)
-    letters_ = "abcdefghijklmnopqrstuvwxyz0123456789"
-    texts = [" ".join("".join(pick.choice(letters_) for _ in range(180)) for _ in range(20)) for _ in range(90)]
-    texts += [t[3:60] + "q" + t[70:90] for t in texts[:20]]
-    training = Counter(t for text in texts[:90] for t in tokens_of(text))
+    signs = "abcdefghijklmnopqrstuvwxyz0123456789"
+    texts = [" ".join("".join(pick.choice(signs) for _ in range(180)) for _ in range(20)) for _ in range(30)]
+    texts += [t[3:60] + "q" + t[70:90] for t in texts[:5]]
     docs = frame("doc_id int, text string", *enumerate(texts))
-    counted = ppm.token_counts(docs, "text", F.col("doc_id") < 90)
-    assert ppm.context_counts(counted).count() > ppm.NODES
-    score = ppm_by_hand(training)
-    got = {r.doc_id: r.score for r in ppm.score_texts(docs, "text", F.col("doc_id") < 90, ["doc_id"]).collect()}
-    for i in (0, 1, 2, *range(90, 110)):
-        assert got[i] == pytest.approx(sum(score(t) for t in tokens_of(texts[i])))
+    cost = ppm_by_hand(texts[:30])
+    for frequent in (ppm.FREQUENT, 1000):
+        got = {r.doc_id: r.score for r in ppm.score_texts(docs, "text", F.col("doc_id") < 30, ["doc_id"], frequent=frequent).collect()}
+        for i in (0, 1, *range(30, 35)):
+            assert got[i] == pytest.approx(text_by_hand(cost, texts[i]))
+
+
+def test_ppm_hears_the_order_of_words(frame):
+    pick = random.Random(4)
+    text = lambda: " ".join(pick.choice(["the cat sat", "on the mat", "a dog ran", "far from home"]) for _ in range(30))
+    texts = [text() for _ in range(40)]
+    shuffled = [" ".join(pick.sample(t.split(), len(t.split()))) for t in texts[30:]]
+    rows = [*enumerate(texts), *enumerate(shuffled, 40)]
+    got = {r.doc_id: r for r in ppm.score_texts(frame("doc_id int, text string", *rows), "text", F.col("doc_id") < 30, ["doc_id"]).collect()}
+    for i in range(30, 40):
+        assert got[i].base_score == pytest.approx(got[i + 10].base_score)
+        assert got[i].score > got[i + 10].score + 10
+
+
+def test_ppm_beats_a_model_bound_to_tokens(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", ppm.held_out(F.col("doc_id")).alias("out"))
+    whole = ppm.score_texts(docs, "text", ~F.col("out"), ["out"]).where("out").agg(F.sum("score")).first()[0]
+    tokens = docs.select("out", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("token")).where("token <> ''")
+    alone = ppm.score_texts(tokens, "token", ~F.col("out"), ["out"]).where("out").agg(F.sum("score")).first()[0]
+    assert whole > 0.99 * alone
 
 
 def test_ppm_of_nothing(frame):
     df = frame("doc_id int, text string", (1, "cat"), (2, None))
     got = {r.doc_id: r for r in ppm.score_texts(df, "text", F.lit(False), ["doc_id"]).collect()}
-    assert got[2].n_known == 0 and got[2].train_tokens == 0 and got[2].score == pytest.approx(-2 * math.log10(256))
+    assert got[2].n_known == 0 and got[2].train_tokens == 0 and got[2].score == pytest.approx(-math.log10(256))
+    assert got[1].score == pytest.approx(-5 * math.log10(256))
     assert ppm.score_texts(df.limit(0), "text", F.lit(True), ["doc_id"]).collect() == []
 
 
-def test_a_smaller_trie_keeps_its_contexts_nested(frame):
-    pick = random.Random(9)
-    words = ["".join(pick.choice("abc") for _ in range(pick.randint(1, 9))) for _ in range(300)]
-    df = frame("token binary, hash long, n long, total long", *((bytearray(w.encode()), i, 1 + i % 5, 9) for i, w in enumerate(dict.fromkeys(words))))
-    counts = ppm.context_counts(df)
-    every = ppm.train_trie(df)
-    few = ppm.train_trie(df, nodes=200)
-    assert 0 < len(few.keys) <= 200 < len(every.keys) == counts.count()
-    spelling = ppm.Spelling(np.frombuffer("".join(words).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in words])]))
-    assert np.isfinite(few.log10(spelling, len(words))).all() and (every.log10(spelling, len(words)) < 0).all()
-
-
 def test_next_bytes_sum_to_one(frame):
-    training = Counter({"abcabcab": 3, "abd": 2, "abcabcaa": 1, "b": 4})
-    df = frame("token binary, hash long, n long, total long", *((bytearray(t.encode()), i, n, n) for i, (t, n) in enumerate(training.items())))
-    trie = ppm.train_trie(df)
-    for start in ("abcabca", "ab", "x", "", "abz"):
-        # Every next byte as a token's last symbol but one; the blank behind it is coded too, so it is taken off.
-        total = 0.0
-        for b in range(256):
-            spelling = ppm.Spelling(np.frombuffer(start.encode() + bytes([b]), np.uint8), np.array([0, len(start) + 1]))
-            spelling.at, spelling.token, spelling.inside = spelling.at[-2:-1], spelling.token[-2:-1], spelling.inside[-2:-1]
-            spelling.symbol, spelling.whole = spelling.symbol[-2:-1], spelling.whole[-2:-1]
-            total += 10 ** trie.log10(spelling, 1)[0]
-        assert total == pytest.approx(1)
+    texts = ["abcabcab abd", "abcabcaa b", "abd abd", "b b b"]
+    ids = np.concatenate([own for words in ppm.word_slices(pa.array(texts)) for _, own in ppm.coded(words)])
+    values, n = np.unique(ids, return_counts=True)
+    trie = ppm.levels(values, n, ppm.ORDER)
+    for before in (b"abcab", b"  abd", b"xxxxx", b"\x0b\x0b\x0b\x0b\x0b", b"c abz"):
+        every = int.from_bytes(before[::-1]) * 256 + np.arange(256)
+        assert (10 ** ppm.log10_of(every, trie)).sum() == pytest.approx(1)
 
 
 @pytest.fixture(scope="module")
