@@ -294,6 +294,24 @@ def test_nearest_of_odd_vectors(frame):
     assert hnsw.nearest(frame("vec_id int, embedding array<float>"), 20, 10).collect() == []
 
 
+@pytest.mark.parametrize("dim", [64, 128])
+def test_recall_on_a_full_shard_as_the_query_searches_it(dim):
+    k, n = 20, hnsw.SHARD_ROWS
+    order, sizes = hnsw.layer_counts(np.arange(n))
+    points = np.random.default_rng(dim).normal(size=(n, dim))[order]
+    graph = hnsw.Graph.build(hnsw.with_norm(points), sizes)
+    asked = np.arange(0, n, 20)
+    product = points[asked] @ points.T
+    product[np.arange(len(asked)), asked] = -np.inf
+    exact = np.argsort(-product, axis=1)[:, :k]
+    found = graph.search(np.column_stack([points[asked], np.zeros(len(asked))]).astype(np.float32), hnsw.BREADTH_SEARCH)
+    hits = 0
+    for own, nodes, best, row in zip(asked, found, exact, product):
+        nodes = nodes[(nodes >= 0) & (nodes != own)]
+        hits += len(set(nodes[np.argsort(-row[nodes])][:k]) & set(best))
+    assert hits >= 0.93 * k * len(asked)
+
+
 def test_recall_over_several_shards(spark, frame, monkeypatch):
     monkeypatch.setattr(hnsw, "SHARD_ROWS", 400)
     pick = np.random.default_rng(2)
