@@ -207,7 +207,9 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> Dat
     numbered = vectors.distinct().withColumn("_number", F.row_number().over(by_id)).where(F.col("_number") <= k + 1)
     nodes = numbered.groupBy("dim", "vec").agg(F.sort_array(F.collect_list("vec_id")).alias("members")).checkpoint()
     shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("shards"))
-    dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vec"), F.col("shards")))
+    # A shard is a few megabytes but many seconds of work: shuffles sized by bytes would merge them into one task.
+    tasks = shards.agg(F.sum("shards")).first()[0] or 1
+    dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vec"), F.col("shards"))).repartition(tasks, "dim", "shard")
 
     def build(frame):
         first = np.array([m[0] for m in frame["members"]], dtype=np.int64)
