@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -10,12 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areagrade.llm.wordhash import NO_WORD, Words, buffers, byte_slices, word_slices
+from areagrade.llm.wordhash import NO_WORD, SPACE, Words, buffers, byte_slices, word_slices
 from areagrade.llm.workers import importable
 
 FOLDS = 5
 SAMPLE_ROWS = 4000  # labelled rows of each class the classifier is fitted on, at most
-FEATURES = 2048  # features the classifier keeps, at most
 LEAST_DOCS = 3
 LEAST_Z = 5.0  # standard errors by which the classes' shares of a feature differ
 PREFIXES = (4, 5, 6, 7)
@@ -27,6 +27,8 @@ SIGNS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "aeiou", "%": "aeiou",
 }
 SIGN_COST, SPLIT_COST, SINGLE_COST = -1.0, -2.0, -0.2
+# Words are joined, and doubled letters made one, where the letter model finds that this much likelier (e ** 5 times).
+LIKELIER = 5.0
 SYMBOLS = 28  # blank, a to z, everything else
 OTHER = 27
 
@@ -76,23 +78,37 @@ class LetterModel:
         self.log = np.log(p3).tolist()
 
 
-def _symbol(letter: str) -> int:
-    return 0 if letter == " " else ord(letter) - 96 if "a" <= letter <= "z" else OTHER
+def _symbols(letter: str) -> list[int]:
+    """As the letter model counts them: a letter beyond ASCII is several bytes."""
+    if letter.isascii():
+        return [int(_CLASS[ord(letter)])]
+    return [OTHER] * len(letter.encode("utf-8", "replace"))
+
+
+def _plain(letter: str) -> str:
+    """The ASCII letter under a mark, if there is one."""
+    base = unicodedata.normalize("NFD", letter)[0]
+    return base if base != letter and "a" <= base <= "z" else ""
 
 
 def decode(token: str, model: LetterModel, spaced: bool = False) -> str:
     """The likeliest reading of a token: a best path through the lattice of its characters.
 
-    A sign is itself or a letter it may stand for, a run of three and more equal letters is one
-    or two of them, and in a text spelt with blanks (``spaced``) a blank may follow a letter.
+    A sign is itself or a letter it may stand for, a letter with a mark may be the plain one, a
+    run of three and more equal letters is one or two of them, two equal letters may be one, and in
+    a text spelt with blanks (``spaced``) a blank may follow a letter.
     """
     lattice: list[list[tuple[str, float]]] = []
     for m in re.finditer(r"(.)\1*", token.lower()):
         letter, n = m[1], len(m[0])
         if n >= 3 and letter.isalpha():
             lattice.append([(letter, SINGLE_COST), (letter * 2, SINGLE_COST)])
+        elif n == 2 and "a" <= letter <= "z":
+            lattice.append([(letter * 2, 0.0), (letter, -LIKELIER)])
         else:
             one = [(letter, 0.0)] + [(x, SIGN_COST) for x in SIGNS.get(letter, "")]
+            if plain := _plain(letter):  # nobody spells a word by accents
+                one = [(letter, SIGN_COST if spaced else 0.0), (plain, 0.0 if spaced else SIGN_COST)]
             lattice += [one] * n
     log = model.log
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
@@ -104,9 +120,9 @@ def decode(token: str, model: LetterModel, spaced: bool = False) -> str:
                 for path, price in ways:
                     x, y, s = a, b, score + price
                     for letter in path:
-                        c = _symbol(letter)
-                        s += log[x][y][c]
-                        x, y = y, c
+                        for c in _symbols(letter):
+                            s += log[x][y][c]
+                            x, y = y, c
                     if (x, y) not in step or step[x, y][0] < s:
                         step[x, y] = (s, out + path)
         best = step
@@ -118,6 +134,7 @@ class Restorer:
 
     def __init__(self, counts: np.ndarray):
         model = LetterModel(counts)
+        self.log = np.array(model.log)
         self.read = lru_cache(1 << 16)(lambda token, spaced: decode(token, model, spaced))
         self.word = lru_cache(1 << 16)(self._word)
 
@@ -134,9 +151,42 @@ class Restorer:
         core = _EDGE.sub("", word)
         if re.fullmatch(r"[^\W_]([.\-_*~][^\W_]){2,}", core):
             return self.read(re.sub(r"[.\-_*~]", "", core), True)
-        if suspicious(core):
-            return self.read(core, False)
-        return word
+        closed = self.closed(core)
+        if suspicious(closed) or self.doubled(closed):
+            return self.read(closed, False)
+        return closed if closed != core else word
+
+    def closed(self, word: str) -> str:
+        """A word without the signs between letters that are likelier joined."""
+        data = np.frombuffer(word.encode("utf-8", "replace"), np.uint8)
+        gaps = _gaps(data, np.array([0, len(data)]), _JOINT)
+        return np.delete(data, gaps[self.joined(data, gaps, len(data))]).tobytes().decode("utf-8", "replace")
+
+    def joined(self, data: np.ndarray, gaps: np.ndarray, *edges) -> np.ndarray:
+        """Which of the signs or blanks at ``gaps`` are likelier not there. Nothing is read over
+        ``edges``, the ends of texts; a sign counts as a blank."""
+        c = np.concatenate([_CLASS[data], [0, 0]])
+        out = np.zeros(len(data) + 3, dtype=bool)  # bytes that are the first of a text
+        out[[0, *edges]] = True
+        a, b, x, y = c[gaps - 1], c[gaps + 1], np.where(out[gaps - 1], 0, c[gaps - 2]), np.where(out[gaps + 2], 0, c[gaps + 2])
+        log = self.log
+        return log[x, a, b] + log[a, b, y] - log[x, a, 0] - log[a, 0, b] - log[0, b, y] > LIKELIER
+
+    def doubled(self, word: str) -> bool:
+        """Whether a doubled letter of the word is likelier a single one."""
+        data = np.frombuffer(word.encode("utf-8", "replace"), np.uint8)
+        return bool(len(self.doubles(data, np.array([0, len(data)]))))
+
+    def doubles(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The first letters of pairs of equal ones that are likelier one letter."""
+        if len(data) < 2:
+            return np.zeros(0, dtype=np.int64)
+        c = np.concatenate([_CLASS[data], [0, 0]])
+        first = np.zeros(len(data) + 2, dtype=bool)
+        first[bounds] = True
+        at = np.flatnonzero((c[:-3] == c[1:-2]) & _LETTER[data[:-1]] & ~first[1 : len(data)])
+        x, l, y = np.where(first[at] | (at == 0), 0, c[at - 1]), c[at], np.where(first[at + 2], 0, c[at + 2])
+        return at[self.log[x, l, y] - self.log[x, l, l] - self.log[l, l, y] > LIKELIER]
 
 
 def suspicious(word: str) -> bool:
@@ -144,8 +194,20 @@ def suspicious(word: str) -> bool:
     return letters and (any(c in SIGNS for c in word) or re.search(r"([A-Za-z])\1\1", word) is not None)
 
 
-def _suspicious_words(words: Words) -> np.ndarray:
-    """Words that may be obfuscated: letters with signs among them, or long repetitions."""
+def _gaps(data: np.ndarray, bounds: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """Single bytes of a kind that stand between two ASCII letters of one text."""
+    if len(data) < 3:
+        return np.zeros(0, dtype=np.int64)
+    letter = _LETTER[data]
+    inside = between[data[1:-1]] & letter[:-2] & letter[2:]
+    ends = bounds[(bounds > 0) & (bounds < len(data))]
+    for at in (ends, ends - 1):  # the first and the last byte of a text are between nothing
+        inside[at[(at > 0) & (at < len(data) - 1)] - 1] = False
+    return np.flatnonzero(inside) + 1
+
+
+def _suspicious_words(words: Words, restorer: Restorer) -> np.ndarray:
+    """Words that may be obfuscated: letters with signs among them, or odd repetitions."""
     data = words.data
 
     def within(flags):
@@ -160,6 +222,7 @@ def _suspicious_words(words: Words) -> np.ndarray:
     folded = data | 32
     same = folded[1:] == folded[:-1]
     inner[2:] |= letter[2:] & same[1:] & same[:-1]
+    inner[restorer.doubles(data, words.bounds)] = True
     odd = within(inner) > 0
     if len(words.start):
         last = data[words.end - 1]
@@ -169,12 +232,14 @@ def _suspicious_words(words: Words) -> np.ndarray:
 
 
 def _spelt_runs(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """First and past-last word of each run of at least three single letters or signs of a text."""
+    """First and past-last word of each run of at least three single letters, of any alphabet of
+    two bytes, or signs of a text."""
     n = len(words.start)
     single = np.zeros(n + 2, dtype=bool)
     if n:
         first = words.data[words.start]
-        single[1:-1] = (words.end - words.start == 1) & (_LETTER[first] | _SIGN[first])
+        length = words.end - words.start
+        single[1:-1] = ((length == 1) & (_LETTER[first] | _SIGN[first])) | ((length == 2) & (first >= 0xC3) & (first < 0xE0))
     new_text = np.ones(n + 1, dtype=bool)
     new_text[1:n] = words.text[1:] != words.text[:-1]
     begins = np.flatnonzero(single[1:] & (~single[:-1] | new_text))
@@ -185,19 +250,28 @@ def _spelt_runs(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def restored(words: Words, restorer: Restorer) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and bounds of the texts with what is obfuscated as it is read; all else as it was."""
-    data, bounds = words.data, words.bounds
-    odd = _suspicious_words(words)
-    first, last = _spelt_runs(words)
-    for a, b in zip(first, last):
-        odd[a:b] = False
-    spans = [(words.start[i], words.end[i], False) for i in np.flatnonzero(odd)]
-    spans += [(words.start[a], words.end[b - 1], True) for a, b in zip(first, last)]
+    """Bytes and bounds of the texts with what is obfuscated as it is read; all else as it was.
+
+    First words spelt letter by letter, then what is odd inside a word, then pieces of words that
+    are likelier joined.
+    """
+    runs = [(words.start[a], words.end[b - 1]) for a, b in zip(*_spelt_runs(words))]
+    data, bounds = _replaced(words.data, words.bounds, runs, lambda old: restorer.spelt("".join(old.split())))
+    if runs:
+        words = Words(data, bounds, words.first)
+    odd = np.flatnonzero(_suspicious_words(words, restorer))
+    data, bounds = _replaced(data, bounds, list(zip(words.start[odd], words.end[odd])), restorer.word)
+    gaps = _gaps(data, bounds, SPACE)
+    gaps = gaps[restorer.joined(data, gaps, *bounds)]
+    return np.delete(data, gaps), bounds - np.searchsorted(gaps, bounds)
+
+
+def _replaced(data: np.ndarray, bounds: np.ndarray, spans: list, read) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and bounds with each span, in order, as it is read."""
     parts, at, starts, grown = [], 0, [], []
-    for start, end, spelt in sorted(spans):
+    for start, end in spans:
         old = data[start:end].tobytes()
-        word = old.decode("utf-8", "replace")
-        new = (restorer.spelt("".join(word.split())) if spelt else restorer.word(word)).encode()
+        new = read(old.decode("utf-8", "replace")).encode("utf-8", "replace")
         if new != old:
             parts += [data[at:start], np.frombuffer(new, np.uint8)]
             at = end
@@ -264,7 +338,8 @@ def _places(known: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(
-    rows: np.ndarray,
+    cells: tuple[np.ndarray, np.ndarray],
+    features: int,
     labels: np.ndarray,
     times: np.ndarray,
     prior: float,
@@ -273,7 +348,8 @@ def fit_logistic(
     steps: int = 400,
 ) -> tuple[np.ndarray, float]:
     """Weights and intercept of different rows, each with its label and the times it came;
-    ``prior`` is the share of label 1 where the model is to be used.
+    ``cells`` are (row, feature) of all that rows hold, ``prior`` is the share of label 1 where
+    the model is to be used.
 
     A first fit with an absolute penalty, in which both classes weigh the same, finds the
     features that are needed, so that words which only come along (in copies of a text, say)
@@ -281,25 +357,30 @@ def fit_logistic(
     without any feature its score is ``prior``.
     """
     one = labels == 1
-    out, bias = np.zeros(rows.shape[1]), 0.0
-    kept = np.arange(rows.shape[1])
+    out, bias = np.zeros(features), 0.0
+    row, column = cells
+    kept = np.arange(features)
     for penalty, part in ((lasso, 0.5), (0.0, prior)):
         share = times * np.where(one, part / max(1, times[one].sum()), (1 - part) / max(1, times[~one].sum()))
-        own, weight = np.ascontiguousarray(rows[:, kept]), out[kept]
-        rate = 4.0 / (1 + np.einsum("nm,n->", own, share) / 4)
+        weight = out[kept]
+        rate = 4.0 / (1 + share[row].sum() / 4)
         ahead, ahead_bias, speed = weight, bias, 1.0
         for _ in range(steps):
-            error = (1 / (1 + np.exp(-np.clip(own @ ahead.astype(own.dtype) + ahead_bias, -50, 50))) - labels) * share
-            new = ahead - rate * (error.astype(own.dtype) @ own + (0.0 if penalty else ridge) * ahead)
+            total = np.bincount(row, weights=ahead[column], minlength=len(labels)) + ahead_bias
+            error = (1 / (1 + np.exp(-np.clip(total, -50, 50))) - labels) * share
+            slope = np.bincount(column, weights=error[row], minlength=len(kept))
+            new = ahead - rate * (slope + (0.0 if penalty else ridge) * ahead)
             new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0.0)
             new_bias = ahead_bias - rate * error.sum()
             faster = (1 + np.sqrt(1 + 4 * speed**2)) / 2
             pace = (speed - 1) / faster
             ahead, ahead_bias = new + pace * (new - weight), new_bias + pace * (new_bias - bias)
             weight, bias, speed = new, new_bias, faster
-        out = np.zeros(rows.shape[1])
+        out = np.zeros(features)
         out[kept] = weight
-        kept = np.flatnonzero(np.abs(out) > 1e-9)
+        held = np.abs(weight) > 1e-9
+        inside = held[column]
+        row, column, kept = row[inside], (np.cumsum(held) - 1)[column[inside]], kept[held]
     return out, float(bias)
 
 
@@ -311,15 +392,14 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic",
-        sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> Model:
+        sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from ``labels`` (doc_id, label 0 or 1; others are ignored, a label given twice counts twice).
 
     The letter model counts all texts of ``docs``. The classifier is fitted on at most
     ``sample_rows`` labelled rows of each class, the ones of the least hashes of their ids, and
-    keeps the ``features`` words and beginnings that tell the classes apart best, all beyond
-    LEAST_Z standard errors. Only these and
-    the sample's rows of them come to the driver, a bounded amount. Without labels of both
-    classes the score is the same for all texts.
+    knows all words and beginnings of these that tell the classes apart by LEAST_Z standard errors.
+    Only they and the sample's rows of them come to the driver; features that the fit gives no
+    weight are not sent on. Without labels of both classes the score is the same for all texts.
     """
     importable(docs.sparkSession)
     counts = letter_counts(docs, text)
@@ -351,7 +431,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     p = (F.col("one") + F.col("none")) / (a + b)
     gap = F.abs(F.col("one") / a - F.col("none") / b) / F.sqrt(p * (1 - p) * (1 / a + 1 / b) + 1e-12)
     telling = seen.where(F.col("one") + F.col("none") >= LEAST_DOCS).withColumn("gap", gap).where(F.col("gap") >= LEAST_Z)
-    best = telling.orderBy(F.desc("gap"), "feature").limit(features).collect()
+    best = telling.select("feature").collect()
     known = np.sort(np.array([row["feature"] for row in best], dtype=np.int64).view(np.uint64))
 
     def rows_of(batches):
@@ -369,12 +449,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
     rows = sample.mapInArrow(rows_of, "y int, at array<int>").groupBy("y", "at").agg(F.count("*").alias("n")).collect()
     rows = sorted(rows, key=lambda r: (r["y"], r["at"]))
-    grid = np.zeros((len(rows), len(known)), dtype=np.float32)
-    for i, row in enumerate(rows):
-        grid[i, row["at"]] = 1
+    held = [len(row["at"]) for row in rows]
+    cells = np.repeat(np.arange(len(rows)), held), np.array([at for row in rows for at in row["at"]], dtype=np.int64)
     y, times = (np.array([row[c] for row in rows], dtype=np.float64) for c in ("y", "n"))
-    weights, bias = fit_logistic(grid, y, times, sizes[1] / sum(sizes.values()))
-    return Model(counts, known, weights, bias)
+    weights, bias = fit_logistic(cells, len(known), y, times, sizes[1] / sum(sizes.values()))
+    return Model(counts, known[weights != 0], weights[weights != 0], bias)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
