@@ -7,6 +7,7 @@ that point at them. A host with more distrust than trust is blocked.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,9 +23,10 @@ RULES = (
 )
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s<>]+)"""
 DAMPING = 0.85
-STEPS = 20
 STEPS_KEPT = 5  # steps from one checkpoint to the next
 THRESHOLD = 1.0
+LEAST = 0.01  # pages; less distrust blocks no host, and walks go on until less than this is left to place
+HUB_LINKS = 100_000  # a host with more links is dealt to several tasks
 
 
 def host_of(url: Column) -> Column:
@@ -77,37 +79,52 @@ def host_links(pages: DataFrame, host: str, html: str) -> DataFrame:
     return rows.where("source <> '' and target <> '' and source <> target").groupBy("source", "target").agg(F.count("*").alias("pages"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
+def steps_until(mass: float, damping: float = DAMPING, least: float = LEAST) -> int:
+    """Steps after which less than ``least`` of a ``mass`` is still to be placed."""
+    return 0 if mass <= least else math.floor(math.log(mass / least) / -math.log(damping)) + 1
+
+
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, least: float = LEAST, hub_links: int = HUB_LINKS) -> DataFrame:
     """(host, trust, distrust) of all hosts that a seed reaches.
 
     ``seeds`` has (host, trust, distrust), the weights the two walks start with. In each step a
     walk goes on with probability ``damping``, along a link in proportion to its pages, backward
-    for distrust; it ends where there is no link. After ``steps`` no more than damping ** steps
-    of the seeds' weight is still to be placed. The links are a table bucketed by the end that a
-    walk leaves, so a step shuffles ranks, not links; a checkpoint after every few steps keeps
-    lineage short.
+    for distrust; it ends where there is no link. After n steps no more than damping ** n
+    of the seeds' weight is still to be placed, and there are as many steps as leave less than
+    ``least``, so no host's value is further from its limit. The links are a table bucketed by the
+    end that a walk leaves, so a step shuffles ranks, not links. A host with more than
+    ``hub_links`` links has them dealt to several parts, and its rank goes to each of these. A
+    checkpoint after every few steps keeps lineage short.
     """
     spark = links.sparkSession
     both = links.selectExpr("'trust' as walk", "source as host", "target as next", "pages").unionByName(
         links.selectExpr("'distrust' as walk", "target as host", "source as next", "pages")
     )
-    out = both.groupBy("walk", "host").agg(F.sum("pages").alias("all"))
+    parts = F.ceil(F.count("*") / hub_links).cast("int")
+    out = both.groupBy("walk", "host").agg(F.sum("pages").alias("all"), parts.alias("parts")).checkpoint()
+    parts_of = out.select("walk", "host", "parts")
     table = f"host_links_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = both.join(out, ["walk", "host"]).select("walk", "host", "next", (F.col("pages") / F.col("all")).alias("share"))
-    shares.repartition(buckets, "walk", "host").write.bucketBy(buckets, "walk", "host").saveAsTable(table)
+    part = F.pmod(F.xxhash64("next"), F.col("parts")).cast("int")
+    shares = both.join(out, ["walk", "host"]).select("walk", "host", part.alias("part"), "next", (F.col("pages") / F.col("all")).alias("share"))
+    shares = shares.join(parts_of.withColumnsRenamed({"host": "next", "parts": "next_parts"}), ["walk", "next"], "left")
+    by = ["walk", "host", "part"]
+    shares.repartition(buckets, *by).write.bucketBy(buckets, *by).saveAsTable(table)
     walks = "stack(2, 'trust', cast(trust as double), 'distrust', cast(distrust as double)) as (walk, rank)"
-    start = seeds.selectExpr("host", walks).where("rank > 0").select("walk", "host", "rank").checkpoint()
+    start = seeds.selectExpr("host", walks).where("rank > 0").join(parts_of, ["walk", "host"], "left").select("walk", "host", "parts", "rank").checkpoint()
     again = start.withColumn("rank", F.col("rank") * (1 - damping))
+    masses = start.groupBy("walk").agg(F.sum("rank").alias("rank")).agg(F.max("rank").alias("most"))
+    steps = steps_until(masses.first()["most"] or 0.0, damping, least)
     ranks = start
     try:
         if spark.table(table).isEmpty():
             ranks, steps = again, 0
         for step in range(1, steps + 1):
-            moved = ranks.join(spark.table(table), ["walk", "host"]).select(
-                "walk", F.col("next").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank")
+            spread = ranks.where("parts > 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+            moved = spread.join(spark.table(table), by).select(
+                "walk", F.col("next").alias("host"), F.col("next_parts").alias("parts"), (F.col("rank") * F.col("share") * damping).alias("rank")
             )
-            ranks = moved.unionByName(again).groupBy("walk", "host").agg(F.sum("rank").alias("rank"))
+            ranks = moved.unionByName(again).groupBy("walk", "host").agg(F.max("parts").alias("parts"), F.sum("rank").alias("rank"))
             if step % STEPS_KEPT == 0 or step == steps:
                 ranks = ranks.checkpoint()
     finally:
@@ -120,8 +137,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", html: str
     """Adds ``host``, ``path``, ``rule``, ``verdict``, ``trust`` and ``distrust``.
 
     The verdict is the longest fitting rule's. Where none fits it is ``block`` if the host's
-    distrust is more than ``threshold`` times its trust, else ``allow``. A host's seeds are the
-    numbers of its pages that rules allow and block. A null url, or one without ``://``, has an
+    distrust is at least LEAST pages and more than ``threshold`` times its trust, else ``allow``. A
+    host's seeds are the numbers of its pages that rules allow and block. A null url, or one without ``://``, has an
     empty host and path, fits no rule and is allowed; a null html has no links. Repeated rows
     count each. Columns of these names are replaced; an empty table gives no rows.
     """
@@ -134,11 +151,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", html: str
     seeds = counted.join(ruled, ["host", "path"]).where("host <> ''").groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
     scores = propagate(host_links(placed, "_host", html), seeds)
     zero = F.lit(0.0)
+    distrusted = (F.col("distrust") >= LEAST) & (F.col("distrust") > threshold * F.coalesce("trust", zero))
     by_place = counted.join(ruled, ["host", "path"], "left").join(scores, "host", "left").select(
         F.col("host").alias("_host"),
         F.col("path").alias("_path"),
         "rule",
-        F.coalesce("rule_verdict", F.when(F.coalesce("distrust", zero) > threshold * F.coalesce("trust", zero), "block").otherwise("allow")).alias("verdict"),
+        F.coalesce("rule_verdict", F.when(distrusted, "block").otherwise("allow")).alias("verdict"),
         F.coalesce("trust", zero).alias("trust"),
         F.coalesce("distrust", zero).alias("distrust"),
     )
@@ -154,8 +172,8 @@ def op2_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return filter_urls(pages, rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
-def op2_sql(rules=RULES, steps: int = STEPS) -> str:
-    """The same with the steps written out."""
+def op2_sql(rules=RULES) -> str:
+    """The same with the steps as a recursion that carries what is still on its way."""
     ordered = sorted(rules, key=lambda r: (-len(r[0] + r[1]), -len(r[0])))
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for h, p, _ in ordered) + " END"
@@ -171,13 +189,17 @@ def op2_sql(rules=RULES, steps: int = STEPS) -> str:
     ]
     for walk, a, b in (("trust", "source", "target"), ("distrust", "target", "source")):
         ctes.append(f"{walk}_e AS MATERIALIZED (SELECT {a} AS a, {b} AS b, n / sum(n) OVER (PARTITION BY {a}) AS share FROM e)")
-        ctes.append(f"{walk}_0 AS MATERIALIZED (SELECT host, {walk} AS rank FROM seeds WHERE {walk} > 0)")
-        for i in range(steps):
-            moved = f"SELECT b AS host, {DAMPING} * rank * share AS rank FROM {walk}_{i} JOIN {walk}_e ON host = a"
-            again = f"SELECT host, (1 - {DAMPING}) * rank FROM {walk}_0"
-            ctes.append(f"{walk}_{i + 1} AS MATERIALIZED (SELECT host, sum(rank) AS rank FROM ({moved} UNION ALL {again}) GROUP BY host)")
+    ctes.append(
+        f"steps AS MATERIALIZED (SELECT CASE WHEN m > {LEAST} THEN CAST(floor(ln(m / {LEAST}) / -ln({DAMPING})) AS INT) + 1 ELSE 0 END AS steps"
+        " FROM (SELECT greatest(coalesce(sum(trust), 0), coalesce(sum(distrust), 0)) AS m FROM seeds))"
+    )
+    for walk in ("trust", "distrust"):
+        moved = f"SELECT step + 1, b, sum({DAMPING} * rank * share) FROM {walk}_w JOIN {walk}_e ON host = a WHERE step < (SELECT steps FROM steps) GROUP BY step, b"
+        ctes.append(f"{walk}_w(step, host, rank) AS (SELECT 0, host, {walk} FROM seeds WHERE {walk} > 0 UNION ALL {moved})")
+        placed = f"sum(CASE WHEN step < (SELECT steps FROM steps) THEN {1 - DAMPING!r} ELSE 1 END * rank)"
+        ctes.append(f"{walk}_all AS (SELECT host, {placed} AS rank FROM {walk}_w GROUP BY host)")
     return (
-        "WITH " + ",\n".join(ctes) + f"""
-SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN coalesce(d.rank, 0) > {THRESHOLD} * coalesce(t.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict
-FROM j LEFT JOIN trust_{steps} t ON t.host = j.host LEFT JOIN distrust_{steps} d ON d.host = j.host"""
+        "WITH RECURSIVE " + ",\n".join(ctes) + f"""
+SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN d.rank >= {LEAST} AND d.rank > {THRESHOLD} * coalesce(t.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN trust_all t ON t.host = j.host LEFT JOIN distrust_all d ON d.host = j.host"""
     )

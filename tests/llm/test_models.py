@@ -57,20 +57,65 @@ WANT_EDGES = {
 def test_url_filter_equals_brute_force(spark, frame):
     rows = hosts.filter_urls(frame("page_id int, url string, html string, rule int", *((*p, 0) for p in PAGES)), hosts.rule_table(spark)).collect()
     assert len(rows) == len(PAGES)
-    trust = walk_by_hand(WANT_EDGES, {"a.example.com": 1, "notexample.org": 1, "spam2.com": 1}, hosts.STEPS)
+    steps = hosts.steps_until(4)
+    trust = walk_by_hand(WANT_EDGES, {"a.example.com": 1, "notexample.org": 1, "spam2.com": 1}, steps)
     back = {(b, a): n for (a, b), n in WANT_EDGES.items()}
-    distrust = walk_by_hand(back, {"a.example.com": 1, "spam.com": 1, "sub.example.org": 2}, hosts.STEPS)
+    distrust = walk_by_hand(back, {"a.example.com": 1, "spam.com": 1, "sub.example.org": 2}, steps)
     for r in rows:
         assert r.rule == WANT_RULES.get(r.page_id), r
         assert r.trust == pytest.approx(trust.get(r.host, 0), abs=1e-6) and r.distrust == pytest.approx(distrust.get(r.host, 0), abs=1e-6)
         verdicts = {h + p: v for h, p, v in hosts.RULES}
-        assert r.verdict == (verdicts[r.rule] if r.rule else "block" if distrust.get(r.host, 0) > trust.get(r.host, 0) else "allow")
+        assert r.verdict == (verdicts[r.rule] if r.rule else "block" if distrust.get(r.host, 0) > max(trust.get(r.host, 0), hosts.LEAST) else "allow")
     by_id = {r.page_id: r for r in rows}
     assert (by_id[1].host, by_id[1].path) == ("a.example.com", "/fr/1") and (by_id[13].host, by_id[13].path) == ("org", "")
     assert all((by_id[i].host, by_id[i].path, by_id[i].verdict) == ("", "", "allow") for i in (8, 9, 14))
     assert by_id[5].verdict == "block" and by_id[4].verdict == "allow"
 
 
+def web(hosts_, links, pick):
+    edges = defaultdict(int)
+    for _ in range(links):
+        a, b = int(hosts_ * pick.random() ** 3), pick.randrange(hosts_)  # low numbers are hubs
+        if a != b:
+            edges[f"h{a}", f"h{b}"] += 1
+    return dict(edges)
+
+
+@pytest.mark.parametrize("hub_links", [3, 100_000])
+def test_walks_equal_their_limit(spark, frame, hub_links):
+    """Hubs in parts or whole, chains longer than any fixed number of steps: within LEAST of the limit."""
+    pick = random.Random(4)
+    edges = web(40, 400, pick) | {(f"c{i}", f"c{i + 1}"): 1 for i in range(30)}
+    seeds = {"h0": (3, 0), "h5": (0, 700), "h7": (2, 1), "c30": (0, 50), "alone": (1, 1)}
+    out = hosts.propagate(
+        frame("source string, target string, pages long", *((a, b, n) for (a, b), n in edges.items())),
+        frame("host string, trust long, distrust long", *((h, *s) for h, s in seeds.items())),
+        hub_links=hub_links,
+    )
+    got = {r.host: (r.trust, r.distrust) for r in out.collect()}
+    back = {(b, a): n for (a, b), n in edges.items()}
+    for i, e in enumerate((edges, back)):
+        limit = walk_by_hand(e, {h: s[i] for h, s in seeds.items() if s[i]}, 400)
+        assert all(abs(got.get(h, (0, 0))[i] - limit.get(h, 0)) < hosts.LEAST for h in {*got, *limit})
+    assert got["c4"][1] > hosts.LEAST  # 26 links from its seed
+
+
+def test_url_filter_sql_follows_links(frame, tmp_path, spark):
+    import duckdb
+
+    chain = [(100 + i, f"http://n{i}.net/", f'<a href="http://n{i + 1}.net/">n</a>') for i in range(40)]
+    rows = [*PAGES, *chain, *((200 + i, f"http://z.com/de/{i}", "") for i in range(30)), (140, "http://n40.net/", '<a href="http://z.com/">z</a>')]
+    pages = frame("page_id int, url string, html string", *rows)
+    pages.write.parquet(f"{tmp_path}/pages")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+        want = sorted(db.execute(hosts.op2_sql()).fetchall(), key=str)
+    got = hosts.filter_urls(pages, hosts.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(tuple, got), key=str) == want
+    verdicts = {r.page_id: r.verdict for r in got}
+    assert verdicts[135] == "block" and verdicts[100] == "allow"
+
+
 def test_url_filter_of_nothing(spark, frame):
     assert hosts.filter_urls(frame("page_id int, url string, html string"), hosts.rule_table(spark)).collect() == []
 
