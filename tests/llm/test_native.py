@@ -78,6 +78,36 @@ def test_shards_are_even_and_gapless(frame, shards):
     assert all(sorted(r.slot for r in by_shard[s]) == list(range(len(by_shard[s]))) for s in by_shard)
 
 
+def split_by_hand(rows, shards):
+    """Shard of each (id, n, g): nodes are split at the row nearest to the wanted weight, the first of two."""
+    ends = lambda part, i: (min(r[i] for r in part), max(r[i] for r in part))
+    spans = [(ends(rows, i)[1] - ends(rows, i)[0]) or 1 for i in (1, 2)]
+
+    def leaves(part, n):
+        if n == 1 or not part:
+            return [part] + [[]] * (n - 1)
+        widths = [(ends(part, i)[1] - ends(part, i)[0]) / span for i, span in zip((1, 2), spans)]
+        axis = 1 if widths[0] >= widths[1] else 2
+        part = sorted(part, key=lambda r: (r[axis], r[2], r[0]))
+        want, below = sum(r[1] for r in part) * (n // 2) // n, 0
+        for at, row in enumerate(part):
+            if below + row[1] >= want:
+                break
+            below += row[1]
+        cut = at if want - below <= below + row[1] - want else at + 1
+        return leaves(part[:cut], n // 2) + leaves(part[cut:], n - n // 2)
+
+    return {r[0]: shard for shard, leaf in enumerate(leaves(rows, shards)) for r in leaf}
+
+
+@pytest.mark.parametrize("shards, hot", [(2, 0), (5, 0), (8, 0.4), (11, 0)])
+def test_shards_equal_a_plain_tree(frame, shards, hot):
+    pick = random.Random(shards)
+    rows = [(i, 50 if pick.random() < hot else pick.randint(8, 3000), pick.randint(-40, 40)) for i in range(300)]
+    got = {r.doc_id: r.shard for r in placed(frame, [(n, g) for _, n, g in rows], shards, tolerance=0.0)}
+    assert got == split_by_hand(rows, shards)
+
+
 def test_shards_of_one_hot_value_are_even(frame):
     rows = placed(frame, [(10, 5)] * 400 + [(11, i) for i in range(100)], 5)
     weights = Counter()
