@@ -97,6 +97,7 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, leas
     checkpoint after every few steps keeps lineage short.
     """
     spark = links.sparkSession
+    links = links.checkpoint()  # pages are looked through for links once
     both = links.selectExpr("'trust' as walk", "source as host", "target as next", "pages").unionByName(
         links.selectExpr("'distrust' as walk", "target as host", "source as next", "pages")
     )
