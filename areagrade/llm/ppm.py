@@ -30,7 +30,7 @@ FREQUENT = 1 << 20  # tokens and pairs that tasks look up themselves; all others
 END = 0x0B  # the end of a text, as a token and as a byte; no word holds white space
 HELD = 1 << 21  # counts that a task merges before they are shuffled
 FLUSH = 1 << 18  # pairs that are scored together
-WINDOW = 1 << 20  # bytes of a text that are looked at together
+WINDOW = 1 << 20  # bytes of texts that are looked at together
 FOLDS, HELD_OUT = 5, 1
 ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -97,7 +97,7 @@ def counted(docs: DataFrame, text: str, training: Column, most: int = HELD) -> D
         held, size = [], 0
         for batch in batches:
             trains = np.asarray(batch.column(1).fill_null(False).to_numpy(zero_copy_only=False), dtype=np.int64)
-            for words in word_slices(batch.column(0)):
+            for words in word_slices(batch.column(0), size=WINDOW):
                 train = trains[words.first : words.first + len(words.count)]
                 held.append([np.array([END_ID]), np.array([train.sum()]), np.array([len(train)])])
                 held.append(_summed(token_ids(words), train[words.text], np.ones(len(words.text))))
@@ -284,7 +284,7 @@ def score_texts(docs: DataFrame, text: str, training: Column, kept: list[str], f
     def score(batches):
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for words in word_slices(batch.column(0)):
+            for words in word_slices(batch.column(0), size=WINDOW):
                 m = len(words.count)
                 add = lambda of, weights: np.bincount(of, weights=weights, minlength=m).astype(np.float64)  # noqa: E731, B023
                 ids = token_ids(words)

@@ -12,7 +12,8 @@ from functools import cached_property
 
 import numpy as np
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18  # working arrays take some 40 bytes for each byte, and a worker keeps the room
+KEPT = (1 << 20) + 1  # powers that a worker keeps of a base, at most
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -26,12 +27,15 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next slice."""
-    if base not in _powers or len(_powers[base]) < n:
-        row = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
-        row[0] = 1
-        _powers[base] = np.cumprod(row, dtype=np.uint64)
-    return _powers[base][:n]
+    """base**0 .. base**(n-1) modulo 2**64, kept for the next slice unless it is of one long text."""
+    if base in _powers and len(_powers[base]) >= n:
+        return _powers[base][:n]
+    row = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
+    row[0] = 1
+    row = np.cumprod(row, dtype=np.uint64)
+    if n <= KEPT:
+        _powers[base] = row
+    return row[:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -125,17 +129,17 @@ def buffers(texts) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def byte_slices(texts) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def byte_slices(texts, size: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """The texts of an Arrow array in order, in slices of whole texts: bytes, bounds, first text."""
     data, bounds = buffers(texts)
     low, n = 0, len(bounds) - 1
     while low < n:
-        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + SLICE_BYTES, "right")) - 1)
+        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + size, "right")) - 1)
         yield data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], low
         low = high
 
 
-def word_slices(texts, separators: np.ndarray = SPACE) -> Iterator[Words]:
+def word_slices(texts, separators: np.ndarray = SPACE, size: int = SLICE_BYTES) -> Iterator[Words]:
     """The words of the texts of an Arrow array, slice by slice."""
-    for data, bounds, first in byte_slices(texts):
+    for data, bounds, first in byte_slices(texts, size):
         yield Words(data, bounds, first, separators)

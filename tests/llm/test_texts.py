@@ -1,15 +1,17 @@
 """Near copies, decontamination, BPE: against brute force and the library itself."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from areagrade.llm import bpe, leaks, near
+from areagrade.llm import bpe, leaks, near, wordhash
 from areagrade.llm.graph import components
-from areagrade.llm.wordhash import word_slices
+from areagrade.llm.wordhash import NO_WORD, word_slices
+from areagrade.llm.workers import BATCH, importable
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ter", "un", "vo", "es", "pri") for b in ("n", "da", "sch", "rel", "tu", "x")]
 
@@ -32,6 +34,37 @@ def edited(pick, text, changes):
     return " ".join(words)
 
 
+def test_workers_need_little_room_for_many_texts():
+    pick = random.Random(5)
+    texts = pa.array([prose(pick, 400) for _ in range(2500)])
+    for work in (lambda: near._signed(texts, 5, 18, 5), lambda: [w.ngrams(3)[0].sum() for w in word_slices(texts, NO_WORD)]):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 20 << 20
+    long = [w.hash.tolist() for w in word_slices(pa.array(["ab " * 1_000_000, "ab"]))]
+    assert set(long[0]) == set(long[1]) and len(long[0]) == 1_000_000
+    assert all(row.nbytes < 9 << 20 for row in wordhash._powers.values())
+
+
+def test_batches_of_texts_are_small(spark):
+    rows = spark.range(0, 600, 1, 1).selectExpr("repeat(cast(id % 10 as string), 20000) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], names=["size", "n"])
+
+    before = spark.conf.get(BATCH, None)
+    spark.conf.unset(BATCH)
+    try:
+        importable(spark)
+        found = rows.mapInArrow(sizes, "size long, n long").collect()
+    finally:
+        spark.conf.set(BATCH, before) if before else spark.conf.unset(BATCH)
+    assert sum(r["n"] for r in found) == 600 and max(r["size"] for r in found) < 3 << 20
+
+
 def test_word_hashes_follow_words_only():
     texts = ["Ab  cd", "ab\tCD\n", None, "", "é É", "ab cd ab", "x" * 3_000_000 + " ab"]
     hashes = []
