@@ -14,6 +14,7 @@ def spark(tmp_path_factory):
         "tests",
         "local[4]",
         spark_sql_shuffle_partitions="4",
+        spark_sql_ui_retainedExecutions="20000",  # tests that count scans look up plans by their number
         spark_driver_memory="4g",
         spark_checkpoint_dir=str(tmp_path_factory.mktemp("checkpoints")),
         spark_sql_warehouse_dir=str(tmp_path_factory.mktemp("warehouse")),
