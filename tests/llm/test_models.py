@@ -371,3 +371,78 @@ def test_recall_over_several_shards(spark, frame, monkeypatch):
     hits = sum(r.vec_id in set(np.argsort(-exact[r.query_id])[:10]) for r in found)
     assert len(found) == 750 and hits >= 0.95 * 750
     assert all(r.score == pytest.approx(exact[r.query_id, r.vec_id]) for r in found)
+
+
+def test_shards_grow_with_the_root_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 16)
+    monkeypatch.setattr(hnsw, "SHARD_GROWTH", 4)
+    pick = np.random.default_rng(3)
+    for n, cells, shards in ((400, 1 << 22, 5), (1600, 1 << 22, 10), (1600, 64 * 40, 40)):
+        monkeypatch.setattr(hnsw, "SHARD_CELLS", cells)
+        df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pick.normal(size=(n, 4)))], "vec_id long, embedding array<double>")
+        assert hnsw.build_index(hnsw.usable_vectors(df, "vec_id", "embedding"), 10).count() == shards
+
+
+def recall_of_others(points, asked, k=20):
+    """The breadth chosen for a graph, and what its walks find for vectors that are none of its nodes."""
+    order, sizes = hnsw.layer_counts(np.arange(len(points)))
+    points = points[order]
+    graph = hnsw.Graph.build(hnsw.with_norm(points), sizes)
+    breadth, queries = graph.breadth_for(k), np.column_stack([asked, np.zeros(len(asked))]).astype(np.float32)
+    product = asked @ points.T
+    least = np.sort(product, axis=1)[:, -k, None]
+    found = np.concatenate([graph.search(queries[i : i + 100], breadth) for i in range(0, len(asked), 100)])
+    assert all(len(set(f[f >= 0])) == sum(f >= 0) for f in found)
+    near = (np.take_along_axis(product, found, 1) >= least - 1e-9) & (found >= 0)
+    return breadth, near.sum() / (k * len(asked))
+
+
+def test_hard_vectors_get_wider_beams():
+    pick = np.random.default_rng(4)
+    breadth, recall = recall_of_others(pick.normal(size=(12_000, 128)), pick.normal(size=(200, 128)))
+    assert breadth > hnsw.BREADTH_SEARCH and recall >= 0.93
+    flat = np.tanh(pick.normal(size=(12_200, 8)) @ pick.normal(size=(8, 128)))
+    breadth, recall = recall_of_others(flat[:12_000], flat[12_000:])
+    assert breadth == hnsw.BREADTH_SEARCH and recall >= 0.99
+
+
+def test_close_groups_stay_in_reach_of_each_other():
+    pick = np.random.default_rng(5)
+    points = pick.normal(size=(20, 64))[pick.integers(0, 20, 8200)] + 0.02 * pick.normal(size=(8200, 64))
+    assert recall_of_others(points[:8000], points[8000:])[1] >= 0.95
+
+
+def test_best_cells_of_wide_and_narrow_rows():
+    pick = np.random.default_rng(6)
+    for width in (5, 300, 5000):
+        products = pick.normal(size=(7, width)).round(1).astype(np.float32)
+        products[:, 2], products[3] = -np.inf, -np.inf
+        nodes, best = hnsw.best_of(products, 60)
+        for own, found, values in zip(products, nodes, best):
+            order = [c for c in np.argsort(-own, kind="stable")[:60] if np.isfinite(own[c])]
+            assert found[: len(order)].tolist() == order and (found[len(order) :] == -1).all()
+            assert values[: len(order)].tolist() == own[order].tolist()
+
+
+def test_walks_find_all_nodes_but_the_one_left_out():
+    order, sizes = hnsw.layer_counts(np.arange(900))
+    points = hnsw.with_norm(np.random.default_rng(7).normal(size=(900, 12))[order])
+    graph, asked = hnsw.Graph.build(points, sizes), np.arange(880, 900)
+    found = graph.search(points[asked], 900, asked)
+    product = points[asked] @ points.T
+    for own, nodes, row in zip(asked, found, product):
+        assert sorted(nodes[nodes >= 0]) == [i for i in range(900) if i != own]
+        assert (np.diff(row[nodes[nodes >= 0]]) <= 1e-4).all()
+
+
+def test_scores_are_of_whole_doubles_and_ids_of_common_vectors_bounded(spark):
+    rows = [(i, [1.0, 1.0 + (i % 7) * 1e-9]) for i in range(70)] + [(100, [1.0, 1.0]), (120, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in hnsw.nearest(df, 20, 12).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q, v in rows:
+        if q % 20 == 0:
+            exact = sorted(((-float(np.dot(v, w)), i) for i, w in rows if i != q))[:12]
+            assert [s for _, s in got[q]] == pytest.approx([-s for s, _ in exact], abs=1e-12)
+            assert [i for i, _ in got[q]] == [i for _, i in exact]
